@@ -33,11 +33,16 @@ def gram_hashes(ws: Column, k: int) -> Column:
     return F.transform(_upto(F.size(ws) - k), lambda i: F.xxhash64(*(F.get(ws, i + j) for j in range(k))))
 
 
-def winnow(hashes: Column, run: int) -> Column:
-    """The distinct smallest hashes of each ``run`` consecutive ones; of all, if there are fewer."""
-    least = F.transform(_upto(F.size(hashes) - run), lambda i: F.least(*(F.get(hashes, i + j) for j in range(run))))
-    few = (F.size(hashes) > 0) & (F.size(hashes) < run)
-    return F.array_distinct(F.when(few, F.array(F.array_min(hashes))).otherwise(least))
+def winnow(df: DataFrame, ws: str, k: int, run: int, out: str) -> DataFrame:
+    """Adds ``out``: the distinct smallest hashes of each ``run`` consecutive k-grams of ws; of all, if there are fewer.
+
+    Each step is a column of its own: an array that a lambda reads must not be computed inside it, once an entry.
+    """
+    df = df.withColumn("__grams", gram_hashes(F.col(ws), k))
+    g = F.col("__grams")
+    least = F.transform(_upto(F.size(g) - run), lambda i: F.least(*(F.get(g, i + j) for j in range(run))))
+    few = (F.size(g) > 0) & (F.size(g) < run)
+    return df.withColumn(out, F.array_distinct(F.when(few, F.array(F.array_min(g))).otherwise(least))).drop("__grams")
 
 
 def find_overlaps(docs: DataFrame, items: DataFrame, window: int = 10, k: int = 5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -56,11 +61,12 @@ def find_overlaps(docs: DataFrame, items: DataFrame, window: int = 10, k: int =
     d = docs.select(F.col(id_col).alias("doc_id"), utf8(text_col).alias("text"))
     d = d.select("doc_id", F.xxhash64("text").alias("content"), words("text").alias("dw"))
     d = d.select("doc_id", "content", F.size("dw").alias("n_words"), F.transform("dw", lambda w: F.xxhash64(w)).alias("wh"))
-    prints = [winnow(gram_hashes(F.col("wh"), k), run)] + [F.array_distinct(gram_hashes(F.col("wh"), m)) for m in short]
+    d = winnow(d, "wh", k, run, "prints")
+    prints = [F.col("prints")] + [F.array_distinct(gram_hashes(F.col("wh"), m)) for m in short]
     own_row = F.array(F.lit(None).cast("long"))  # one entry a document, which counts repeated rows
     d = d.select("doc_id", "content", "n_words", F.explode(F.concat(own_row, *prints)).alias("h"))
     ih = it.select("item_id", F.transform("iw", lambda w: F.xxhash64(w)).alias("ih"))
-    keys = [ih.filter(F.size("ih") >= window).select(F.explode(winnow(gram_hashes(F.col("ih"), k), run)).alias("h"))]
+    keys = [winnow(ih.filter(F.size("ih") >= window), "ih", k, run, "prints").select(F.explode("prints").alias("h"))]
     keys += [ih.filter(F.size("ih") == m).select(F.explode(gram_hashes(F.col("ih"), m)).alias("h")) for m in short]
     all_keys = keys[0]
     for x in keys[1:]:
@@ -80,12 +86,11 @@ def find_overlaps(docs: DataFrame, items: DataFrame, window: int = 10, k: int =
         # Positions of shared k-grams on both sides; around each, the windows that hold it at the same offset.
         g = k if size == window else size
         own = it.filter(F.size("iw") >= window) if size == window else it.filter(F.size("iw") == size)
-        grams = lambda ws: F.transform(ws, lambda w: F.xxhash64(w))
-        side = own.select("item_id", "iw", F.posexplode(gram_hashes(grams(F.col("iw")), g)).alias("q", "h"))
+        side = own.withColumn("ih", F.transform("iw", lambda w: F.xxhash64(w))).select("item_id", F.posexplode(gram_hashes(F.col("ih"), g)).alias("q", "h"))
         if size == window:  # the fingerprints' positions suffice
             side = side.join(small(all_keys.select("h"), 16), "h", "left_semi")
-        doc_side = t.select("doc_id", "content", F.posexplode(gram_hashes(grams(F.col("dw")), g)).alias("p", "h"))
-        at = doc_side.join(small(side.select("item_id", "q", "h"), 48), "h")
+        doc_side = t.withColumn("wh", F.transform("dw", lambda w: F.xxhash64(w))).select("doc_id", "content", F.posexplode(gram_hashes(F.col("wh"), g)).alias("p", "h"))
+        at = doc_side.join(small(side, 48), "h")
         at = at.select("doc_id", "content", "item_id", F.explode(F.sequence(F.lit(0), F.lit(size - g))).alias("o"), "p", "q")
         at = at.select("doc_id", "content", "item_id", (F.col("p") - F.col("o")).alias("start"), (F.col("q") - F.col("o")).alias("item_start"))
         at = at.filter("start >= 0 AND item_start >= 0").distinct()

@@ -71,7 +71,7 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
 FROM n
 """
 
-#: The formatted length of a turn: the template's 14 characters, role, text, and a backslash for each escaped character.
+#: The formatted length of a turn: the template's 15 characters, role, text, and a backslash for each escaped character.
 OP8_SQL = r"""
 WITH said AS (
   SELECT conv_id, turn, role, text FROM conversations
@@ -88,13 +88,13 @@ SELECT conv_id, count(*) AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
        coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-       sum(14 + length(role) + length(text) + escapes)::BIGINT AS formatted_chars
+       sum(15 + length(role) + length(text) + escapes)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id
 """
 
 OP9_SQL = r"""
 WITH d AS (
-  SELECT doc_id, list_transform(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w) AS ws FROM documents
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
 ), b AS (
   SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark
 ), iw AS (
@@ -102,10 +102,10 @@ WITH d AS (
   FROM (SELECT item_id, unnest(list_transform(range(1, greatest(len(ws) - 9, 1) + 1), lambda i: ws[i : least(i + 9, len(ws))])) AS x FROM b WHERE len(ws) > 0)
 ), sizes AS (SELECT DISTINCT size FROM iw),
 dw AS (
-  SELECT doc_id, size, unnest(range(1, len(ws) - size + 2)) AS at, ws FROM d, sizes WHERE len(ws) >= size
+  SELECT doc_id, size, unnest(range(1, len(ws) - size + 2)) AS pos, ws FROM d, sizes WHERE len(ws) >= size
 ), hit AS (
-  SELECT DISTINCT dw.doc_id, dw.at, dw.size, iw.item_id FROM dw JOIN iw ON iw.size = dw.size AND iw.w = array_to_string(dw.ws[dw.at : dw.at + dw.size - 1], ' ')
-), words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(at, at + size)) AS p FROM hit) GROUP BY doc_id),
+  SELECT DISTINCT dw.doc_id, dw.pos, dw.size, iw.item_id FROM dw JOIN iw ON iw.size = dw.size AND iw.w = array_to_string(dw.ws[dw.pos : dw.pos + dw.size - 1], ' ')
+), words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(pos, pos + size)) AS p FROM hit) GROUP BY doc_id),
 found AS (SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS i FROM hit) GROUP BY doc_id)
 SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
