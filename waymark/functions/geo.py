@@ -35,7 +35,7 @@ def bbox(w: Num, s: Num, e: Num, n: Num) -> Column:
 def _haversine(lon1: Num, lat1: Num, lon2: Num, lat2: Num, radius: float) -> Column:
     p1, p2 = F.radians(c(lat1)), F.radians(c(lat2))
     a = F.pow(F.sin((p2 - p1) / 2), 2) + F.cos(p1) * F.cos(p2) * F.pow(F.sin(F.radians(c(lon2) - c(lon1)) / 2), 2)
-    a = F.least(F.lit(1.0), a)
+    a = F.when(a > 1, 1.0).otherwise(a)  # not least(): that skips nulls
     return F.lit(2 * radius) * F.atan2(F.sqrt(a), F.sqrt(1 - a))
 
 
@@ -168,11 +168,14 @@ def circle_covers_circle(lon1: Num, lat1: Num, r1: Num, lon2: Num, lat2: Num, r2
     return haversine_m(lon1, lat1, lon2, lat2) + c(r2) <= c(r1)
 
 
-#: Boxes that stand for countries.
-UNITED_STATES = ((-125.0, 24.4, -66.9, 49.4), (-170.0, 51.0, -129.0, 71.5), (-160.5, 18.8, -154.7, 22.4))
+#: Boxes (west, south, east, north) that stand for the United States and Japan.
+UNITED_STATES = (
+    (-125.0, 24.4, -95.0, 49.0), (-95.0, 24.4, -83.0, 48.5), (-83.0, 24.4, -76.0, 43.3), (-76.0, 24.4, -71.0, 45.0), (-71.0, 24.4, -66.9, 47.5),
+    (-170.0, 51.0, -129.9, 71.6), (-160.3, 18.9, -154.7, 22.3), (-67.3, 17.9, -65.2, 18.6),
+)
 JAPAN = (
-    (122.9, 24.0, 131.4, 30.0), (128.4, 30.0, 132.2, 34.8), (131.0, 32.4, 134.9, 35.7), (134.0, 33.4, 137.2, 36.0),
-    (136.0, 34.5, 141.1, 38.0), (138.4, 37.0, 142.2, 41.6), (139.3, 41.3, 145.9, 45.6), (139.0, 24.0, 142.3, 34.5),
+    (138.4, 34.8, 140.3, 36.9), (136.5, 34.5, 138.8, 37.6), (134.6, 33.8, 136.9, 35.8), (130.7, 33.9, 134.6, 35.7),
+    (131.9, 32.5, 134.8, 34.5), (128.6, 30.1, 132.4, 34.2), (139.4, 36.5, 142.2, 41.6), (139.0, 40.9, 145.8, 45.6),
 )
 
 
@@ -288,10 +291,15 @@ def clip_segment(ax: Num, ay: Num, bx: Num, by: Num, b: Column) -> tuple[Column,
     return F.when(ok, lo), F.when(ok, hi)
 
 
+def _unit(v: Column) -> Column:
+    """v kept within -1..1; null stays null."""
+    return F.when(v > 1, 1.0).when(v < -1, -1.0).otherwise(v)
+
+
 def aeqd(lon: Num, lat: Num, lon0: Num, lat0: Num) -> tuple[Column, Column]:
     """Azimuthal equidistant metres around a centre."""
     p, p0, dl = F.radians(c(lat)), F.radians(c(lat0)), F.radians(c(lon) - c(lon0))
-    cos_c = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.sin(p0) * F.sin(p) + F.cos(p0) * F.cos(p) * F.cos(dl)))
+    cos_c = _unit(F.sin(p0) * F.sin(p) + F.cos(p0) * F.cos(p) * F.cos(dl))
     ang = F.acos(cos_c)
     k = F.when(ang < 1e-12, 1.0).otherwise(ang / F.sin(ang)) * EARTH_M
     return k * F.cos(p) * F.sin(dl), k * (F.cos(p0) * F.sin(p) - F.sin(p0) * F.cos(p) * F.cos(dl))
@@ -302,7 +310,7 @@ def aeqd_inverse(x: Num, y: Num, lon0: Num, lat0: Num) -> tuple[Column, Column]:
     rho = F.hypot(x, y)
     ang = rho / EARTH_M
     near = rho < 1e-9
-    lat = F.when(near, p0).otherwise(F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.cos(ang) * F.sin(p0) + y * F.sin(ang) * F.cos(p0) / F.nullif(rho, F.lit(0.0))))))
+    lat = F.when(near, p0).otherwise(F.asin(_unit(F.cos(ang) * F.sin(p0) + y * F.sin(ang) * F.cos(p0) / F.nullif(rho, F.lit(0.0)))))
     lon = F.radians(c(lon0)) + F.when(near, 0.0).otherwise(F.atan2(x * F.sin(ang), rho * F.cos(p0) * F.cos(ang) - y * F.sin(p0) * F.sin(ang)))
     return F.degrees(lon), F.degrees(lat)
 

@@ -11,19 +11,20 @@ import zlib
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from waymark.functions.geo import c
 
 # --- Unicode forms (Spark SQL has no normalisation function)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def search_key(names: pd.Series) -> pd.Series:
     """Compatibility decomposition without combining marks U+0300-U+036F, in lower case. Null stays null."""
     return names.map(lambda s: None if s is None else "".join(x for x in unicodedata.normalize("NFKD", s) if not "̀" <= x <= "ͯ").lower())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc_lower(names: pd.Series) -> pd.Series:
     return names.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s).lower())
 
@@ -33,10 +34,10 @@ def one_space(col: Column) -> Column:
 
 
 def strip_affixes(col: Column, suffixes: list[str]) -> Column:
-    """Listed suffixes go, one after the other; a name that is nothing but a suffix becomes empty."""
+    """Listed suffixes go from the end, one after the other, with the space before them; a name that is nothing else becomes empty."""
     for s in suffixes:
-        col = F.trim(F.when(F.endswith(col, F.lit(s)), F.substring(col, F.lit(1), F.length(col) - len(s))).otherwise(col))
-    return col
+        col = F.regexp_replace(col, rf"\s*\Q{s.lower()}\E$", "")
+    return F.trim(col)
 
 
 def station_key(col: Column, suffixes: list[str]) -> Column:
@@ -44,19 +45,21 @@ def station_key(col: Column, suffixes: list[str]) -> Column:
     return strip_affixes(one_space(nfkc_lower(col)), suffixes)
 
 
-#: Words that name a direction of travel.
-DIRECTIONS = ("northbound", "southbound", "eastbound", "westbound", "inbound", "outbound", "clockwise", "counterclockwise", "anticlockwise")
-DIRECTIONS_CJK = ("上り", "下り", "内回り", "外回り", "方面", "行き")
+#: Words that name a direction of travel, endings that do after a dash, and prefixes of a route's type.
+DIRECTIONS_CJK = ("順向", "逆向", "上り", "下り", "往程", "返程", "西向", "東向", "北向", "南向", "順行", "逆行")
+DIRECTIONS = ("inbound", "outbound")
+DASH_ENDINGS = ("north", "south", "east", "west", "inbound", "outbound", "北", "南", "東", "西")
+TYPE_PREFIXES = ("列車", "train")
 
 
 def line_name(col: Column) -> Column:
-    """A route name without what tells its variants apart: parentheses, arrow tails, directions, lone numbers, loose dashes."""
-    col = F.regexp_replace(col, r"\([^()]*\)|（[^（）]*）|\[[^\[\]]*\]", " ")
-    col = F.regexp_replace(col, r"\s*(?:→|=>|⇒|->|↔|⇔|<->).*$", "")
-    col = F.regexp_replace(col, "|".join(DIRECTIONS_CJK), " ")
-    col = F.regexp_replace(col, rf"(?iU)\b(?:{'|'.join(DIRECTIONS)})\b", " ")
-    col = F.regexp_replace(col, r"(?:^|\s)\d+(?=\s|$)", " ")
-    col = F.regexp_replace(col, r"\s[-–—]+(?=\s|$)|^[-–—]+\s", " ")
+    """A route name without what tells its variants apart: type prefix, parentheses, arrow tails, directions, lone numbers."""
+    arrow = "(?:[→⇒←⇐↔]|->)"
+    for pattern in (
+        rf"(?iu)^(?:{'|'.join(TYPE_PREFIXES)})[ \u3000]+", r"[(（][^)）]+[)）]", rf"\s+\S*?{arrow}.*$", rf"{arrow}.*$", "|".join(DIRECTIONS_CJK), rf"(?iU)\b(?:{'|'.join(DIRECTIONS)})\b",
+        rf"(?iu)\s*-\s*(?:{'|'.join(DASH_ENDINGS)})$", r"\b\d+\b", r"^\s*-\s*|\s+-\s*$",
+    ):
+        col = F.trim(F.regexp_replace(col, pattern, "" if pattern.startswith("(?iu)^") else " "))
     return one_space(col)
 
 
@@ -146,16 +149,13 @@ def osm_type(prefix: Column) -> Column:
 # --- colours
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def hash_hue(names: pd.Series) -> pd.Series:
     """A hue from a name: the 32-bit times-33 hash over UTF-16 code units, its absolute value modulo 360."""
 
     def hue(s: str) -> int:
-        h = 5381
-        raw = s.encode("utf-16-le", "surrogatepass")
-        for k in range(0, len(raw), 2):
-            h = (h * 33 + int.from_bytes(raw[k : k + 2], "little")) & 0xFFFFFFFF
-        return abs(h - (1 << 32) if h >= 1 << 31 else h) % 360
+        h = _times33(s)
+        return (h if h < 1 << 31 else (1 << 32) - h) % 360
 
     return names.map(lambda s: None if s is None else hue(s)).astype("Int32")
 
@@ -181,22 +181,30 @@ def normalise_colour(col: Column, fallback: str | None = None) -> Column:
     return F.when(F.length(F.trim(col)) > 0, F.when(F.startswith(F.trim(col), F.lit("#")), F.trim(col)).otherwise(F.concat(F.lit("#"), F.trim(col)))).otherwise(F.lit(fallback))
 
 
-@F.pandas_udf("string")
+def _times33(s: str) -> int:
+    """The times-33 hash over UTF-16 code units, as 32 bits without sign."""
+    h, raw = 5381, s.encode("utf-16-le", "surrogatepass")
+    for k in range(0, len(raw), 2):
+        h = (h * 33 + int.from_bytes(raw[k : k + 2], "little")) & 0xFFFFFFFF
+    return h
+
+
+def _base36(n: int) -> str:
+    out = ""
+    while n or not out:
+        n, d = divmod(n, 36)
+        out = "0123456789abcdefghijklmnopqrstuvwxyz"[d] + out
+    return out
+
+
+@F.pandas_udf(T.StringType())
 def slug(names: pd.Series) -> pd.Series:
     """Lower-case ASCII words joined by dashes if 5 characters or more come out; else with a base-36 hash that tells names apart."""
 
     def one(s: str) -> str:
-        plain = re.sub(r"[^a-z0-9]+", "-", unicodedata.normalize("NFKD", s).encode("ascii", "ignore").decode().lower()).strip("-")
-        if len(plain) >= 5:
-            return plain
-        h = 0
-        for ch in s:
-            h = (h * 31 + ord(ch)) & 0xFFFFFFFF
-        digits = ""
-        while h or not digits:
-            h, d = divmod(h, 36)
-            digits = "0123456789abcdefghijklmnopqrstuvwxyz"[d] + digits
-        return f"{plain}-{digits}" if plain else f"op{digits}"
+        plain = re.sub(r"[^a-z0-9]+", "-", s.lower())
+        plain = plain.removeprefix("-").removesuffix("-")
+        return plain if len(plain) >= 5 else f"{plain}-{_base36(_times33(s))}" if plain else f"op{_base36(_times33(s))}"
 
     return names.map(lambda s: None if s is None else one(s))
 
@@ -258,7 +266,7 @@ def decode_entities(col: Column) -> Column:
     return F.replace(_numeric(col), F.lit("&amp;"), F.lit("&"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _numeric(texts: pd.Series) -> pd.Series:
     def one(m: re.Match) -> str:
         code = int(m[1], 16) if m[1] else int(m[2])
@@ -282,7 +290,7 @@ def canonical(value):
     return [canonical(x) for x in value] if isinstance(value, list) else value
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonical_json(texts: pd.Series) -> pd.Series:
     """JSON with sorted keys and no spaces; null for text that isn't JSON."""
 
@@ -295,7 +303,7 @@ def canonical_json(texts: pd.Series) -> pd.Series:
     return texts.map(one)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def deflate(texts: pd.Series) -> pd.Series:
     """UTF-8, raw deflate."""
 
@@ -310,7 +318,7 @@ def deflate(texts: pd.Series) -> pd.Series:
 INFLATE_LIMIT, ENVELOPE_VERSION = 1 << 20, 1
 
 
-@F.pandas_udf("status string, payload string")
+@F.pandas_udf(T.StructType([T.StructField("status", T.StringType()), T.StructField("payload", T.StringType())]))
 def decode_envelope(texts: pd.Series) -> pd.DataFrame:
     """status (ok, invalid-base64url, inflate-failed, invalid-json, unsupported-version, schema-invalid) and the payload."""
 

@@ -76,12 +76,18 @@ def search_names(entries: DataFrame, term: str, limit: int = 20) -> DataFrame:
     return entries.withColumn("rank", rank).filter(F.col("rank").isNotNull()).orderBy("rank", "level", F.desc("area_km2"), "relation_id").limit(limit)
 
 
-def coverage(request: Column, packs: DataFrame, key: str = "pack") -> DataFrame:
-    """Packs that meet a box, best first: those that contain it by area, then by the part of it they cover."""
-    p = packs.filter(geo.boxes_meet(F.col("box"), request))
-    p = p.withColumn("contains", geo.box_has_box(F.col("box"), request)).withColumn("ratio", geo.overlap_ratio(F.col("box"), request))
-    order = Window.partitionBy("request").orderBy(F.desc("installed"), F.desc("contains"), F.when(F.col("contains"), geo.box_area(F.col("box"))), F.desc("ratio"), key)
-    return p.withColumn("place", F.row_number().over(order)).filter("place = 1")
+def best_pack(requests: DataFrame, packs: DataFrame, degrees: float = 0.1) -> DataFrame:
+    """(request, pack, installed, contains): installed packs first, then those that contain the request (the smallest), then
+    the fullest overlap. requests: (request, area); packs: (pack, installed, box)."""
+    from waymark.operators.spatial_join import box_cells
+
+    tiles = box_cells(packs, F.col("box"), degrees)
+    p = box_cells(requests, F.col("area"), degrees).join(tiles, ["cell_x", "cell_y"]).filter(geo.boxes_meet(F.col("box"), F.col("area"))).dropDuplicates(["request", "pack"])
+    p = p.withColumn("contains", geo.box_has_box(F.col("box"), F.col("area")))
+    size, part = F.round(geo.box_area(F.col("box")), 12), F.round(geo.overlap_ratio(F.col("box"), F.col("area")), 6)
+    order = [F.desc("installed"), F.desc("contains"), F.when(F.col("contains"), size), F.desc(F.when(~F.col("contains"), part)), F.col("pack")]
+    p = p.withColumn("place", F.row_number().over(Window.partitionBy("request").orderBy(*order)))
+    return p.filter("place = 1").select("request", "pack", "installed", "contains")
 
 
 def freshest_covering(requests: DataFrame, cached: DataFrame, degrees: float = 0.25) -> DataFrame:

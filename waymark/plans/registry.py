@@ -19,7 +19,7 @@ def pos(key: str, lon: str = "lon", lat: str = "lat") -> str:
 
 
 def hav(lon1: str, lat1: str, lon2: str, lat2: str, radius: str = "6371008.8") -> str:
-    a = f"least(1.0::DOUBLE, pow(sin((radians({lat2}) - radians({lat1})) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2})) * pow(sin(radians({lon2} - {lon1}) / 2), 2))"
+    a = f"(pow(sin((radians({lat2}) - radians({lat1})) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2})) * pow(sin(radians({lon2} - {lon1}) / 2), 2))"
     return f"(2 * {radius}::DOUBLE * atan2(sqrt({a}), sqrt(1 - {a})))"
 
 

@@ -22,7 +22,7 @@ def _r(col, n: int, name: str):
 
 
 @query(f"""
-WITH p AS ({CUSTOMERS}), q AS (SELECT *, k % 360 AS bearing, 100.0::DOUBLE + k % 5000 AS m FROM p)
+WITH p AS ({CUSTOMERS}), q AS (SELECT *, k % 360 AS bearing, 100.3::DOUBLE + k % 5000 AS m FROM p)
 SELECT k, round({hav('lon', 'lat', '139.5', '35.5')}, 3) AS m_to, round({hav('lon', 'lat', '139.5', '35.5', '6371.0')}, 6) AS km_to,
   round(degrees(radians(lon) + atan2(sin(radians(bearing)) * sin(m / 6371000) * cos(radians(lat)), cos(m / 6371000) - sin(radians(lat)) * (sin(radians(lat)) * cos(m / 6371000) + cos(radians(lat)) * sin(m / 6371000) * cos(radians(bearing))))), 6) AS to_lon,
   round(degrees(asin(sin(radians(lat)) * cos(m / 6371000) + cos(radians(lat)) * sin(m / 6371000) * cos(radians(bearing)))), 6) AS to_lat,
@@ -33,7 +33,7 @@ SELECT k, round({hav('lon', 'lat', '139.5', '35.5')}, 3) AS m_to, round({hav('lo
   CASE WHEN m < 1000 THEN printf('%d', floor(m + 0.5)::BIGINT) || ' meters' ELSE printf('%.1f', m / 1000) || ' km' END AS distance, round(m * 0.02 + 5, 6) AS tolerance
 FROM q""")
 def geodesy_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = pois(spark, sf_dir).withColumn("bearing", F.col("poi") % 360).withColumn("m", F.lit(100.0) + F.col("poi") % 5000)
+    p = pois(spark, sf_dir).withColumn("bearing", F.col("poi") % 360).withColumn("m", F.lit(100.3) + F.col("poi") % 5000)
     x, y = geo.destination("lon", "lat", "bearing", "m")
     box = geo.circle_box("lon", "lat", "m")
     return p.select(
@@ -53,7 +53,7 @@ SELECT k, w <= 139.7 AND e >= 139.3 AND s <= 35.7 AND n >= 35.3 AS meets, lon BE
   round((w + e) / 2, 6) AS mid_x, round(sqrt(pow((e - w) * 111320 * cos(radians((s + n) / 2)), 2) + pow((n - s) * 111320, 2)), 2) AS diagonal,
   round(greatest(abs(w - 139.3), abs(e - 139.7), abs(s - 35.3), abs(n - 35.7)), 6) AS moved, round(w - 0.25, 6) AS padded_w,
   round(w - 5000 / (111320 * cos(radians((s + n) / 2))), 8) AS window_w, {hav('lon', 'lat', '139.5', '35.5')} + 2000 <= 30000 AS circle_in, 'metric' AS units,
-  w <= 141.1 AND e >= 136.0 AND s <= 38.0 AND n >= 34.5 OR w <= 142.2 AND e >= 138.4 AND s <= 41.6 AND n >= 37.0 AS japan
+  {' OR '.join(f'(w <= {e} AND e >= {w} AND s <= {n} AND n >= {s})' for w, s, e, n in geo.JAPAN)} AS japan
 FROM c""")
 def box_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = pois(spark, sf_dir).withColumn("k", F.col("poi") + 17)
@@ -118,7 +118,7 @@ p AS (SELECT *, lead(x) OVER o AS x2, lead(y) OVER o AS y2 FROM r WINDOW o AS (P
 
 @query(f"""{RING_SQL}
 SELECT station, count(*)::INT AS points, round(sum((x * y2 - x2 * y) / 2), 8) AS planar, round(abs(sum(radians(x2 - x) * (2 + sin(radians(y)) + sin(radians(y2))))) * 6378137.0 * 6378137.0 / 2, 1) AS m2,
-  round(abs(sum((x * y2 - x2 * y) / 2)) * 111320.0 * 111320.0 * cos(radians(avg(y))), 0) AS flat_m2, round(sum({hav('x', 'y', 'x2', 'y2')}) FILTER (x2 IS NOT NULL), 3) AS perimeter,
+  round(abs(sum((x * y2 - x2 * y) / 2)) * 111320.0 * 111320.0 * cos(radians(avg(y))), 0) AS flat_m2, round(sum({hav('x', 'y', 'x2', 'y2')}), 3) AS perimeter,
   round(min(x), 7) AS w, round(max(y), 7) AS n, true AS holds_centre, false AS holds_other, true AS closed
 FROM p GROUP BY station""")
 def station_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
