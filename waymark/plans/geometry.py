@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.functions import geo, kernels, rings
-from waymark.operators import sequences
-from waymark.plans.registry import LAT, LON, query
-from waymark.plans.spatial import POIS, RING_SQL, STATIONS
+from waymark.operators import measuring, overlay, sequences
+from waymark.plans.registry import LAT, LON, hav, pos, query
+from waymark.plans.spatial import AREAS, DIAMOND, POIS, RING_SQL, STATIONS, areas
 from waymark.plans.transit import stop_times
 from waymark.session import placed, pois, stations, table
 from waymark.sources import readers
@@ -122,3 +122,46 @@ def streamed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def streamed_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's latest request, from keyed streaming state."""
     return streams.run_to_end(streams.latest_requests(streams.read_events(spark, f"{sf_dir}/events.parquet")), "update", ["user_id"])
+
+
+RASTER = f"""WITH a AS ({AREAS}), g AS (SELECT *, unnest(range(floor(s / 0.02)::BIGINT, floor(n / 0.02)::BIGINT + 1)) AS cy FROM a), c AS (SELECT *, unnest(range(floor(w / 0.02)::BIGINT, floor(e / 0.02)::BIGINT + 1)) AS cx FROM g),
+r AS (SELECT area, level, cx, cy FROM (SELECT *, (cx + 0.5) * 0.02::DOUBLE AS lon, (cy + 0.5) * 0.02::DOUBLE AS lat FROM c) WHERE {DIAMOND})"""
+
+
+@query(f"""{RASTER}, d AS (SELECT DISTINCT cx, cy, floor(cx / 64.0) AS tx, floor(cy / 64.0) AS ty FROM r), k AS (SELECT *, cx - row_number() OVER (PARTITION BY tx, ty, cy ORDER BY cx) AS run FROM d),
+m AS (SELECT tx, ty, cy, run, count(*) AS cells FROM k GROUP BY 1, 2, 3, 4) SELECT count(*) AS pieces, sum(cells)::BIGINT AS cells, max(cells) AS widest FROM m""")
+def dissolved_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All boundaries dissolved: the rectangles of covered cells, by tile."""
+    out = overlay.dissolve(overlay.rasterise(areas(spark, sf_dir), ["area"], 0.02), 0.02)
+    return out.agg(F.count(F.lit(1)).alias("pieces"), F.sum("cells").alias("cells"), F.max("cells").alias("widest"))
+
+
+@query(f"""{RASTER}, s AS (SELECT *, 0.02::DOUBLE * 0.02 * 111320 * 111320 * cos(radians((cy + 0.5) * 0.02::DOUBLE)) AS m2 FROM (SELECT level, cx, cy, bool_or(area % 2 = 0) AS a, bool_or(area % 2 = 1) AS b FROM r GROUP BY 1, 2, 3))
+SELECT level, round(sum(m2) / 1e6, 3) AS union_km2, round(coalesce(sum(m2) FILTER (a AND b), 0) / 1e6, 3) AS both_km2, round(coalesce(sum(m2) FILTER (a AND NOT b), 0) / 1e6, 3) AS only_a_km2 FROM s GROUP BY level""")
+def overlay_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Union, intersection and difference of each level's boundaries with even and with odd keys."""
+    r = overlay.rasterise(areas(spark, sf_dir), ["area", "level"], 0.02)
+    out = overlay.overlay_areas(r.filter("area % 2 = 0"), r.filter("area % 2 = 1"), "level", 0.02)
+    return out.select("level", *(F.round(F.col(f"{k}_m2") / 1e6, 3).alias(f"{k}_km2") for k in ("union", "both", "only_a")))
+
+
+@query(f"""
+WITH s AS ({STATIONS}), a AS (SELECT area, level, w, e, s AS lo, n AS hi, (w + e) / 2 AS cx, (s + n) / 2 AS cy FROM ({AREAS}) WHERE level = 1),
+g AS (SELECT area, cx - 0.15003 AS ax, cy AS ay, cx AS bx, cy - 0.15003 AS b_y FROM a UNION ALL SELECT area, cx, cy - 0.15003, cx + 0.15003, cy FROM a UNION ALL SELECT area, cx + 0.15003, cy, cx, cy + 0.15003 FROM a UNION ALL SELECT area, cx, cy + 0.15003, cx - 0.15003, cy FROM a),
+t AS (SELECT station, lon, lat, ax, ay, bx, b_y, greatest(0, least(1, ((lon - ax) * cos(radians(lat)) * (bx - ax) * cos(radians(lat)) + (lat - ay) * (b_y - ay)) / (pow((bx - ax) * cos(radians(lat)), 2) + pow(b_y - ay, 2)))) AS t FROM s, g
+  WHERE least(ax, bx) <= lon + 50000 / (111320 * cos(radians(lat))) AND greatest(ax, bx) >= lon - 50000 / (111320 * cos(radians(lat))) AND least(ay, b_y) <= lat + 50000 / 111320.0 AND greatest(ay, b_y) >= lat - 50000 / 111320.0),
+d AS (SELECT station, min({hav('lon', 'lat', '(ax + t * (bx - ax))', '(ay + t * (b_y - ay))', '6371000.0')}) AS m FROM t GROUP BY station),
+i AS (SELECT DISTINCT station FROM s, a WHERE abs(lon - cx) + abs(lat - cy) < 0.15003)
+SELECT s.station, round(CASE WHEN i.station IS NOT NULL THEN 0 ELSE m END, 2) AS m FROM s LEFT JOIN d USING (station) LEFT JOIN i ON i.station = s.station""")
+def distance_to_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each station is from the nearest boundary of a level: 0 inside."""
+    a = areas(spark, sf_dir).filter("level = 1").select("area", "box", "multi")
+    return measuring.distance_to_areas(stations(spark, sf_dir).select("station", "lon", "lat"), a, "station").select("station", F.round("m", 2).alias("m"))
+
+
+@query(f"""
+WITH b AS (SELECT n_regionkey % 3 AS k, n_name AS source, n_nationkey AS f, {LON.format('n_nationkey')} AS x FROM nation) SELECT 'c' || k AS category, sum(f)::BIGINT AS features, round(min(x), 6) AS w, round(max(x) + 1, 6) AS e, string_agg(DISTINCT source, '; ' ORDER BY source) AS source FROM b GROUP BY k""")
+def merged_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "nation").withColumn("k", F.col("n_nationkey").cast("long"))
+    n = placed(n, "k").select(F.concat(F.lit("c"), F.col("n_regionkey") % 3).alias("category"), F.col("k").alias("features"), F.col("n_name").alias("source"), geo.bbox("lon", "lat", F.col("lon") + 1, F.col("lat") + 1).alias("box"))
+    return measuring.merge_bundles(n).select("category", "features", F.round("box.w", 6).alias("w"), F.round("box.e", 6).alias("e"), "source")
