@@ -64,7 +64,7 @@ def read_bundles(rows: DataFrame, json_col: str = "json", version: int = 1) -> D
 def read_geojson_lines(spark: SparkSession, path: str) -> DataFrame:
     """Features of a GeoJSON text sequence (record separators allowed): id, tags, kind, geometry (as JSON)."""
     line = F.regexp_replace("value", "^\\x1e", "")
-    f = spark.read.text(path).select(F.from_json(line, "struct<id:string,properties:map<string,string>,geometry:string>").alias("f")).filter("f IS NOT NULL")
+    f = spark.read.text(path).select(F.from_json(line, "struct<id:string,properties:map<string,string>,geometry:string>").alias("f")).filter("f.geometry IS NOT NULL")
     return f.select("f.id", F.col("f.properties").alias("tags"), F.get_json_object("f.geometry", "$.type").alias("kind"), F.col("f.geometry").alias("geometry"))
 
 
