@@ -42,7 +42,8 @@ LAYER_BYTES = 64 << 20
 def scan(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of the patterns in one text: leftmost, non-overlapping per kind; end is exclusive."""
     out = []
-    if ":" in text or "=" in text:
+    low = text.lower()
+    if (":" in text or "=" in text) and any(w in low for w in ("passw", "secret", "token", "api")):
         out += [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
     if "AKIA" in text:
         out += [("access", m.start(), m.end()) for m in ACCESS.finditer(text)]
