@@ -378,9 +378,9 @@ def test_decontamination(spark, docs, none):
 # --- 10
 
 
-def mix_truth(rows, weights=(5, 2, 1)):
+def mix_truth(rows, weights=(5, 2, 1), sizes=None):
     size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
-    total = defaultdict(int)
+    total = defaultdict(int, sizes or {})
     for _, t, s in rows:
         total[s] += size(t)
     order = sorted(total, key=lambda s: (s is None, s or ""))
@@ -413,3 +413,15 @@ def test_mixing(spark, docs, none):
     rows_taken = mixing.take(df)
     assert sum(r["copies"] * r["size"] for r in rows_taken.collect()) == sum(taken.values())
     assert mixing.mix(none).count() == 0 and mixing.mix(docs).count() == 12
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 20])
+def test_mixing_targets(spark, n):
+    """Sources of like and of very different sizes; targets against the rounds of the rule itself."""
+    rng = np.random.default_rng(n)
+    for sizes in (rng.integers(900, 1100, n), rng.integers(1, 1000, n) ** 2, np.zeros(n, int)):
+        names = [f"s{k:02}" if k else None for k in range(n)]
+        _, target = mix_truth([], sizes=dict(zip(names, map(int, sizes))))
+        df = spark.createDataFrame(list(zip(names, map(int, sizes))), "source string, source_size long").coalesce(1)
+        got = {r["source"]: r["target"] for r in mixing.water_level(df, (5, 2, 1), 1.5, 2.0).collect()}
+        assert all(abs(got[s] - target[s]) < 1e-6 * max(1, target[s]) for s in names) and abs(sum(got.values()) - 1.5 * sizes.sum()) < 1e-3

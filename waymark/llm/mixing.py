@@ -41,9 +41,10 @@ def water_level(sources: DataFrame, weights: tuple[int, ...], budget: float, mos
     up = Window.orderBy("ratio", F.col("source").isNull(), "source").rowsBetween(Window.unboundedPreceding, -1)
     rest = F.sum("source_size").over(every) * budget - F.coalesce(F.sum("cap").over(up), F.lit(0.0))
     left = F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(up), F.lit(0.0))
-    s = s.withColumn("level", rest / left)  # if all sources before this one are capped
-    level = F.min(F.when(F.col("ratio") >= F.col("level"), F.col("level"))).over(every)
-    return s.select("source", "source_size", F.when(level.isNull(), F.col("cap")).otherwise(F.least("cap", level * F.col("weight"))).alias("target"))
+    # The level if all sources before this one are capped. It rises as long as capping the next one frees words, and falls
+    # from then on: the highest is the right one.
+    s = s.withColumn("level", rest / left)
+    return s.select("source", "source_size", F.least("cap", F.max("level").over(every) * F.col("weight")).alias("target"))
 
 
 def thresholds(sized: DataFrame, targets: DataFrame) -> DataFrame:

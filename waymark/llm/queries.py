@@ -112,7 +112,7 @@ SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
-#: Shares: a source's target is the smaller of its cap and level x weight; the level is where all targets add up. Documents go
+#: Shares: a source's target is the smaller of its cap and level x weight; the level is where all targets add up (the highest of the levels with the first sources capped). Documents go
 #: in by their draw: a source's base copies, then in the order of draws as far as the rest of its target reaches.
 OP10_SQL = r"""
 WITH d AS (
@@ -125,7 +125,7 @@ l AS (
   SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER up, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER up, 0)) AS level
   FROM c WINDOW up AS (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), t AS (
-  SELECT source, source_size, coalesce(least(cap, min(CASE WHEN ratio >= level THEN level END) OVER () * weight), cap) AS target FROM l
+  SELECT source, source_size, least(cap, max(level) OVER () * weight) AS target FROM l
 ), n AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS base FROM t
 ), r AS (
