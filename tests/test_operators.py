@@ -54,6 +54,13 @@ def test_points_along_a_line(spark):
     assert got == [(2, 0, 1), (1, 1, 2)]
 
 
+def test_nearest_however_far(spark):
+    left = spark.createDataFrame([(1, 139.0, 35.0), (2, 139.0, 36.0), (3, -60.0, -30.0), (4, None, 35.0)], "station int, lon double, lat double")
+    right = spark.createDataFrame([(5, 139.0, 35.01), (6, 139.0, 37.0), (7, None, 35.0)], "poi int, r_lon double, r_lat double")
+    got = {r["station"]: r["best"] for r in spatial_join.nearest_anywhere(left, right, ["station"], F.col("poi"), tie=F.col("poi")).collect()}
+    assert got == {1: 5, 2: 5, 3: 6, 4: None}
+
+
 # --- elimination
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.functions import geo
-from waymark.operators.spatial_join import nearest_anywhere
+from waymark.operators.spatial_join import nearest_anywhere, within_distance
 from waymark.session import save
 
 #: Fixed values of the widening search: least first radius, last radius, and how many candidates are enough.
@@ -30,25 +30,22 @@ def radius_ladder(station_radius: float) -> list[float]:
 def progressive(points: DataFrame, candidates: DataFrame, station_radius: float, key: str = "station") -> DataFrame:
     """key, radius, found: the first rung of a doubling ladder with more than 10 candidates; the last rung if none has.
 
-    The ladder is known beforehand, so one pass counts all rungs at once; the few search points are broadcast.
+    A rung is a join on cells of its size, for the points that no rung before has settled.
     """
-    ladder = radius_ladder(station_radius)
-    c = candidates.select(F.col("lon").alias("r_lon"), F.col("lat").alias("r_lat"))
-    both = c.crossJoin(F.broadcast(points.select(key, "lon", "lat")))
-    m = geo.haversine_m("lon", "lat", "r_lon", "r_lat")
-    n = both.select(key, m.alias("m")).groupBy(key).agg(*(F.count_if(F.col("m") <= r).alias(f"n{i}") for i, r in enumerate(ladder)))
-    pick, found = F.lit(ladder[-1]), F.col(f"n{len(ladder) - 1}")
-    for i in range(len(ladder) - 2, -1, -1):
-        ok = F.col(f"n{i}") > ENOUGH
-        pick, found = F.when(ok, ladder[i]).otherwise(pick), F.when(ok, F.col(f"n{i}")).otherwise(found)
-    return n.select(key, pick.alias("radius"), found.alias("found"))
-
-
-def nearest_candidate(cells: DataFrame, candidates: DataFrame, cell: str, key: str) -> DataFrame:
-    """(cell, key): the candidate nearest in plain degrees. Candidates of one question are few and broadcast."""
-    d = F.round(F.pow(F.col("lon") - F.col("r_lon"), 2) + F.pow(F.col("lat") - F.col("r_lat"), 2), 14)
-    both = cells.crossJoin(F.broadcast(candidates))
-    return both.groupBy(cell).agg(F.min_by(key, F.struct(d, F.col(key))).alias(key))
+    right = candidates.select(F.col("lon").alias("r_lon"), F.col("lat").alias("r_lat"))
+    todo, out, ladder = save(points.select(key, "lon", "lat")), None, radius_ladder(station_radius)
+    for r in ladder:
+        n = within_distance(todo, right, r).groupBy(key).agg(F.count(F.lit(1)).alias("found"))
+        if r < ladder[-1]:
+            n = n.filter(F.col("found") > ENOUGH)
+        else:
+            n = todo.select(key).join(n, key, "left").select(key, F.coalesce("found", F.lit(0)).alias("found"))
+        n = save(n.select(key, F.lit(r).alias("radius"), "found"))
+        out = n if out is None else out.union(n)
+        todo = save(todo.join(n, key, "left_anti"))
+        if todo.isEmpty():
+            break
+    return out
 
 
 def measure_cells(cells: DataFrame, targets: DataFrame, lon: float, lat: float) -> DataFrame:
@@ -56,8 +53,6 @@ def measure_cells(cells: DataFrame, targets: DataFrame, lon: float, lat: float)
 
     Nothing is closer if the seeker stands on a target: a distance of 0 constrains nothing.
     """
-    from waymark.operators.spatial_join import within_distance
-
     seeker = cells.sparkSession.createDataFrame([(0, lon, lat)], "q int, lon double, lat double")
     r = nearest_anywhere(seeker, targets, ["q"], F.col("poi"), tie=F.col("poi")).first()["m"]
     if not r:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions import geo, rings
 from waymark.functions.geo import DEGREE_M, c
+from waymark.session import save
 
 
 def cells(df: DataFrame, lon: str, lat: str, degrees: float, dx: Column | None = None, dy: Column | None = None) -> DataFrame:
@@ -52,17 +53,47 @@ def nearest(left: DataFrame, right: DataFrame, k: int, metres: float, key: list[
     return near.withColumn("rank", F.row_number().over(Window.partitionBy(*key).orderBy("m", *tie))).filter(F.col("rank") <= k)
 
 
-def nearest_anywhere(left: DataFrame, right: DataFrame, key: list[str], payload: Column, left_at: tuple[str, str] = ("lon", "lat"), right_at: tuple[str, str] = ("r_lon", "r_lat"), tie: Column | None = None) -> DataFrame:
-    """The nearest right row for each left row without a radius: ``best`` (payload), ``m``. For a left side of few query rows.
+def nearest_anywhere(left: DataFrame, right: DataFrame, key: list[str], payload: Column, left_at: tuple[str, str] = ("lon", "lat"), right_at: tuple[str, str] = ("r_lon", "r_lat"), tie: Column | None = None, first_m: float = 2000.0) -> DataFrame:
+    """The nearest right row for each left key, however far: ``best`` (payload), ``m``; null if there is none at all.
 
-    Every left row meets every right row; the right side's partitions keep their minimum each before anything is shuffled.
+    The radius doubles round by round, each a join on cells of that size; rows that found something are done, as nothing
+    outside the radius is nearer. Rounds end when all are done, or the radius spans the globe.
     """
-    d = geo.haversine_m(*left_at, *right_at)
-    ok = d.isNotNull() & ~F.isnan(d)
-    both = F.broadcast(left).crossJoin(right).filter(ok).withColumn("m", d)
+    ok = lambda df, at: df.filter(F.col(at[0]).isNotNull() & F.col(at[1]).isNotNull() & ~F.isnan(at[0]) & ~F.isnan(at[1]))
+    points = save(left.select(*key, *left_at).distinct())
+    right, todo, done, r = ok(right, right_at), ok(points, left_at), None, first_m
     order = F.struct("m", tie) if tie is not None else F.struct("m")
-    out = both.groupBy(*key).agg(F.min_by(payload, order).alias("best"), F.min("m").alias("m"))
-    return left.select(*key).distinct().join(out, key, "left")
+    while not todo.isEmpty() and r < 4e7:
+        near = within_distance(todo, right, r, left_at, right_at) if r < 1e6 else _all_pairs(todo, right, left_at, right_at)
+        found = save(near.groupBy(*key).agg(F.min_by(payload, order).alias("best"), F.min("m").alias("m")))
+        done = found if done is None else done.union(found)
+        if r >= 1e6:
+            break
+        todo, r = save(todo.join(found, key, "left_anti")), r * 4
+    keys = points.select(*key).distinct()
+    if done is None:
+        done = keys.join(right.select(payload.alias("best"), F.lit(0.0).alias("m")).limit(0), F.lit(False), "left")
+    return keys.join(done, key, "left")
+
+
+def _all_pairs(few: DataFrame, right: DataFrame, left_at: tuple[str, str], right_at: tuple[str, str]) -> DataFrame:
+    """Rows that have nothing within 1000 km against all of the right side; they are outliers, so few."""
+    return right.crossJoin(few).withColumn("m", geo.haversine_m(*left_at, *right_at))
+
+
+def nearest_in_plane(left: DataFrame, right: DataFrame, key: list[str], payload: str, first_deg: float = 0.05, digits: int = 14) -> DataFrame:
+    """The right row nearest in plain degrees for each left row, by widening squares; ties by the payload.
+
+    A square of half width d holds all points within d, so a hit counts once its distance is at most d.
+    """
+    todo, done, d = save(left.select(*key, "lon", "lat")), None, first_deg
+    while not todo.isEmpty() and d < 720:
+        near = cells(todo, "lon", "lat", d, F.lit(d), F.lit(d)).join(cells(right, "r_lon", "r_lat", d), ["cell_x", "cell_y"])
+        d2 = F.round(F.pow(F.col("lon") - F.col("r_lon"), 2) + F.pow(F.col("lat") - F.col("r_lat"), 2), digits)
+        found = save(near.filter(d2 <= d * d).groupBy(*key).agg(F.min_by(payload, F.struct(d2, F.col(payload))).alias(payload)))
+        done = found if done is None else done.union(found)
+        todo, d = save(todo.join(found, key, "left_anti")), d * 4
+    return done
 
 
 def points_in_polygons(points: DataFrame, polygons: DataFrame, degrees: float = 0.05, at: tuple[str, str] = ("lon", "lat"), multi: str = "multi") -> DataFrame:

@@ -30,11 +30,11 @@ def wkb_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH p AS ({POIS}), q AS (SELECT poi % 40 AS question, round(lon, 6) AS lon, round(lat, 6) AS lat FROM p)
+WITH p AS ({POIS}), q AS (SELECT poi // 100 AS question, round(lon, 6) AS lon, round(lat, 6) AS lat FROM p)
 SELECT question, count(DISTINCT (lon, lat)) AS cells, 1.0::DOUBLE AS area FROM q GROUP BY question""")
 def voronoi_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Voronoi cells of each question's candidates: as many as distinct places, and together the whole box."""
-    p = pois(spark, sf_dir).withColumn("question", F.col("poi") % 40)
+    p = pois(spark, sf_dir).withColumn("question", F.floor(F.col("poi") / 100))
     cells = sequences.voronoi_cells(p, "poi", (139.0, 35.0, 140.0, 36.0))
     area = F.abs(rings.planar_area(F.col("cell")))
     return cells.withColumn("a", area).groupBy("question").agg(F.count(F.lit(1)).alias("cells"), F.round(F.sum("a"), 6).alias("area"))
@@ -81,9 +81,9 @@ def stitched_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
 def deduped_stations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Station records of three rounds of entity resolution."""
     k = F.col("c_custkey")
-    s = placed(table(spark, sf_dir, "customer").withColumn("k", k % 700), "k")
+    s = placed(table(spark, sf_dir, "customer").withColumn("k", F.floor(k / 4)), "k")
     s = s.select(
-        F.concat(F.lit("n"), (k % 1200).cast("string")).alias("id"), F.col("c_name").alias("name"), F.when(k % 3 == 0, F.col("c_name")).alias("name_en"), F.concat(F.lit("s"), (k % 50).cast("string")).alias("normalised"),
+        F.concat(F.lit("n"), (k % 1200).cast("string")).alias("id"), F.col("c_name").alias("name"), F.when(k % 3 == 0, F.col("c_name")).alias("name_en"), F.concat(F.lit("s"), F.floor(k / 8).cast("string")).alias("normalised"),
         F.when(k % 4 == 0, F.concat(F.lit("Q"), (k % 300).cast("string"))).alias("wikidata"), F.col("c_mktsegment").alias("operator"), F.create_map(F.lit("railway"), F.lit("station")).alias("tags"), "lon", "lat", k.alias("ord"),
     )
     return sequences.dedupe_stations(s).select("id", "normalised", "wikidata")

@@ -309,14 +309,14 @@ def station_elimination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH c AS ({CELLS}), p AS (SELECT poi, lon AS plon, lat AS plat FROM ({POIS}) WHERE category = 'MACHINERY' AND poi % 5 = 0 AND poi <= 150),
+WITH c AS ({CELLS}), p AS (SELECT poi, lon AS plon, lat AS plat FROM ({POIS}) WHERE category = 'MACHINERY'),
 d AS (SELECT cell, arg_min(poi, (round(pow(lon - plon, 2) + pow(lat - plat, 2), 14), poi)) AS poi FROM c, p GROUP BY cell)
 SELECT poi, count(*) AS cells FROM d GROUP BY poi""")
 def matching_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cells by their nearest candidate, in plain degrees: the membership form of a Voronoi diagram over few candidates."""
+    """Cells by their nearest candidate, in plain degrees: the membership form of a Voronoi diagram."""
     cells = elimination.cell_grid(spark, 139.0, 35.0, 140.0, 36.0, GRID)
-    candidates = pois(spark, sf_dir).filter("category = 'MACHINERY' AND poi % 5 = 0 AND poi <= 150").select("poi", F.col("lon").alias("r_lon"), F.col("lat").alias("r_lat"))
-    return search.nearest_candidate(cells, candidates, "cell", "poi").groupBy("poi").agg(F.count(F.lit(1)).alias("cells"))
+    candidates = pois(spark, sf_dir).filter("category = 'MACHINERY'").select("poi", F.col("lon").alias("r_lon"), F.col("lat").alias("r_lat"))
+    return spatial_join.nearest_in_plane(cells, candidates, ["cell"], "poi").groupBy("poi").agg(F.count(F.lit(1)).alias("cells"))
 
 
 @query(f"""

@@ -12,13 +12,13 @@ from waymark.plans.registry import LAT, LON, hav, pos, query
 from waymark.plans.spatial import POIS, STATIONS
 from waymark.session import placed, pois, stations, table
 
-STOP_ROUTES = "SELECT DISTINCT l_suppkey AS station, 'r' || lpad((l_orderkey % 12)::VARCHAR, 2, '0') AS route FROM lineitem WHERE l_orderkey % 3 = l_suppkey % 3"
+STOP_ROUTES = "SELECT DISTINCT l_suppkey AS station, 'r' || lpad((l_orderkey % 500)::VARCHAR, 3, '0') AS route FROM lineitem"
 
 
 def station_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(station, route) from line items: a third of the orders serve each supplier."""
-    li = table(spark, sf_dir, "lineitem").filter("l_orderkey % 3 = l_suppkey % 3")
-    return li.select(F.col("l_suppkey").alias("station"), F.concat(F.lit("r"), F.lpad((F.col("l_orderkey") % 12).cast("string"), 2, "0")).alias("route")).distinct()
+    """(station, route) from line items: orders as trips of 500 routes, suppliers as their stops."""
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(F.col("l_suppkey").alias("station"), F.concat(F.lit("r"), F.lpad((F.col("l_orderkey") % 500).cast("string"), 3, "0")).alias("route")).distinct()
 
 
 def routed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,26 +74,25 @@ def built_presets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH s AS ({STATIONS}), r AS ({STOP_ROUTES}), l AS (SELECT route, (CASE WHEN route < 'r06' THEN false ELSE true END) AS fallback FROM (SELECT DISTINCT route FROM r)),
+WITH s AS ({STATIONS}), r AS ({STOP_ROUTES}), l AS (SELECT route, (CASE WHEN route < 'r250' THEN false ELSE true END) AS fallback FROM (SELECT DISTINCT route FROM r)),
 a AS (SELECT station, route AS line, fallback FROM r JOIN l USING (route) WHERE station IN (SELECT station FROM s)), f AS (SELECT station, line FROM a WHERE NOT fallback)
 SELECT station, line FROM f UNION ALL SELECT station, min(line) FROM a WHERE fallback AND station NOT IN (SELECT station FROM f) GROUP BY station""")
 def attached_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines attached to stations by key; the last lines of the order serve only stations without another."""
     r = station_routes(spark, sf_dir)
     lines = r.groupBy(F.col("route").alias("line")).agg(F.collect_set(F.concat(F.lit("s"), F.col("station"))).alias("keys"))
-    lines = lines.withColumn("ord", F.substring("line", 2, 2).cast("int")).withColumn("fallback", F.col("line") >= "r06")
+    lines = lines.withColumn("ord", F.substring("line", 2, 3).cast("int")).withColumn("fallback", F.col("line") >= "r250")
     s = stations(spark, sf_dir).select("station", F.lit(None).cast("string").alias("source_id"), F.concat(F.lit("s"), F.col("station")).alias("merge_key"), F.concat(F.lit("id"), F.col("station")).alias("id"))
     return transit.attach_routes(lines, s)
 
 
 @query("""
-WITH o AS (SELECT DISTINCT l_orderkey % 40 AS line, l_partkey % 60 AS way FROM lineitem WHERE l_linenumber <= 2 AND l_orderkey % 7 < 3 AND l_orderkey < 4000),
+WITH o AS (SELECT DISTINCT l_orderkey % 400 AS line, l_partkey * 10 + l_linenumber AS way FROM lineitem),
 w AS (SELECT way, count(*) AS n FROM o GROUP BY 1)
 SELECT line, count(*) AS ways, round(avg(CASE WHEN n > 1 THEN 1.0::DOUBLE ELSE 0 END), 6) AS shared,
   count(*) >= 3 AND line % 2 = 0 AND avg(CASE WHEN n > 1 THEN 1.0::DOUBLE ELSE 0 END) >= 0.9 AS through FROM o JOIN w USING (way) GROUP BY line""")
 def through_services(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").filter("l_linenumber <= 2 AND l_orderkey % 7 < 3 AND l_orderkey < 4000")
-    ways = li.select((F.col("l_orderkey") % 40).alias("line"), (F.col("l_partkey") % 60).alias("way"))
+    ways = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 400).alias("line"), (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("way"))
     passenger = ways.select("line").distinct().filter("line % 2 = 0").withColumn("passenger", F.lit(True))
     return transit.through_services(ways, passenger).select("line", "ways", F.round("shared", 6).alias("shared"), "through")
 
@@ -152,13 +151,13 @@ def votes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH RECURSIVE s AS ({STATIONS}), l AS (SELECT station, lon AS ax, lat AS ay, {LON.format('(station + 1)')} AS bx, {LAT.format('(station + 1)')} AS b_y FROM s WHERE station % 5 = 0), p AS ({POIS}),
+WITH RECURSIVE s AS ({STATIONS}), l AS (SELECT station, lon AS ax, lat AS ay, {LON.format('(station + 1)')} AS bx, {LAT.format('(station + 1)')} AS b_y FROM s), p AS ({POIS}),
 t AS (SELECT l.station AS line, poi, lon, lat, greatest(0, least(1, ((lon - ax) * cos(radians(lat)) * (bx - ax) * cos(radians(lat)) + (lat - ay) * (b_y - ay)) / (pow((bx - ax) * cos(radians(lat)), 2) + pow(b_y - ay, 2)))) AS t, ax, ay, bx, b_y FROM l, p),
 d AS (SELECT line, poi, t, {hav('lon', 'lat', '(ax + t * (bx - ax))', '(ay + t * (b_y - ay))', '6371000.0')} AS m FROM t)
 SELECT line, poi, round(m, 2) AS m, round(t, 6) AS t FROM d WHERE m <= 2500""")
 def pois_along_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points within 2.5 km of a line, with where along it they lie."""
-    s = stations(spark, sf_dir).filter("station % 5 = 0").withColumn("k", F.col("station") + 1).select(F.col("station").alias("line_id"), F.col("lon").alias("ax"), F.col("lat").alias("ay"), "k")
+    s = stations(spark, sf_dir).withColumn("k", F.col("station") + 1).select(F.col("station").alias("line_id"), F.col("lon").alias("ax"), F.col("lat").alias("ay"), "k")
     s = placed(s, "k", "bx", "by").withColumn("line", F.array(F.struct(F.col("ax").alias("x"), F.col("ay").alias("y")), F.struct(F.col("bx").alias("x"), F.col("by").alias("y"))))
     out = spatial_join.points_along_lines(pois(spark, sf_dir), s.select("line_id", "line"), 2500.0, "poi", "line_id", 0.05)
     return out.select(F.col("line_id").alias("line"), "poi", F.round("m", 2).alias("m"), F.round("t", 6).alias("t"))
@@ -273,25 +272,25 @@ def coverage_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH c AS (SELECT p_partkey AS id, p_size::BIGINT AS bytes FROM part WHERE p_partkey % 3 <> 0), r AS (SELECT p_partkey AS id, p_size::BIGINT * 2 AS bytes FROM part WHERE p_partkey % 5 = 0)
+WITH c AS (SELECT p_partkey AS id, p_size::BIGINT AS bytes FROM part WHERE p_size < 40), r AS (SELECT p_partkey AS id, p_size::BIGINT * 2 AS bytes FROM part WHERE p_size > 30)
 SELECT * FROM c WHERE id NOT IN (SELECT id FROM r) UNION ALL SELECT * FROM r""")
 def merged_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A catalogue whose rebuilt rows replace the former ones."""
     p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("long").alias("bytes"))
-    return etl.merge_catalogue(p.filter("id % 3 <> 0"), p.filter("id % 5 = 0").withColumn("bytes", F.col("bytes") * 2))
+    return etl.merge_catalogue(p.filter("bytes < 40"), p.filter("bytes > 30").withColumn("bytes", F.col("bytes") * 2))
 
 
 @query("""
-WITH m AS (SELECT p_partkey AS file, p_size AS bytes, sha256(p_name) AS sha FROM part WHERE p_partkey % 4 <> 0),
-f AS (SELECT p_partkey AS file, p_size + CASE WHEN p_partkey % 9 = 0 THEN 1 ELSE 0 END AS bytes, sha256(CASE WHEN p_partkey % 7 = 0 THEN p_brand ELSE p_name END) AS sha FROM part WHERE p_partkey % 6 <> 0),
+WITH m AS (SELECT p_partkey AS file, p_size AS bytes, sha256(p_name) AS sha FROM part WHERE p_size <> 7),
+f AS (SELECT p_partkey AS file, p_size + CASE WHEN p_partkey % 9 = 0 THEN 1 ELSE 0 END AS bytes, sha256(CASE WHEN p_partkey % 7 = 0 THEN p_brand ELSE p_name END) AS sha FROM part WHERE p_size <> 9),
 b AS (SELECT coalesce(m.file, f.file) AS file, CASE WHEN f.file IS NULL THEN 'missing' WHEN m.file IS NULL THEN 'unexpected' WHEN m.bytes <> f.bytes THEN 'bytes' WHEN m.sha <> f.sha THEN 'sha256' END AS problem FROM m FULL JOIN f USING (file))
 SELECT file, problem FROM b WHERE problem IS NOT NULL""")
 def verified_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What differs between a manifest and the files."""
     p = table(spark, sf_dir, "part")
-    m = p.filter("p_partkey % 4 <> 0").select(F.col("p_partkey").alias("file"), F.col("p_size").alias("bytes"), F.sha2("p_name", 256).alias("sha256"))
+    m = p.filter("p_size <> 7").select(F.col("p_partkey").alias("file"), F.col("p_size").alias("bytes"), F.sha2("p_name", 256).alias("sha256"))
     k = F.col("p_partkey")
-    f = p.filter("p_partkey % 6 <> 0").select(k.alias("file"), (F.col("p_size") + (k % 9 == 0).cast("int")).alias("bytes"), F.sha2(F.when(k % 7 == 0, F.col("p_brand")).otherwise(F.col("p_name")), 256).alias("sha256"))
+    f = p.filter("p_size <> 9").select(k.alias("file"), (F.col("p_size") + (k % 9 == 0).cast("int")).alias("bytes"), F.sha2(F.when(k % 7 == 0, F.col("p_brand")).otherwise(F.col("p_name")), 256).alias("sha256"))
     return etl.verify(m, f)
 
 
@@ -310,12 +309,12 @@ def boundary_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH u AS (SELECT p_partkey % 90 AS osm_id, p_partkey AS ord, 0 AS src FROM part WHERE p_partkey % 4 = 0 UNION ALL SELECT p_partkey % 120, p_partkey, 1 FROM part WHERE p_partkey % 4 = 1)
+WITH u AS (SELECT p_partkey % 90 AS osm_id, p_partkey AS ord, 0 AS src FROM part WHERE p_size <= 25 UNION ALL SELECT p_partkey % 120, p_partkey, 1 FROM part WHERE p_size > 25)
 SELECT osm_id, ord FROM (SELECT *, row_number() OVER (PARTITION BY osm_id ORDER BY src, ord) AS n FROM u) WHERE n = 1""")
 def place_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Local and remote results, the local ones first."""
     p = table(spark, sf_dir, "part")
-    local, remote = (p.filter(f"p_partkey % 4 = {r}").select((F.col("p_partkey") % m).alias("osm_id"), F.col("p_partkey").alias("ord")) for r, m in ((0, 90), (1, 120)))
+    local, remote = (p.filter(f"p_size {r} 25").select((F.col("p_partkey") % m).alias("osm_id"), F.col("p_partkey").alias("ord")) for r, m in (("<=", 90), (">", 120)))
     return etl.union_search(local, remote)
 
 
@@ -331,13 +330,13 @@ def location_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH e AS (SELECT event_id, event_type AS category, user_id, {pos('user_id')}, 500.0 + event_id % 3000 AS r FROM events), c AS (SELECT event_id AS cached, category, lon, lat, r * 1.5 AS r FROM e WHERE event_id % 10 = 0)
+WITH e AS (SELECT event_id, event_type AS category, user_id, {pos('user_id')}, 500.0 + event_id % 3000 AS r, value FROM events), c AS (SELECT event_id AS cached, category, lon, lat, r * 1.5 AS r FROM e WHERE value > 30)
 SELECT e.event_id AS request, max(c.cached) AS cached FROM e JOIN c ON e.category = c.category AND {hav('c.lon', 'c.lat', 'e.lon', 'e.lat')} + e.r <= c.r GROUP BY 1""")
 def semantic_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The freshest cached search circle that holds a requested one; stored circles are half as large again as asked for."""
-    e = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("category"), "user_id", (F.lit(500.0) + F.col("event_id") % 3000).alias("r"))
+    e = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("category"), "user_id", "value", (F.lit(500.0) + F.col("event_id") % 3000).alias("r"))
     e = placed(e, "user_id")
-    cached = e.filter("event_id % 10 = 0").select(F.col("event_id").alias("cached"), "category", F.col("lon").alias("c_lon"), F.col("lat").alias("c_lat"), (F.col("r") * 1.5).alias("c_r"), F.col("event_id").alias("fetched_at"))
+    cached = e.filter("value > 30").select(F.col("event_id").alias("cached"), "category", F.col("lon").alias("c_lon"), F.col("lat").alias("c_lat"), (F.col("r") * 1.5).alias("c_r"), F.col("event_id").alias("fetched_at"))
     return search.freshest_covering(e.select(F.col("event_id").alias("request"), "category", "lon", "lat", "r"), cached).select("request", "cached")
 
 
