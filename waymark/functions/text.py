@@ -13,7 +13,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from waymark.functions.geo import c
 
 # --- Unicode forms (Spark SQL has no normalisation function)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions import geo, kernels, rings
 from waymark.operators import measuring, overlay, sequences
-from waymark.plans.registry import LAT, LON, hav, pos, query
+from waymark.plans.registry import LON, hav, query
 from waymark.plans.spatial import AREAS, DIAMOND, POIS, RING_SQL, STATIONS, areas
 from waymark.plans.transit import stop_times
 from waymark.session import placed, pois, stations, table

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.functions import geo, rings, text
+from waymark.functions import geo, rings
 from waymark.operators import elimination, search, spatial_join
 from waymark.operators.graph import connected_components
 from waymark.plans.registry import LAT, LON, hav, pos, query
-from waymark.session import lat_of, lon_of, placed, pois, save, stations, table
+from waymark.session import lat_of, lon_of, pois, stations, table
 
 CUSTOMERS = f"SELECT c_custkey AS k, c_mktsegment AS category, c_name AS name, {pos('c_custkey')} FROM customer"
 POIS = f"SELECT c_custkey AS poi, c_mktsegment AS category, c_name AS name, {pos('c_custkey')} FROM customer"
