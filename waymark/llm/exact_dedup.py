@@ -50,10 +50,11 @@ def sha256(text: Column) -> Column:
 
 
 def fingerprint_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256) -> DataFrame:
-    """The ledger's rows: doc_id, digest, locator (length of the normalised text and a 64-bit hash of it)."""
+    """The ledger's rows: doc_id, digest, locator (length of the normalised text and a 64-bit hash of it); sha with other digests."""
     text = normalised(text_col)
     slim = docs.select(F.col(id_col).alias("doc_id"), text.alias("t"))
-    return slim.select("doc_id", digest(F.col("t")).alias("digest"), F.struct(F.length("t").alias("n"), F.xxhash64("t").alias("h")).alias("locator"))
+    more = [] if digest is sha256 else [sha256(F.col("t")).alias("sha")]
+    return slim.select("doc_id", digest(F.col("t")).alias("digest"), F.struct(F.length("t").alias("n"), F.xxhash64("t").alias("h")).alias("locator"), *more)
 
 
 def stream_groups(spark: SparkSession, ledger: str, schema, run_dir: str, files_per_batch: int | None = None) -> str:
@@ -92,7 +93,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Texts are equal if identical after white-space runs become one space; null counts as empty, and all empty texts are one
     group. The smallest id of a group stays. Rows that repeat an id and text count in group_size, and all rows of the
     smallest id are kept; null ids come after all others. Other columns are ignored. An empty table gives no rows.
-    ``digest`` may be any function of the text: a weak one costs time, never a wrong result.
+    ``digest`` may be any function of the text: a weak one costs time, never a wrong result. With the run_dir of an earlier
+    run, its rows take part and are returned too; full texts are compared among the rows given now.
     """
     spark = docs.sparkSession
     run_dir = run_dir or scratch(spark, "dedup")
@@ -109,20 +111,14 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     text = docs.select(F.col(id_col).alias("doc_id"), normalised(text_col).alias("t"))
     hits = text.select("doc_id", "t", digest(F.col("t")).alias("digest")).join(small(groups.filter("n > 1").select("digest"), 100), "digest")
     false_hits = stage(hits.groupBy("digest").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).filter("lo <> hi").select("digest"), "dedup-false")
-    same = rows.join(groups, "digest").select("doc_id", "digest", "keep_id", F.col("n").alias("group_size"))
-    sha = F.col("digest") if digest is sha256 else None
+    sha = F.col("digest") if digest is sha256 else F.col("sha")
+    same = rows.join(groups, "digest").select("doc_id", "digest", "keep_id", F.col("n").alias("group_size"), sha.alias("sha"))
     if not false_hits.isEmpty():
         same = same.join(false_hits, "digest", "left_anti")
-        apart = hits.join(false_hits, "digest").withColumn("sha", F.sha2("t", 256))
+        apart = hits.join(false_hits, "digest").withColumn("sha", sha256(F.col("t")))
         by_text = apart.groupBy("t").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("first"), F.count(F.lit(1)).alias("group_size"))
         apart = apart.join(by_text, "t").select("doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", "sha")
-    if sha is None:  # the digest column isn't the contract's
-        known = text.select("doc_id", F.sha2("t", 256).alias("sha"), digest(F.col("t")).alias("digest")).distinct()
-        same = same.join(known, ["digest", "doc_id"]).select("doc_id", "keep_id", "group_size", "sha")
-    else:
-        same = same.select("doc_id", "keep_id", "group_size", sha.alias("sha"))
-    if not false_hits.isEmpty():
-        same = same.unionByName(apart)
+        same = same.drop("digest").unionByName(apart)
     return same.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
