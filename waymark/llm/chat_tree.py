@@ -1,10 +1,11 @@
 """Chat formatting as a prefix tree: turns that conversations share at their start are emitted once.
 
 A node is a distinct start of a conversation: its identifier is the digest of its parent's identifier, its role and its
-text. Trees (one for each distinct first turn) are laid out depth-first: nodes sort by the path of identifiers above them,
-which is the preorder, so no task ever holds a whole tree. Each node carries where its text stands in the tree's packed
-text, its position as counted along its own conversation (the position id of its first character), and the intervals of
-packed text that it may attend to: its ancestors' and its own.
+text. Trees (one for each distinct first turn) are laid out depth-first. Conversations sorted by their chains of identifiers
+are the tree's leaves in depth-first order, so a node's place follows from the first conversation through it and its depth,
+and no task ever holds a whole tree. Each node carries where its text stands in the tree's packed text, its position as
+counted along its own conversation (the position id of its first character), and the intervals of packed text that it may
+attend to: its ancestors' and its own, neighbouring ones merged.
 """
 
 from __future__ import annotations
@@ -49,10 +50,10 @@ def read_turns(text: str) -> list[tuple[str, str]]:
 def build(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(nodes, paths).
 
-    nodes: tree (identifier of its first turn), node, parent, depth, path, text (formatted), size (code points), loss_start
-    and loss_end (within text; equal if the turn bears no loss), position (of its first character along its conversation),
-    offset (in the tree's packed text) and attends (array of (start, end) in the packed text: ancestors, then itself).
-    paths: conv_id, depth, node; a row a turn.
+    nodes: tree (identifier of its first turn), node, parent, depth, place (sorts nodes depth-first, with depth), text
+    (formatted), size (code points), loss_start and loss_end (within text; equal if the turn bears no loss), position (of its
+    first character along its conversation), offset (in the tree's packed text) and attends (array of (start, end) in the
+    packed text: ancestors and itself). paths: conv_id, depth, node; a row a turn.
 
     Turns are ordered by (turn, role, text); null roles and texts count as empty, null turns come first, rows of a null
     conv_id are one conversation, repeated rows are turns of their own.
@@ -65,60 +66,77 @@ def build(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "
     turns = turns.withColumn("loss_end", F.when(F.col("role") == LOSS_ROLE, F.col("size") - len(END)).otherwise(0).cast("long"))
     turns = stage(turns, "chat-turns")
 
-    # Identifiers need a conversation's turns in order, as digests only; a running digest makes each one.
-    order = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "own", "size"))).alias("all"))
+    # Identifiers need a conversation's turns in order, as digests only; a running digest makes each one. Texts break ties of
+    # (turn, role) by their order, which only the rows at hand know: rank them first where there are such ties.
+    tie = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "role", "text"))
+    order = turns.withColumn("k", tie).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("k", "own", "size"))).alias("all"))
+    names = ["conv_id", "depth", "own", "node", "parent", "tree", "leaf", "chain", "position"]
 
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["conv_id", "depth", "turn", "role", "own", "node", "parent", "tree", "position"]
         for batch in batches:
             out: list[list] = [[] for _ in names]
             for conv, all_turns in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                parent, at, tree = "", 0, ""
+                ids, parent = [], ""
+                for t in all_turns:
+                    parent = hashlib.sha256(f"{parent}{t['own']}".encode()).hexdigest()[:32]
+                    ids.append(parent)
+                at = 0
                 for depth, t in enumerate(all_turns):
-                    node = hashlib.sha256(f"{parent}{t['own']}".encode()).hexdigest()[:32]
-                    tree = tree or node
-                    for column, v in zip(out, (conv, depth, t["turn"], t["role"], t["own"], node, parent, tree, at), strict=True):
+                    row = (conv, depth, t["own"], ids[depth], ids[depth - 1] if depth else "", ids[0], ids[-1], None if depth else "".join(ids), at)
+                    for column, v in zip(out, row, strict=True):
                         column.append(v)
-                    parent, at = node, at + t["size"]
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], batch.column(0).type), pa.array(out[1], pa.int32()), pa.array(out[2], turn_type), *(pa.array(x, pa.string()) for x in out[3:8]), pa.array(out[8], pa.int64())], names)
+                    at += t["size"]
+            kinds = (batch.column(0).type, pa.int32(), *[pa.string()] * 6, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names)
 
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    kinds = {f.name: f.dataType for f in turns.schema.fields}
-    turn_type = to_arrow_type(kinds["turn"])
-    schema = f"conv_id {kinds['conv_id'].simpleString()}, depth int, turn {kinds['turn'].simpleString()}, role string, own string, node string, parent string, tree string, position long"
+    kind = turns.schema["conv_id"].dataType.simpleString()
+    schema = f"conv_id {kind}, depth int, own string, node string, parent string, tree string, leaf string, chain string, position long"
     paths = stage(order.mapInArrow(chain, schema), "chat-paths")
 
-    # One row a node: its place from any of the conversations through it, its text by the digest of role and text.
-    places = paths.groupBy("node").agg(F.first("parent").alias("parent"), F.first("tree").alias("tree"), F.first("depth").alias("depth"), F.first("position").alias("position"), F.first("own").alias("own"))
+    # Equal conversations end in the same node: one of each goes on. Sorted by their chains they are in depth-first order.
+    leaves = paths.filter("depth = 0").groupBy("leaf").agg(F.first("tree").alias("tree"), F.first("chain").alias("chain"), F.min("conv_id").alias("one"))
+    leaves = leaves.repartitionByRange(F.col("tree"), F.col("chain")).sortWithinPartitions("tree", "chain")
+    leaves = stage(leaves.select(F.col("leaf").alias("r_leaf"), "one", F.monotonically_increasing_id().alias("rank")), "chat-leaves")
+    ways = paths.drop("chain").join(leaves, (F.col("leaf") == F.col("r_leaf")) & F.col("conv_id").eqNullSafe(F.col("one"))).drop("r_leaf", "one", "conv_id")
+    ways = stage(ways, "chat-ways")
+
+    places = ways.groupBy("node").agg(F.min(F.struct("rank", "parent", "tree", "depth", "position", "own")).alias("x")).select("node", "x.*")
     texts = turns.groupBy("own").agg(*(F.first(c).alias(c) for c in ("formatted", "size", "loss_start", "loss_end")))
-    nodes = stage(places.join(texts, "own").drop("own"), "chat-nodes")
-    return _lay_out(nodes), paths.select("conv_id", "depth", "node")
-
-
-def _lay_out(nodes: DataFrame) -> DataFrame:
-    """Adds path, offset and attends. Ancestors come by following parents, one level a round, in doubling steps."""
-    up = nodes.select("node", F.col("parent").alias("top"), F.array("node").alias("path"))
-    while not up.filter(F.col("top") != "").isEmpty():  # rounds: the logarithm of the longest conversation
-        up = stage(up, "chat-path")
-        above = up.select(F.col("node").alias("n"), F.col("top").alias("next"), F.col("path").alias("before"))
-        up = up.join(above, F.col("top") == F.col("n"), "left")
-        up = up.select("node", F.coalesce("next", F.lit("")).alias("top"), F.when(F.col("before").isNull(), F.col("path")).otherwise(F.concat("before", "path")).alias("path"))
-    full = nodes.join(up.select("node", "path"), "node")
-
-    # Packed offsets: nodes in preorder over range partitions; running sums within a partition, plus what came before it.
-    ordered = full.repartitionByRange(F.col("tree"), F.col("path")).sortWithinPartitions("tree", "path")
-    ordered = stage(ordered.withColumn("part", F.spark_partition_id()), "chat-ordered")
-    within = Window.partitionBy("tree", "part").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
+    nodes = places.join(texts, "own").drop("own").withColumnsRenamed({"rank": "place", "formatted": "text"})
+    return _lay_out(nodes, ways), paths.select("conv_id", "depth", "node")
+
+
+def _lay_out(nodes: DataFrame, ways: DataFrame) -> DataFrame:
+    """Adds offset and attends. Offsets: running sums within range partitions, plus what came before them in the tree."""
+    ordered = nodes.repartitionByRange(F.col("place"), F.col("depth")).withColumn("part", F.spark_partition_id())
+    ordered = stage(ordered, "chat-ordered")
+    within = Window.partitionBy("tree", "part").orderBy("place", "depth").rowsBetween(Window.unboundedPreceding, -1)
     before = ordered.groupBy("tree", "part").agg(F.sum("size").alias("all"))
     before = before.withColumn("ahead", F.coalesce(F.sum("all").over(Window.partitionBy("tree").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     placed = ordered.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0))).join(before.drop("all"), ["tree", "part"])
     placed = stage(placed.withColumn("offset", F.col("inside") + F.col("ahead")).drop("inside", "ahead", "part"), "chat-placed")
 
-    spans = placed.select("node", F.posexplode("path").alias("level", "ancestor"))
-    where = placed.select(F.col("node").alias("ancestor"), F.struct(F.col("offset").alias("start"), (F.col("offset") + F.col("size")).alias("end")).alias("span"))
-    spans = spans.join(where, "ancestor").groupBy("node").agg(F.transform(F.array_sort(F.collect_list(F.struct("level", "span"))), lambda x: x["span"]).alias("attends"))
-    return placed.join(spans, "node").withColumnRenamed("formatted", "text")
+    # Each distinct conversation knows its nodes in order; it gives the intervals of those of which it is the first.
+    at = ways.select("node", "rank").join(placed.select("node", "place", "depth", "offset", "size"), "node")
+    at = at.groupBy("rank").agg(F.array_sort(F.collect_list(F.struct("depth", "node", "offset", "size", (F.col("place") == F.col("rank")).alias("own")))).alias("all"))
+
+    def intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        for batch in batches:
+            ids, out = [], []
+            for path in batch.column(0).to_pylist():
+                seen: list[dict] = []
+                for x in path:
+                    if seen and seen[-1]["end"] == x["offset"]:
+                        seen = [*seen[:-1], {"start": seen[-1]["start"], "end": x["offset"] + x["size"]}]
+                    else:
+                        seen = [*seen, {"start": x["offset"], "end": x["offset"] + x["size"]}]
+                    if x["own"]:
+                        ids.append(x["node"])
+                        out.append(seen)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(out, spans)], ["node", "attends"])
+
+    return placed.join(at.select("all").mapInArrow(intervals, "node string, attends array<struct<start:bigint,end:bigint>>"), "node")
 
 
 def read_back(nodes: DataFrame, paths: DataFrame) -> DataFrame:
