@@ -51,13 +51,16 @@ def scan(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def _utf8(raw: bytes) -> str | None:
-    """Bytes as text, if they are UTF-8 and printable."""
+def _text(raw: bytes) -> tuple[str, np.ndarray]:
+    """Bytes as text, whatever they hold, and the bytes of each character: UTF-8, else a character a byte.
+
+    All patterns and encodings are ASCII, so either reading shows them.
+    """
     try:
         text = raw.decode("utf-8")
     except UnicodeDecodeError:
-        return None
-    return text if all(c.isprintable() or c in "\t\n\r" for c in text) else None
+        return raw.decode("latin-1"), np.ones(len(raw), np.int64)
+    return text, np.ones(len(raw), np.int64) if len(text) == len(raw) else np.array([len(c.encode()) for c in text])
 
 
 def _inflate(raw: bytes) -> bytes | None:
@@ -140,7 +143,7 @@ class Layer:
         return Layer("".join(parts), np.concatenate([*starts, a]), np.concatenate([*ends, b]))
 
     def unpack(self) -> Iterator[Layer]:
-        """A layer for each base64 run that holds text, or compressed text."""
+        """A layer for each base64 run: what it holds, decompressed if it is compressed."""
         for m in BASE64.finditer(self.text):
             run = m[0].rstrip("=")
             body = run.translate({45: 43, 95: 47})
@@ -155,15 +158,14 @@ class Layer:
             while (inner := _inflate(raw)) is not None and (d := hashlib.sha256(raw).digest()) not in seen:
                 raw, packed = inner, True
                 seen.add(d)
-            text = _utf8(raw)
+            text, width = _text(raw)
             if not text:
                 continue
             if packed:
                 s, e = self.origin(m.start(), m.end())
                 yield Layer(text, np.full(len(text), s), np.full(len(text), e))
                 continue
-            width = np.array([len(c.encode()) for c in text])  # in bytes; byte k comes from base64 characters k*4//3 and on
-            last = np.cumsum(width)
+            last = np.cumsum(width)  # in bytes; byte k comes from base64 characters k*4//3 and on
             lo, hi = (last - width) * 4 // 3, (last * 4 + 2) // 3
             a, b = self._part(m.start(), m.start() + len(run))
             yield Layer(text, a[lo], b[np.minimum(hi, len(run)) - 1])
