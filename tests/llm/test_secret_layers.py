@@ -1,7 +1,13 @@
 """Layers that a secret scan must not leave out."""
 
 import base64
+import bz2
+import gzip
+import lzma
+import zlib
+from urllib.parse import quote_from_bytes
 
+import numpy as np
 import pytest
 
 from waymark.llm import secrets
@@ -28,3 +34,56 @@ def test_layers_that_are_not_utf8():
     text = "see " + b64(head + KEY.encode() + b" \xe9")
     (kind, s, e), = secrets.find_secrets(text)[1]
     assert (kind, s, e) == ("access", 4 + len(head) * 4 // 3, 4 + ((len(head) + 20) * 4 + 2) // 3)
+
+
+def kinds(text):
+    base, found = secrets.find_secrets(text)
+    assert base == []
+    return found
+
+
+def gz(raw):
+    return gzip.compress(raw, mtime=0)
+
+
+def wrapped(run, width, line="\n"):
+    return line.join(run[i : i + width] for i in range(0, len(run), width))
+
+
+@pytest.mark.parametrize("pack", [gz, zlib.compress, bz2.compress, lzma.compress])
+def test_compressed_bytes_wherever_they_stand(pack):
+    noise = "".join(np.random.default_rng(3).choice(list("ghijkz \n"), 400)).encode()
+    raw = pack(noise + f" {KEY} é ".encode())
+    url, hexes = "".join(f"%{b:02x}" for b in raw), "".join(f"\\x{b:02X}" for b in raw)
+    for run in (b64(raw), url, hexes, b64(b64(raw).encode()), b64(pack(raw)), wrapped(b64(raw), 64), wrapped(b64(raw), 76, "\r\n")):
+        (kind, s, e), = kinds(f"see {run} end")
+        assert kind == "access" and s == 4 and len(run) - 16 <= e - 4 <= len(run)  # all of it, but for padding
+    for run in (quote_from_bytes(raw), repr(raw)):
+        assert [k for k, _, _ in kinds(f"see {run} end")] == ["access"]
+
+
+@pytest.mark.parametrize("pack", [gz, bz2.compress, lzma.compress])
+def test_all_members_of_a_stream(pack):
+    run = b64(pack(b"one " * 9) + pack(f"two {KEY} ".encode()) + pack(b"password = hunter2x"))
+    assert sorted({k for k, _, _ in kinds(f"see {run}")}) == ["access", "assign"]
+
+
+def test_long_decompressed_layers(monkeypatch):
+    long = ("naïve words " * (11 << 19)).encode()  # 71 MiB
+    run = b64(gzip.compress(long + f" {KEY} ".encode(), 1))
+    assert [k for k, _, _ in kinds(f"see {run}")] == ["access"]
+    for name, n in (("PIECE_BYTES", 64), ("WINDOW_BYTES", 512), ("OVERLAP_BYTES", 64)):
+        monkeypatch.setattr(secrets, name, n)
+    for shift in range(0, 600, 7):  # a secret, and an encoded run, across any border of two windows
+        inner = gzip.compress(f"{'z' * 99} password = hunter2x".encode())
+        run = b64(gzip.compress(b"ab " * 150 + b"." * shift + b" " + KEY.encode() + b" " + b64(inner).encode() + " é".encode()))
+        assert {k for k, _, _ in kinds(f"see {run}")} == {"access", "assign"}, shift
+
+
+def test_secrets_across_lines_of_base64():
+    run = b64(b"x" * 40 + KEY.encode() + b"y y" * 30)
+    text = "-----BEGIN DATA-----\n" + wrapped(run, 64) + "\n-----END DATA-----\n"
+    (kind, s, e), = kinds(text)
+    lead = text.index(run[:64])
+    assert kind == "access" and (s, e) == (lead + 40 * 4 // 3, lead + (60 * 4 + 2) // 3 + 1)  # one line break stands between
+    assert text[s:e].count("\n") == 1

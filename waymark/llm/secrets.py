@@ -1,7 +1,7 @@
 """Secret scan of whole texts and of what is encoded inside them.
 
 A worklist holds layers: the text itself, then every text that comes out of undoing an encoding in a layer already
-scanned (URL escapes, Unicode escapes, base64, and compressed bytes inside base64). Each new layer is scanned by the same
+scanned (URL escapes, Unicode escapes, base64 on one line or several, and compressed bytes inside base64 or escapes). Each new layer is scanned by the same
 patterns and searched for further encodings, until nothing new comes out. A layer whose text was met before in the same
 document isn't followed again, so encodings that lead back to themselves end. Every character of a layer knows which
 characters of the document it came from; findings are reported there.
@@ -16,7 +16,7 @@ import hashlib
 import lzma
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Generator, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +35,22 @@ URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2})+")
 ENTITY = re.compile(r"(?:&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)+")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
-#: One decompressed layer may hold this many bytes; a longer one is read up to here, which guards a worker's memory.
-LAYER_BYTES = 64 << 20
+#: Base64 over several lines.
+LINES = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+(?:\r?\n[\x20\t]*+[A-Za-z0-9+/_-]++)+={0,2}")
+LINE = re.compile(r"[A-Za-z0-9+/_-]+")
+#: Compressed bytes as escapes: where they may begin, and their characters from there on.
+PACKED_URL = re.compile(r"%1[fF]%8[bB]|(?:x|%78)(?:%01|%5[eE]|\^|%9[cC]|%[dD][aA])|(?:B|%42)(?:Z|%5[aA])(?:h|%68)(?:[1-9]|%3[1-9])(?:1|%31)(?:A|%41)|%[fF][dD](?:7|%37)(?:z|%7[aA])")
+PACKED_X = re.compile(
+    r"\\x1[fF]\\x8[bB]|\\u001[fF]\\u008[bB]|(?:x|\\x78|\\u0078)(?:\\x01|\^|\\x5[eE]|\\x9[cC]|\\x[dD][aA]|\\u0001|\\u005[eE]|\\u009[cC]|\\u00[dD][aA])"
+    r"|(?:B|\\x42|\\u0042)(?:Z|\\x5[aA]|\\u005[aA])(?:h|\\x68|\\u0068)(?:[1-9]|\\x3[1-9]|\\u003[1-9])(?:1|\\x31|\\u0031)(?:A|\\x41|\\u0041)|(?:\\x|\\u00)[fF][dD](?:7|\\x37|\\u0037)(?:z|\\x7[aA]|\\u007[aA])"
+)
+BYTE_URL = re.compile(r"%([0-9A-Fa-f]{2})|([\x00-\xff])")
+BYTE_X = re.compile(r"\\(?:x|u00)([0-9A-Fa-f]{2})|\\([abfnrtv0\\'\"])|([\x00-\xff])")
+SHORT = dict(zip("abfnrtv0\\'\"", b"\a\b\f\n\r\t\v\0\\'\"", strict=True))
+#: Decompressed bytes are scanned in windows of so many, which overlap; a window grows to LAYER_BYTES at most, and only while
+#: an encoded run is open at its end. This guards a worker's memory, not the length of what is read.
+PIECE_BYTES, WINDOW_BYTES, OVERLAP_BYTES, LAYER_BYTES = 1 << 20, 8 << 20, 1 << 16, 64 << 20
+OPEN_RUN = re.compile(rb"\A[A-Za-z0-9+/_=%\\{}&#;\r\n-]*+")
 
 
 def scan(text: str) -> list[tuple[str, int, int]]:
@@ -51,32 +65,99 @@ def scan(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def _text(raw: bytes) -> tuple[str, np.ndarray]:
-    """Bytes as text, whatever they hold, and the bytes of each character: UTF-8, else a character a byte.
+def _text(raw: bytes) -> str:
+    """Bytes as text, whatever they hold: UTF-8, else a character a byte.
 
     All patterns and encodings are ASCII, so either reading shows them.
     """
     try:
-        text = raw.decode("utf-8")
+        return raw.decode("utf-8")
     except UnicodeDecodeError:
-        return raw.decode("latin-1"), np.ones(len(raw), np.int64)
-    return text, np.ones(len(raw), np.int64) if len(text) == len(raw) else np.array([len(c.encode()) for c in text])
+        return raw.decode("latin-1")
+
+
+def _decompressor(head: bytes):
+    """What undoes the compression that these first bytes declare (gzip, zlib, bzip2, xz), else None."""
+    if head[:2] == b"\x1f\x8b":
+        return zlib.decompressobj(31)
+    if head[:1] == b"\x78" and len(head) > 2 and int.from_bytes(head[:2], "big") % 31 == 0:
+        return zlib.decompressobj(15)
+    if head[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if head[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor()
+    return None
 
 
-def _inflate(raw: bytes) -> bytes | None:
-    """What compressed bytes hold (gzip, zlib, bzip2, xz), else None."""
-    try:
-        if raw[:2] == b"\x1f\x8b":
-            return zlib.decompressobj(31).decompress(raw, LAYER_BYTES)
-        if raw[:1] == b"\x78" and len(raw) > 2 and int.from_bytes(raw[:2], "big") % 31 == 0:
-            return zlib.decompressobj(15).decompress(raw, LAYER_BYTES)
-        if raw[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(raw, LAYER_BYTES)
-        if raw[:6] == b"\xfd7zXZ\x00":
-            return lzma.LZMADecompressor().decompress(raw, LAYER_BYTES)
-    except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
-        pass
-    return None
+def _inflated(chunks: Iterable[bytes], rest: list[int | None] | None = None) -> Iterator[bytes]:
+    """What compressed bytes hold, in pieces: member after member, up to their end or to the first damage.
+
+    ``rest`` gets the number of bytes that were read from the chunks and belong to no member; None if one is damaged.
+    """
+    chunks, data, whole = iter(chunks), b"", True
+    while True:
+        data = data.lstrip(b"\0")  # padding between members
+        while len(data) < 6 and (more := next(chunks, None)) is not None:
+            data = (data + more).lstrip(b"\0")
+        if (d := _decompressor(data)) is None:
+            break
+        try:
+            while not d.eof:
+                piece = d.decompress(data, PIECE_BYTES)
+                data = getattr(d, "unconsumed_tail", b"")
+                if piece:
+                    yield piece
+                elif not d.eof and not data and (data := next(chunks, b"")) == b"":
+                    break
+        except (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError):
+            whole = False
+            break
+        if not d.eof:
+            whole = False
+            break
+        data = d.unused_data
+    if rest is not None:
+        rest.append(len(data) if whole else None)
+
+
+def _windows(pieces: Iterable[bytes], digest) -> Iterator[bytes]:
+    """The pieces end to end as windows that overlap; digest is fed each byte once.
+
+    A window goes on while an encoded run is open at its end, so that runs up to LAYER_BYTES are never cut; a longer run is
+    cut with the overlap.
+    """
+    held = bytearray()
+    fresh = False
+    for piece in pieces:
+        digest.update(piece)
+        held += piece
+        fresh = True
+        if len(held) < WINDOW_BYTES:
+            continue
+        whole = len(held) >= LAYER_BYTES
+        tail = len(OPEN_RUN.search(held[::-1])[0])
+        if tail >= len(held) - OVERLAP_BYTES and not whole:
+            continue
+        yield bytes(held)
+        del held[: len(held) - (OVERLAP_BYTES if whole else max(tail, OVERLAP_BYTES))]
+        fresh = False
+    if fresh:
+        yield bytes(held)
+
+
+def _unpacked(raw: Callable[[], Iterable[bytes]], rest: list[int | None] | None = None) -> Iterator[bytes]:
+    """Windows of what compressed bytes hold, and of what that holds if it is compressed itself, down to a cycle."""
+    seen: set[bytes] = set()
+    while True:
+        outer = raw
+        digest, some = hashlib.sha256(), False
+        for window in _windows(_inflated(outer(), rest), digest):
+            some = True
+            yield window
+        raw, rest = (lambda outer=outer: _inflated(outer())), None
+        if not some or digest.digest() in seen:
+            return
+        seen.add(digest.digest())
 
 
 def _run(escape: str, whole: str) -> tuple[list[str], list[int]] | None:
@@ -110,7 +191,7 @@ class Layer:
     """A text and, for each of its characters, the first and last-plus-one character of the document it came from."""
 
     def __init__(self, text: str, start: np.ndarray | None = None, end: np.ndarray | None = None):
-        self.text, self.start, self.end = text, start, end
+        self.text, self.start, self.end, self.window = text, start, end, False
 
     def origin(self, s: int, e: int) -> tuple[int, int]:
         return (s, e) if self.start is None else (int(self.start[s:e].min()), int(self.end[s:e].max()))
@@ -143,38 +224,113 @@ class Layer:
         return Layer("".join(parts), np.concatenate([*starts, a]), np.concatenate([*ends, b]))
 
     def unpack(self) -> Iterator[Layer]:
-        """A layer for each base64 run: what it holds, decompressed if it is compressed."""
+        """A layer for each base64 run: what it holds, and what that holds if it is compressed."""
+        done: set[tuple[int, int]] = set()
+        if "\n" in self.text:
+            yield from self._unwrap(done)
         for m in BASE64.finditer(self.text):
-            run = m[0].rstrip("=")
-            body = run.translate({45: 43, 95: 47})
-            if len(body) % 4 == 1:
-                continue
-            try:
-                raw = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-            except (binascii.Error, ValueError):
+            place = (m.start(), m.start() + len(m[0].rstrip("=")))
+            if place not in done:
+                yield from self._decode([place])
+
+    def _unwrap(self, done: set[tuple[int, int]]) -> Iterator[Layer]:
+        """Lines of base64 as one run: all that follow each other, and those of one length with and without a shorter last.
+
+        ``done`` gets the lines of compressed bytes that came out whole; nothing less is made of these.
+        """
+        for m in LINES.finditer(self.text):
+            lines = [(m.start() + x.start(), m.start() + x.end()) for x in LINE.finditer(m[0])]
+            width = [e - s for s, e in lines]
+            tries, k = {(0, len(lines))}, 0
+            while k < len(lines):
+                n = next((i for i in range(k, len(lines)) if width[i] != width[k]), len(lines))
+                tries.add((k, n))
+                if n < len(lines) and width[n] < width[k]:
+                    tries.add((k, n + 1))
+                k = n
+            for k, n in sorted(tries, key=lambda x: x[0] - x[1]):
+                if n - k > 1 and lines[k] not in done and (yield from self._decode(lines[k:n])):
+                    done.update(lines[k:n])
+
+    def _decode(self, places: list[tuple[int, int]]) -> Generator[Layer, None, bool]:
+        """The layer of one base64 run, which stands in one place or a line each in several, and what it holds compressed.
+
+        Returns whether it is compressed and came out whole.
+        """
+        run = "".join(self.text[s:e] for s, e in places)
+        body = run.translate({45: 43, 95: 47})
+        if len(body) % 4 == 1:
+            if len(places) == 1:
+                return False
+            body = run = body[:-1]
+        try:
+            raw = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
+        except (binascii.Error, ValueError):
+            return False
+        rest: list[int | None] = []
+        if _decompressor(raw) is not None:
+            yield from self._packed(_unpacked(lambda: [raw], rest), places[0][0], places[-1][1])
+        before = len(raw) - rest[0] if rest and rest[0] is not None else 0
+        text = _text(raw[before:])
+        whole = before > 0
+        if not text:
+            return whole
+        plain = len(text) == len(raw) - before
+        width = np.ones(len(text), np.int64) if plain else np.array([len(c.encode()) for c in text])
+        last = before + np.cumsum(width)  # in bytes; byte k comes from base64 characters k*4//3 and on
+        lo, hi = (last - width) * 4 // 3, (last * 4 + 2) // 3
+        a, b = (np.concatenate(x) for x in zip(*(self._part(s, e) for s, e in places), strict=True))
+        yield Layer(text, a[lo], b[np.minimum(hi, len(run)) - 1])
+        return whole
+
+    def _packed(self, windows: Iterator[bytes], s: int, e: int) -> Iterator[Layer]:
+        """Layers of decompressed windows: each of their characters comes from all characters from s to e."""
+        a, b = self.origin(s, e)
+        for window in windows:
+            text = _text(window)
+            layer = Layer(text, np.broadcast_to(np.int64(a), len(text)), np.broadcast_to(np.int64(b), len(text)))
+            layer.window = True
+            yield layer
+
+    def escaped(self, begin: re.Pattern, byte: re.Pattern) -> Iterator[Layer]:
+        """Layers of compressed bytes that stand as escapes, some of them as the characters themselves."""
+        at = 0
+        while m := begin.search(self.text, at):
+            ends: list[int] = []
+
+            def read(start: int = m.start(), ends: list[int] = ends) -> Iterator[bytes]:
+                ends.clear()
+                part, place = bytearray(), start
+                while x := byte.match(self.text, place):
+                    place = x.end()
+                    part.append(int(x[1], 16) if x[1] else SHORT[x[2]] if x[2] in SHORT and byte is BYTE_X else ord(x[0]))
+                    ends.append(place)
+                    if len(part) == 1 << 12:
+                        yield bytes(part)
+                        part.clear()
+                if part:
+                    yield bytes(part)
+
+            rest: list[int | None] = []
+            first = next(iter(_inflated(read())), None)
+            if first is None:
+                at = m.start() + 1
                 continue
-            packed = False
-            seen: set[bytes] = set()
-            while (inner := _inflate(raw)) is not None and (d := hashlib.sha256(raw).digest()) not in seen:
-                raw, packed = inner, True
-                seen.add(d)
-            text, width = _text(raw)
-            if not text:
-                continue
-            if packed:
-                s, e = self.origin(m.start(), m.end())
-                yield Layer(text, np.full(len(text), s), np.full(len(text), e))
-                continue
-            last = np.cumsum(width)  # in bytes; byte k comes from base64 characters k*4//3 and on
-            lo, hi = (last - width) * 4 // 3, (last * 4 + 2) // 3
-            a, b = self._part(m.start(), m.start() + len(run))
-            yield Layer(text, a[lo], b[np.minimum(hi, len(run)) - 1])
+            for _ in _inflated(read(), rest):
+                pass
+            used = ends[max(len(ends) - (rest[0] or 0), 1) - 1]
+            yield from self._packed(_unpacked(read), m.start(), used)
+            at = m.start() + 1 if rest[0] is None else used
 
     def inner(self) -> Iterator[Layer]:
         if "%" in self.text and (x := self.unescape("url", URL)):
             yield x
+        if "%" in self.text:
+            yield from self.escaped(PACKED_URL, BYTE_URL)
         if "\\" in self.text and (x := self.unescape("unicode", UNICODE)):
             yield x
+        if "\\" in self.text:
+            yield from self.escaped(PACKED_X, BYTE_X)
         if "&#" in self.text and (x := self.unescape("entity", ENTITY)):
             yield x
         yield from self.unpack()
@@ -184,15 +340,23 @@ def find_secrets(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str,
     """(kind, start, end) in the text as it stands, and of all layers together, both by start, kind, end."""
     order = lambda x: (x[1], KINDS.index(x[0]), x[2])
     base = sorted(scan(text), key=order)
-    every, seen, work = set(base), {hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()}, [Layer(text)]
-    while work:
-        for layer in work.pop().inner():
-            digest = hashlib.sha256(layer.text.encode("utf-8", "surrogatepass")).digest()
-            if digest in seen:
-                continue
-            seen.add(digest)
-            every.update((kind, *layer.origin(s, e)) for kind, s, e in scan(layer.text))
-            work.append(layer)
+    every, seen = set(base), {hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()}
+
+    def follow(first: Layer) -> None:
+        work = [first]
+        while work:
+            for layer in work.pop().inner():
+                digest = hashlib.sha256(layer.text.encode("utf-8", "surrogatepass")).digest()
+                if digest in seen:
+                    continue
+                seen.add(digest)
+                every.update((kind, *layer.origin(s, e)) for kind, s, e in scan(layer.text))
+                if layer.window:
+                    follow(layer)  # at once: windows are never held together
+                else:
+                    work.append(layer)
+
+    follow(Layer(text))
     return base, sorted(every, key=order)
 
 
