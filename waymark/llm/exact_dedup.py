@@ -122,10 +122,25 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return same.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def number_rows(docs: DataFrame, id_col: str, name: str) -> DataFrame:
+    """docs with __key, which names each row and sorts by id, null ids after all others; staged, so that it stays the same."""
+    key = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"))
+    return stage(docs.withColumn("__key", key), name)
+
+
+def keep_rows(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """number_rows' rows without those that ``gone`` names by key, and without the key."""
+    gone = gone.select(F.col("doc_id.row").alias("__gone"))
+    return rows.join(gone, F.col("__key.row") == F.col("__gone"), "left_anti").drop("__key")
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repeats: bool = True) -> DataFrame:
     """The rows of docs that deduplicate() keeps, with all their columns.
 
-    Rows that repeat both id and text all stay: nothing tells them apart.
+    Rows are decided one by one: rows that share an id, or have none, don't follow each other. Rows that repeat both id and
+    text all stay; without ``repeats`` one of them does.
     """
-    gone = deduplicate(docs, id_col, text_col).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti")
+    rows = number_rows(docs, id_col, "dedup-rows")
+    out = deduplicate(rows, "__key", text_col)
+    kept = F.col("doc_id.id").eqNullSafe(F.col("keep_id.id")) if repeats else F.col("kept")
+    return keep_rows(rows, out.filter(~kept))

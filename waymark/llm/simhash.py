@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymark.llm.common import stage, utf8
+from waymark.llm.exact_dedup import keep_rows, number_rows
 
 BITS = 64
 #: Node pairs that a walk holds at a time; the rest waits on a stack.
@@ -266,6 +267,9 @@ def near_duplicates(docs: DataFrame, budget: int = 3, shingle: int = 3, id_col:
 
 
 def keep_one(docs: DataFrame, budget: int = 3, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id names its component, with all their columns; null ids stay."""
-    gone = near_duplicates(docs, budget, shingle, id_col, text_col).filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    """One row of each component of near_duplicates(), with all its columns: one with the smallest id, null ids after all others.
+
+    Rows are decided one by one, also those that share an id or have none.
+    """
+    rows = number_rows(docs, id_col, "simhash-rows")
+    return keep_rows(rows, near_duplicates(rows, budget, shingle, "__key", text_col).filter("doc_id <> component_id"))
