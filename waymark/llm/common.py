@@ -39,10 +39,19 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 
 def small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """df with a broadcast hint if its counted rows fit the limit; otherwise df as it is, for a shuffled join."""
+    """df, of rows of known width, with a broadcast hint if its counted rows fit the limit; otherwise as it is, for a shuffled join."""
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
 
 
+def measured(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """A staged df with a broadcast hint if its summed values and counted rows fit the limit; otherwise as it is.
+
+    A value counts with the bytes of its JSON text, a row with 64 more, so arrays and texts of any length count in full.
+    """
+    n, size = df.agg(F.count(F.lit(1)), F.sum(F.octet_length(F.to_json(F.struct(*df.columns))).cast("long"))).first()
+    return F.broadcast(df) if (size or 0) + 64 * n <= limit else df
+
+
 def utf8(col: str | Column) -> Column:
     """A text column, null as empty."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
