@@ -3,13 +3,16 @@
 import base64
 import bz2
 import gzip
+import hashlib
 import lzma
+import re
 import zlib
 from urllib.parse import quote_from_bytes
 
 import numpy as np
 import pytest
 
+from tests.llm.test_corpus import base_spans
 from waymark.llm import secrets
 
 KEY = "AKIA" + "Q7" * 8
@@ -87,3 +90,30 @@ def test_secrets_across_lines_of_base64():
     lead = text.index(run[:64])
     assert kind == "access" and (s, e) == (lead + 40 * 4 // 3, lead + (60 * 4 + 2) // 3 + 1)  # one line break stands between
     assert text[s:e].count("\n") == 1
+
+
+def test_each_copy_of_an_encoded_secret_is_found():
+    run = base64.b64encode(b"password=hunter2222").decode()
+    text = f"one {run} two {run} three {run}"
+    spans = [x for x in secrets.find_secrets(text)[1] if x[0] == "assign"]
+    assert [s for _, s, _ in spans] == [m.start() for m in re.finditer(re.escape(run), text)]
+    packed = base64.b64encode(gzip.compress(b"token: abcdefgh " * 3)).decode()
+    text = f"{packed} and {packed}"
+    assert {s for _, s, _ in secrets.find_secrets(text)[1]} == {0, len(packed) + 5}
+    url = "secret%3Dabcdef1 x secret%3Dabcdef1"
+    assert [x[1:] for x in secrets.find_secrets(url)[1]] == [(0, 16), (19, 35)]
+
+
+def test_digest_rows(spark):
+    """The query's columns against a plain version: texts of secrets, half secrets, odd characters, and a very long one."""
+    rng = np.random.default_rng(3)
+    parts = ["password = hunter22", "TOKEN:'abc'", "api_key=a+b/c_d.e=f-g", "AKIA" + "A1" * 8, "AKIA" + "Z" * 15, "f" * 24, "0" * 23, "\u00e9\U0001f600", "secret: : x", "word", "\n", "\x00", "Api-Key=abcdefgh", "passwd\"  =  \"qwertyuiop"]
+    texts = [" ".join(rng.choice(parts, rng.integers(0, 30))) for _ in range(200)] + ["", None, "a" * 3_000_000, "x " * 500_000 + "token=abcdefghij"]
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)] + [(0, texts[0], "y")], "doc_id long, text string, base string")
+    got = secrets.digest(secrets.scan_secrets(df)).collect()
+    assert len(got) == len(texts) + 1 and secrets.digest(secrets.scan_secrets(df.limit(0))).count() == 0
+    for r in got:
+        base = base_spans(texts[r["doc_id"]] or "")
+        said = ",".join(f"{k}:{s}:{e}" for k, s, e in base)
+        assert [r[f"n_{k}"] for k in ("assign", "access", "hex")] == [sum(x[0] == k for x in base) for k in ("assign", "access", "hex")]
+        assert r["base_sha256"] == hashlib.sha256(said.encode()).hexdigest() and set(filter(None, said.split(","))) <= set(r["spans"].split(","))

@@ -2,9 +2,10 @@
 
 A worklist holds layers: the text itself, then every text that comes out of undoing an encoding in a layer already
 scanned (URL escapes, Unicode escapes, base64 on one line or several, and compressed bytes inside base64 or escapes). Each new layer is scanned by the same
-patterns and searched for further encodings, until nothing new comes out. A layer whose text was met before in the same
-document isn't followed again, so encodings that lead back to themselves end. Every character of a layer knows which
-characters of the document it came from; findings are reported there.
+patterns and searched for further encodings, until nothing new comes out. A layer whose text came out of the same characters
+of the document before isn't followed again, so encodings that lead back to themselves end; the same text in another place is
+a layer of its own, and its findings count. Every character of a layer knows which characters of the document it came from;
+findings are reported there.
 """
 
 from __future__ import annotations
@@ -196,6 +197,14 @@ class Layer:
     def origin(self, s: int, e: int) -> tuple[int, int]:
         return (s, e) if self.start is None else (int(self.start[s:e].min()), int(self.end[s:e].max()))
 
+    def mark(self) -> bytes:
+        """The layer's identity: its text, and where each of its characters came from."""
+        found = hashlib.sha256(self.text.encode("utf-8", "surrogatepass"))
+        for at in (self.start, self.end):
+            if at is not None and len(at):
+                found.update(b"\0" + (at[:1] if at.strides == (0,) else np.ascontiguousarray(at)).tobytes())
+        return found.digest()
+
     def _part(self, s: int, e: int) -> tuple[np.ndarray, np.ndarray]:
         return (np.arange(s, e), np.arange(s + 1, e + 1)) if self.start is None else (self.start[s:e], self.end[s:e])
 
@@ -340,16 +349,16 @@ def find_secrets(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str,
     """(kind, start, end) in the text as it stands, and of all layers together, both by start, kind, end."""
     order = lambda x: (x[1], KINDS.index(x[0]), x[2])
     base = sorted(scan(text), key=order)
-    every, seen = set(base), {hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()}
+    every, seen = set(base), {Layer(text).mark()}
 
     def follow(first: Layer) -> None:
         work = [first]
         while work:
             for layer in work.pop().inner():
-                digest = hashlib.sha256(layer.text.encode("utf-8", "surrogatepass")).digest()
-                if digest in seen:
+                mark = layer.mark()
+                if mark in seen:
                     continue
-                seen.add(digest)
+                seen.add(mark)
                 every.update((kind, *layer.origin(s, e)) for kind, s, e in scan(layer.text))
                 if layer.window:
                     follow(layer)  # at once: windows are never held together
