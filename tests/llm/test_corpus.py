@@ -423,6 +423,18 @@ def test_mixing(spark, docs, none):
     assert mixing.mix(none).count() == 0 and mixing.mix(docs).count() == 12
 
 
+def test_mixing_takes_nothing_more_than_twice(spark):
+    """A capped source with many texts of no words; and documents that have columns of the operator's own names."""
+    rows = [(i, "w " * (i % 3), "a" if i % 50 else "b", 1, 2, 3, 4) for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, size int, Target int, below int, base int")
+    out = mixing.mix(df, (1, 100)).collect()
+    assert {r["copies"] for r in out if r["source"] == "b"} == {2} and {r["copies"] for r in out} <= {0, 1, 2}
+    got = mixing.take(df, (1, 100))
+    assert got.columns == ["doc_id", "text", "source", "below", "base", "size", "target", "copies"]
+    assert sorted((r["doc_id"], r["copies"], r["size"]) for r in got.collect()) == sorted((r["doc_id"], r["copies"], r["size"]) for r in out if r["copies"])
+    assert mixing.take(df.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 20])
 def test_mixing_targets(spark, n):
     """Sources of like and of very different sizes; targets against the rounds of the rule itself."""

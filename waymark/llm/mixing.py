@@ -59,7 +59,7 @@ def thresholds(sized: DataFrame, targets: DataFrame) -> DataFrame:
     rows = sized.select("source", "size", "draw")
     for shift in range(BITS - STEP, -1, -STEP):
         # rows in the bucket that still matters: all at first, then those that share the leading bits of ``below``
-        s = small(t.select(F.col("source").alias("t_source"), "below"), 64)
+        s = small(t.filter("need > 0").select(F.col("source").alias("t_source"), "below"), 64)  # a source that has its words takes no more
         near = rows.join(s, F.col("source").eqNullSafe(F.col("t_source")))
         near = near.filter(F.shiftright("draw", shift + STEP) == F.shiftright("below", shift + STEP))
         hist = near.groupBy("source", F.shiftright("draw", shift).alias("bucket")).agg(F.sum("size").alias("words"))
@@ -72,7 +72,7 @@ def thresholds(sized: DataFrame, targets: DataFrame) -> DataFrame:
         within = F.coalesce(F.col("after") - F.col("words"), F.lit(0))  # words below the bucket
         start = F.coalesce(F.shiftleft("bucket", shift), F.col("below"))
         if shift == 0:
-            over = F.coalesce(F.col("words"), F.lit(0)) - (F.col("need") - within)  # beyond the budget, if the last bucket goes in
+            over = F.col("words") - (F.col("need") - within)  # beyond the budget, if the last bucket goes in; null without one
             start = F.when(over <= F.col("need") - within, start + 1).otherwise(start)
         t = stage(t.select("source", "base", (F.col("need") - within).alias("need"), start.alias("below")), "mix-level")
     return t.select("source", "base", "below")
@@ -103,10 +103,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), budget: float = 1
 
 
 def take(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), budget: float = 1.5, most: float = 2.0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The rows of docs that the mix takes, with all their columns, their size, their source's target, and copies."""
-    of = lambda: (F.col(source_col).alias("source"), n_words(text_col).alias("size"), draw(id_col).alias("draw"))
-    sized = stage(docs.select(*of()), "mix-sized")
-    cut = cuts(sized, weights, budget, most)
-    out = docs.join(small(cut, 96), F.col(source_col).eqNullSafe(F.col("c_source")))
-    copies = F.col("base") + (draw(id_col) < F.col("below")).cast("long")
-    return out.select(*docs.columns, n_words(text_col).alias("size"), "target", copies.alias("copies")).filter("copies > 0")
+    """The rows of docs that the mix takes, with all their columns, their size, their source's target, and copies (1 or 2 by default).
+
+    Columns of docs with the names size, target or copies, in any case, are replaced. Null texts have size 0 and are taken
+    with their source's draws; an empty table gives no rows.
+    """
+    sized = docs.select(F.col(source_col).alias("source"), n_words(text_col).alias("size"), draw(id_col).alias("draw"))
+    cut = cuts(stage(sized, "mix-sized"), weights, budget, most)
+    cut = cut.select(*(F.col(c).alias(f"__mix_{c}") for c in ("c_source", "target", "base", "below")))
+    out = docs.join(small(cut, 96), F.col(source_col).eqNullSafe(F.col("__mix_c_source")))
+    copies = F.col("__mix_base") + (draw(id_col) < F.col("__mix_below")).cast("long")
+    own = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("size", "target", "copies")]
+    out = out.filter(copies > 0)
+    return out.select(*own, n_words(text_col).alias("size"), F.col("__mix_target").alias("target"), copies.alias("copies"))
