@@ -7,50 +7,64 @@ are in one subtree, and subtrees are spread over the cluster. Within a subtree,
 level: each pair carries the bits by which its sides already differ, and is dropped when they exceed the budget, or when
 all below it is known to be connected. What leaves a subtree are edges that connect what it links, never all pairs of a
 group; components then come from star contractions of those edges.
+
+Budgets as wide as similarities of 0.8 need (a sixth of all bits) leave no block that must agree. ``near_copies`` therefore
+walks the same trie over random bit orders of 128-bit fingerprints and counts a link only when the texts' shingles agree.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import stage, utf8
+from waymark.llm.common import measured, stage, utf8
 from waymark.llm.exact_dedup import keep_rows, number_rows
 
 BITS = 64
 #: Node pairs that a walk holds at a time; the rest waits on a stack.
 FRONT = 1 << 16
 
-
 _BYTE_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
-_BYTE_AT = (np.arange(8) * 256).astype(np.int64)
 
 
-def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
-    """The bits set in over half the XXH64 hashes of a text's word shingles; 0 for a text without words.
+def word_starts(text: str) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The text's words joined by spaces, A-Z as a-z, and where each begins and ends. ASCII white space separates words."""
+    words = text.encode("utf-8", "surrogatepass").lower().split()  # on bytes: ASCII letters and white space only
+    end = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    start = np.concatenate(([0], end[:-1] + 1)) if words else end
+    return b" ".join(words), start, end
 
-    A-Z become a-z, words are what ASCII white space separates; a text of fewer words is one shingle.
-    """
+
+def shingle_hashes(text: str, shingle: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of each run of ``shingle`` words, repeats included; of the whole sequence if it is shorter; none without words."""
     from xxhash import xxh64_intdigest
 
-    words = text.encode("utf-8", "surrogatepass").lower().split()  # on bytes: ASCII letters and white space only
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    if len(words) <= shingle:
-        hashes = [xxh64_intdigest(joined, seed)]
-    else:
-        end = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        start = np.concatenate(([0], end[: -shingle] + 1))
-        hashes = [xxh64_intdigest(joined[a:b], seed) for a, b in zip(start.tolist(), end[shingle - 1 :].tolist(), strict=True)]
-    h = np.array(hashes, np.uint64)
-    counts = np.bincount((h.view(np.uint8).reshape(-1, 8) + _BYTE_AT).ravel(), minlength=2048).reshape(8, 256)
+    joined, start, end = word_starts(text)
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    if len(start) <= shingle:
+        return np.array([xxh64_intdigest(joined, seed)], np.uint64)
+    return np.array([xxh64_intdigest(joined[a:b], seed) for a, b in zip(start[: 1 - shingle].tolist() if shingle > 1 else start.tolist(), end[shingle - 1 :].tolist(), strict=True)], np.uint64)
+
+
+def majority(h: np.ndarray) -> np.ndarray:
+    """For rows of hashes, a row of the bits set in over half of them."""
+    width = h.shape[1]
+    at = np.arange(8 * width) * 256
+    counts = np.bincount((np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8 * width) + at).ravel(), minlength=2048 * width).reshape(8 * width, 256)
     ones = counts @ _BYTE_BITS  # by byte, little end first, and bit
-    return int(np.packbits((ones * 2 > len(h)).astype(np.uint8), axis=1, bitorder="little").ravel().view(np.uint64)[0])
+    return np.packbits((ones * 2 > len(h)).astype(np.uint8), axis=1, bitorder="little").ravel().view(np.uint64)
+
+
+def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
+    """The bits set in over half the XXH64 hashes of a text's word shingles; 0 for a text without words."""
+    h = shingle_hashes(text, shingle, seed)
+    return int(majority(h[:, None])[0]) if len(h) else 0
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
@@ -82,43 +96,56 @@ def front_bits(budget: int) -> int:
 
 
 def reorder(fp: np.ndarray, order: list[int]) -> np.ndarray:
-    """fp with bit order[0] as the topmost, and so on."""
-    out = np.zeros(len(fp), np.uint64)
+    """Rows of words with bit order[0] as the topmost of the first word, and so on."""
+    out = np.zeros_like(fp)
     for place, bit in enumerate(order):
-        out |= ((fp >> np.uint64(bit)) & np.uint64(1)) << np.uint64(BITS - 1 - place)
+        word, at = divmod(place, BITS)
+        out[:, word] |= ((fp[:, bit // BITS] >> np.uint64(bit % BITS)) & np.uint64(1)) << np.uint64(BITS - 1 - at)
     return out
 
 
 class Joined:
-    """Disjoint sets over positions, as an array of parents."""
+    """Disjoint sets over positions, as an array of parents, and the pairs that joined them: a row (a, b, owner) each, of which
+    a position owns one at most."""
 
     def __init__(self, n: int):
         self.up = np.arange(n)
+        self.edges: list[np.ndarray] = []
 
     def roots(self, x: np.ndarray) -> np.ndarray:
         r = self.up[x]
         while True:
             n = self.up[r]
             if (n == r).all():
+                self.up[x] = r
                 return r
             r = n
 
     def link(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Join the sets of each pair; of pairs that join the same sets the first one is an edge."""
         while len(a):
             ra, rb = self.roots(a), self.roots(b)
             apart = ra != rb
             a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
-            np.minimum.at(self.up, np.maximum(ra, rb), np.minimum(ra, rb))
-        self.up = self.roots(np.arange(len(self.up)))
+            if not len(a):
+                return
+            child, first = np.unique(np.maximum(ra, rb), return_index=True)  # a root gets one parent, below itself
+            self.up[child] = np.minimum(ra, rb)[first]
+            self.edges.append(np.column_stack([a[first], b[first], child]))
 
 
-def walk(tree: np.ndarray, roots: list[tuple[int, int]] | np.ndarray, depth: int, budget: int) -> np.ndarray:
-    """For sorted distinct numbers, a trie of which nodes are ranges: the root of each number's linked set.
+def differing(tree: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(tree[a] ^ tree[b]).sum(1)
 
-    ``roots`` are ranges whose numbers agree in their first ``depth`` bits. Pairs of nodes at one level are walked together;
-    ``d`` counts the bits in which the two sides differ so far.
+
+def walk(tree: np.ndarray, roots: list[tuple[int, int]] | np.ndarray, depth: int, budget: int, sets: Joined | None = None) -> Joined:
+    """For sorted distinct rows of words, a trie of which nodes are ranges: the sets of linked rows, and edges that join them.
+
+    ``roots`` are ranges whose rows agree in their first ``depth`` bits. Pairs of nodes at one level are walked together;
+    ``d`` counts the bits in which the two sides differ so far. ``sets`` may hold what is known already.
     """
-    sets = Joined(len(tree))
+    sets = sets or Joined(len(tree))
+    bits = tree.shape[1] * BITS
     roots = np.asarray(roots, np.int64).reshape(-1, 2)
     stack = [(np.column_stack([roots, roots, np.zeros(len(roots), np.int64)])[i : i + FRONT], depth) for i in range(0, len(roots), FRONT)]
     while stack:
@@ -127,18 +154,23 @@ def walk(tree: np.ndarray, roots: list[tuple[int, int]] | np.ndarray, depth: int
             stack += [(front[i : i + FRONT], level) for i in range(0, len(front), FRONT)]
             continue
         a0, a1, b0, b1, d = front.T
-        # all below is one set already: nothing to find (a set's ranges are tested when small)
         one = (a1 - a0 == 1) & (b1 - b0 == 1)
         if one.any():
-            x, y = tree[a0[one]], tree[b0[one]]
-            near = np.bitwise_count(x ^ y) <= budget
-            sets.link(a0[one][near], b0[one][near])
-        # a pair of ranges whose difference so far leaves room for all that is left of the bits
-        room = ~one & (d + (BITS - level) <= budget)
-        for lo, hi, lo2, hi2 in front[room][:, :4]:
-            sets.link(np.arange(lo, hi), np.full(hi - lo, lo))
-            sets.link(np.arange(lo2, hi2), np.full(hi2 - lo2, lo))
-        go = ~one & ~room
+            x, y = a0[one], b0[one]
+            far = differing(tree, x, y)
+            near = np.flatnonzero(far <= budget)
+            near = near[np.argsort(far[near], kind="stable")]  # the nearest become edges
+            sets.link(x[near], y[near])
+        # pairs of ranges whose difference so far leaves room for all that is left of the bits: each range is a chain
+        room = np.flatnonzero(~one & (d + (bits - level) <= budget))
+        if len(room):
+            lo, hi = np.concatenate([a0[room], b0[room]]), np.concatenate([a1[room], b1[room]])
+            size = hi - lo - 1
+            at = np.repeat(lo - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
+            sets.link(at, at + 1)
+            sets.link(a0[room], b0[room])
+        go = ~one
+        go[room] = False
         # a node paired with itself that holds one number has no pair
         go &= ~((a0 == b0) & (a1 - a0 == 1))
         if not go.any():
@@ -154,16 +186,17 @@ def walk(tree: np.ndarray, roots: list[tuple[int, int]] | np.ndarray, depth: int
         if len(new):
             new = new[~_settled(sets, new)]
             stack.append((new, level + 1))
-    return sets.roots(np.arange(len(tree)))
+    return sets
 
 
 def _split(tree: np.ndarray, lo: np.ndarray, hi: np.ndarray, level: int) -> np.ndarray:
     """Where in each range the bit at this level turns from 0 to 1; a binary search in all ranges at once."""
-    bit = np.uint64(1) << np.uint64(BITS - 1 - level)
+    word, at = divmod(level, BITS)
+    bit, column = np.uint64(1) << np.uint64(BITS - 1 - at), tree[:, word]
     lo, hi = lo.copy(), hi.copy()
     while (live := lo < hi).any():
         mid = (lo + hi) // 2
-        up = live & ((tree[np.minimum(mid, len(tree) - 1)] & bit) == 0)
+        up = live & ((column[np.minimum(mid, len(column) - 1)] & bit) == 0)
         down = live & ~up
         lo[up] = mid[up] + 1
         hi[down] = mid[down]
@@ -174,62 +207,84 @@ def _settled(sets: Joined, pairs: np.ndarray) -> np.ndarray:
     """Pairs of ranges, up to 32 wide, all of whose members are in one set already."""
     width = np.maximum(pairs[:, 1] - pairs[:, 0], pairs[:, 3] - pairs[:, 2])
     done = np.zeros(len(pairs), bool)
-    check = np.flatnonzero((width > 1) & (width <= 32))
+    check = np.flatnonzero(width <= 32)
     if len(check):
         p = pairs[check]
-        root = sets.up[p[:, 0]]
-        ok = np.ones(len(check), bool)
+        root = sets.roots(p[:, 0])
+        ok = (p[:, 0] != p[:, 2]) | (p[:, 1] - p[:, 0] > 1)
         for k in range(int(width[check].max())):
             for lo, hi in ((0, 1), (2, 3)):
                 at = np.minimum(p[:, lo] + k, p[:, hi] - 1)
-                ok &= sets.up[at] == root
+                ok &= sets.roots(at) == root
         done[check] = ok
     return done
 
 
-def links(distinct: DataFrame, budget: int = 3) -> DataFrame:
-    """(a, b), fingerprints: edges that connect all that is linked within ``budget`` bits, a few a fingerprint."""
-    orders, depth = bit_orders(budget), front_bits(budget)
+def _ranges(*sorted_by: np.ndarray) -> np.ndarray:
+    """Runs of two or more rows with equal entries, as (start, end)."""
+    new = np.logical_or.reduce([x[1:] != x[:-1] for x in sorted_by])
+    cut = np.flatnonzero(np.concatenate(([True], new, [True])))
+    runs = np.column_stack([cut[:-1], cut[1:]])
+    return runs[runs[:, 1] - runs[:, 0] > 1]
+
+
+def trie_edges(distinct: DataFrame, words: list[str], orders: list[list[int]], depth: int, budgets: list[int]) -> DataFrame:
+    """Edges between distinct fingerprints, columns ``words`` with _a, _b and _o: they connect what differs in at most the last
+    of ``budgets`` bits and agrees in the first ``depth`` bits of one of the orders.
+
+    Smaller budgets are walked first, so that edges join the nearest. Each edge has an owner (_o), who has one in an order at
+    most: edges are never more than fingerprints times orders.
+    """
+    n = len(words)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.asarray(batch.column(0)).view(np.uint64)
+            fp = np.column_stack([np.asarray(batch.column(k)).view(np.uint64) for k in range(n)])
             for k, order in enumerate(orders):
                 turned = reorder(fp, order)
-                front = (turned >> np.uint64(BITS - depth)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), k, np.int32)), pa.array(front), pa.array(turned.view(np.int64))], ["k", "front", "turned"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), k, np.int32)), *(pa.array(turned[:, w].view(np.int64)) for w in range(n))], ["k", *words])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A partition's rows are sorted, so that each (k, front) is a run: a subtree, walked with the others of its k."""
-        parts = [(np.asarray(b.column(0)), np.asarray(b.column(1)).view(np.uint64), np.asarray(b.column(2)).view(np.uint64)) for b in batches]
+        """A partition's rows are sorted, so that each (k, front) is a run: a subtree, walked with all others."""
+        parts = [[np.asarray(b.column(0)), *(np.asarray(b.column(1 + w)).view(np.uint64) for w in range(n))] for b in batches]
         if not parts:
             return
-        k, front, turned = (np.concatenate(x) for x in zip(*parts, strict=True))
-        for which in np.unique(k):
-            here = k == which
-            t = np.sort(turned[here])
-            f = t >> np.uint64(BITS - depth)
-            cut = np.flatnonzero(np.concatenate(([True], f[1:] != f[:-1], [True])))
-            roots = np.column_stack([cut[:-1], cut[1:]])
-            roots = roots[roots[:, 1] - roots[:, 0] > 1]
-            if not len(roots):
-                continue
-            root = walk(t, roots, depth, budget)
-            a = np.flatnonzero(root != np.arange(len(t)))
+        k, *cols = (np.concatenate(x) for x in zip(*parts, strict=True))
+        t = np.column_stack(cols)
+        sort = np.lexsort((*t.T[::-1], k))
+        k, t = k[sort], t[sort]
+        roots = _ranges(k, t[:, 0] >> np.uint64(BITS - depth))
+        sets = None
+        for budget in budgets if len(roots) else ():
+            sets = walk(t, roots, depth, budget, sets)
+        if sets is None or not sets.edges:
+            return
+        e = np.concatenate(sets.edges)
+        for which in np.unique(k[e[:, 0]]):
+            mine = e[k[e[:, 0]] == which]
             back = np.argsort(np.array(orders[which]))  # undoes the order: bit b stands at place back[b]
-            undo = [int(BITS - 1 - back[BITS - 1 - p]) for p in range(BITS)]
-            x, y = reorder(t[root[a]], undo), reorder(t[a], undo)
-            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], ["a", "b"])
+            undo = [BITS * (p // BITS) + BITS - 1 - p % BITS for p in range(n * BITS)]
+            undo = [int(BITS * (back[b] // BITS) + BITS - 1 - back[b] % BITS) for b in undo]
+            ends = [reorder(t[mine[:, c]], undo) for c in range(3)]
+            yield pa.RecordBatch.from_arrays([pa.array(v[:, w].view(np.int64)) for v in ends for w in range(n)], [f"{w}_{s}" for s in "abo" for w in words])
 
-    turned = distinct.select("fp").mapInArrow(spread, "k int, front long, turned long")
-    return turned.repartition("k", "front").mapInArrow(join, "a long, b long").distinct()
+    schema = ", ".join(f"{w} long" for w in words)
+    turned = distinct.select(*words).mapInArrow(spread, f"k int, {schema}")
+    return turned.repartition("k", F.shiftrightunsigned(words[0], BITS - depth)).mapInArrow(join, ", ".join(f"{w}_{s} long" for s in "abo" for w in words))
+
+
+def links(distinct: DataFrame, budget: int = 3) -> DataFrame:
+    """(a, b), fingerprints: edges that connect all that is linked within ``budget`` bits, a few a fingerprint."""
+    edges = trie_edges(distinct, ["fp"], bit_orders(budget), front_bits(budget), [budget])
+    return edges.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")).distinct()
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of the edges (a, b): root is the smallest node reachable.
 
     Large and small stars in turn: each node's neighbours above it move to its smallest neighbour, until nothing moves.
-    Rounds grow with the logarithm of the longest chain. Groups are aggregated and joined, never collected.
+    Rounds grow with the logarithm of the longest chain. Groups are aggregated and joined, never collected. If
+    ``max_rounds`` don't settle the stars, an error is raised; no result is cut short.
     """
     e = stage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "star")
     mark = None
@@ -273,3 +328,126 @@ def keep_one(docs: DataFrame, budget: int = 3, shingle: int = 3, id_col: str = "
     """
     rows = number_rows(docs, id_col, "simhash-rows")
     return keep_rows(rows, near_duplicates(rows, budget, shingle, "__key", text_col).filter("doc_id <> component_id"))
+
+
+#: near_copies' bit orders and walk. A pair of similarity s differs in a share p = acos(2s / (1 + s)) / pi of its bits, and
+#: meets in one of ``tables`` random fronts of ``front`` bits with probability 1 - (1 - (1 - p) ** front) ** tables. At
+#: s = 0.8 that is 0.98 with (16, 56); (24, 200) gives as much where a front's subtrees, 2 ** -front of all fingerprints
+#: each, are too large. Bits of one pair vary together, so measured recall is a little lower (README).
+FRONT_BITS, TABLES, WIDE_BUDGETS = 16, 56, (14, 28)
+
+
+def random_orders(words: int, tables: int, seed: int = 11) -> list[list[int]]:
+    rng = np.random.default_rng(seed)
+    return [rng.permutation(words * BITS).tolist() for _ in range(tables)]
+
+
+def wide_fingerprint(h: np.ndarray) -> np.ndarray:
+    """128 bits of a set of shingle hashes: the majority of each hash and of a second one made from it; 0 for no shingle."""
+    if not len(h):
+        return np.zeros(2, np.uint64)
+    g = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    g = (g ^ (g >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return majority(np.column_stack([h, g ^ (g >> np.uint64(31))]))
+
+
+def wide_fingerprints(docs: DataFrame, key: str, text_col: str, shingle: int) -> DataFrame:
+    """(key, fp0, fp1) of the distinct shingles of each text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = np.array([wide_fingerprint(np.unique(shingle_hashes(t, shingle))) for t in batch.column(1).to_pylist()], np.uint64).reshape(-1, 2).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp[:, 0]), pa.array(fp[:, 1])], ["key", "fp0", "fp1"])
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(F.col(key).alias("key"), utf8(text_col).alias("text")).mapInArrow(run, f"key {kind}, fp0 long, fp1 long")
+
+
+def _similar(pairs: DataFrame, shingle: int, least: float) -> DataFrame:
+    """Of (a, b, text_a, text_b), the pairs (a, b, same): whether the Jaccard similarity of their shingles is ``least`` or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            same = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                p, q = np.unique(shingle_hashes(x, shingle)), np.unique(shingle_hashes(y, shingle))
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                same.append(both >= least * (len(p) + len(q) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(same, pa.bool_())], ["a", "b", "same"])
+
+    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, same boolean")
+
+
+def similar_groups(candidates: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """(node, root): groups that all candidates (a, b, far, owner) with similar texts (node, text) connect.
+
+    In rounds: each owner's nearest open candidate is compared first, then the next 64, and so on. Similar ones join their
+    nodes; candidates inside a joined group need no comparison, all others are compared in the end.
+    """
+    rest = stage(candidates, "near-open")
+    good, root, quota = None, rest.select(F.col("a").alias("node"), F.col("a").alias("root")), 1
+    while not rest.isEmpty():
+        turn = rest.groupBy("owner").agg(F.sort_array(F.collect_list(F.struct("far", "a", "b"))).alias("all"))  # one in an order at most
+        turn = turn.select(F.explode(F.slice("all", 1, quota)).alias("x")).select("x.a", "x.b")
+        pairs = turn.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+        pairs = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+        seen = stage(_similar(pairs, shingle, least), "near-compared")
+        same = seen.filter("same").select("a", "b")
+        good = stage(same if good is None else good.union(same), "near-edges")
+        root = stage(components(good), "near-groups")
+        rest = rest.join(seen.select("a", "b"), ["a", "b"], "left_anti")
+        for side in "ab":
+            rest = rest.join(root.select(F.col("node").alias(side), F.col("root").alias(f"r{side}")), side, "left")
+        rest = stage(rest.filter("ra IS NULL OR rb IS NULL OR ra <> rb").select("a", "b", "far", "owner"), "near-open")
+        quota *= 64
+    return root
+
+
+def centre_pairs(nodes: DataFrame, edges: DataFrame, budget: int) -> DataFrame:
+    """Further candidates (a, b, far, owner): in each group that the edges (a, b) connect, the node nearest to the group's
+    majority of bits with every other within ``budget`` bits of it.
+
+    Copies of one text differ from each other by twice what they differ from the text, so that edges to the nearest may all
+    lead to other copies; the majority of their bits leads to the text. Only sums of bits and smallest rows are gathered.
+    """
+    group = nodes.join(stage(components(edges), "near-wide"), "node").select("node", "fp0", "fp1", "root")
+    bits = [(c, k, f"{c}_{k}") for c in ("fp0", "fp1") for k in range(BITS)]
+    sums = group.groupBy("root").agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.shiftrightunsigned(c, k).bitwiseAND(1)).alias(name) for c, k, name in bits)).filter("n > 2")
+    centre = {c: reduce(Column.bitwiseOR, (F.when(F.col(name) * 2 > F.col("n"), F.shiftleft(F.lit(1).cast("long"), k)).otherwise(F.lit(0).cast("long")) for x, k, name in bits if x == c)) for c in ("fp0", "fp1")}
+    centres = measured(stage(sums.select("root", centre["fp0"].alias("c0"), centre["fp1"].alias("c1")), "near-centres"))
+    far = lambda a, b: F.bit_count(F.col("fp0").bitwiseXOR(F.col(a))) + F.bit_count(F.col("fp1").bitwiseXOR(F.col(b)))
+    middle = group.join(centres, "root").groupBy("root").agg(F.min(F.struct(far("c0", "c1").alias("far"), "node", "fp0", "fp1")).alias("m"))
+    middle = measured(stage(middle.select("root", F.col("m.node").alias("mid"), F.col("m.fp0").alias("m0"), F.col("m.fp1").alias("m1")), "near-middles"))
+    pairs = group.join(middle, "root").withColumn("far", far("m0", "m1")).filter(f"node <> mid AND far <= {budget}")
+    return pairs.select(F.least("node", "mid").alias("a"), F.greatest("node", "mid").alias("b"), "far", F.xxhash64("fp0", "fp1").alias("owner"))
+
+
+def near_copies(docs: DataFrame, least: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text", front: int = FRONT_BITS, tables: int = TABLES, budgets: tuple[int, ...] = WIDE_BUDGETS) -> DataFrame:
+    """The rows of docs with one of each group of near copies, all columns: one with the smallest id, null ids after all others.
+
+    Two texts are near copies if the Jaccard similarity of their distinct ``shingle``-word runs is ``least`` or more; groups
+    are what such pairs connect. Candidates are pairs of 128-bit fingerprints that agree in one of ``tables`` fronts and
+    differ in at most the last of ``budgets`` bits, and of each group's middle with all others; each that matters is then
+    compared by its texts' shingles, so nothing less similar is joined. What is missed is stated in the README. Texts of equal
+    128-bit fingerprints are near copies; texts without words are one group. Null texts count as empty. Rows are decided one by one, also those that share an id or have none; an empty table gives no rows.
+    """
+    rows = number_rows(docs, id_col, "near-rows")
+    fps = stage(wide_fingerprints(rows, "__key", text_col, shingle), "near-fingerprints")
+    distinct = stage(fps.groupBy("fp0", "fp1").agg(F.min("key").alias("first")).withColumn("node", F.col("first.row")), "near-distinct")
+    edges = trie_edges(distinct, ["fp0", "fp1"], random_orders(2, tables), front, list(budgets))
+    far = F.bit_count(F.col("fp0_a").bitwiseXOR(F.col("fp0_b"))) + F.bit_count(F.col("fp1_a").bitwiseXOR(F.col("fp1_b")))
+    edges = edges.select("*", far.alias("far"), F.xxhash64("fp0_o", "fp1_o").alias("owner"))
+    for side in "ab":
+        of = distinct.select(F.col("fp0").alias(f"fp0_{side}"), F.col("fp1").alias(f"fp1_{side}"), F.col("node").alias(side))
+        edges = edges.join(of, [f"fp0_{side}", f"fp1_{side}"])
+    edges = stage(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "far", "owner"), "near-found")
+    edges = edges.union(centre_pairs(distinct, edges, budgets[-1])).groupBy("a", "b").agg(F.min("far").alias("far"), F.min("owner").alias("owner"))
+    edges = stage(edges, "near-candidates")
+    nodes = measured(stage(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near-nodes"))
+    texts = rows.select(F.col("__key.row").alias("node"), utf8(text_col).alias("text")).join(nodes, "node", "left_semi")
+    roots = similar_groups(edges, stage(texts, "near-texts"), shingle, least)
+    label = distinct.join(roots, "node", "left").select("fp0", "fp1", "first", F.coalesce("root", "node").alias("root"))
+    keep = label.groupBy("root").agg(F.min("first").alias("keep"))
+    label = stage(label.join(keep, "root").select("fp0", "fp1", "keep"), "near-labels")
+    gone = fps.join(label, ["fp0", "fp1"]).filter("key <> keep").select(F.col("key").alias("doc_id"))
+    return keep_rows(rows, gone)
