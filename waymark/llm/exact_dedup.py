@@ -1,24 +1,25 @@
 """Exact deduplication with keyed streaming state that never expires.
 
-Arriving rows are fingerprinted into a ledger (digest, identifier, content locator; no text). A Structured Streaming query
-groups the ledger by digest in RocksDB state, kept on disk and checkpointed to the shared folder: per digest the number of
+Arriving rows are written to a ledger (digest, identifier, text; the locator is a row's place in it). A Structured Streaming
+query groups the ledger's rows, without their texts, by digest in RocksDB state, kept on disk and checkpointed to the shared folder: per digest the number of
 rows and the smallest identifier with its locator. Partial aggregation collapses copies before the shuffle, so that a
 digest shared by a third of all rows reaches its state as one row a task. There is no watermark: state lives on, and a
 later run over the same folder (``run_dir``) meets every digest seen before.
 
-A digest hit is only a candidate. The texts of all rows behind a repeated digest are compared in full; where they differ,
-the rows are grouped by the text itself.
+A digest hit is only a candidate. The text at the state's locator is read from the ledger and compared in full with the texts
+of all rows behind the digest, those of earlier runs too; where they differ, the rows are grouped by the text itself.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm.common import scratch, small, stage, utf8
+from waymark.llm.common import measured, scratch, stage, utf8
 
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -50,11 +51,14 @@ def sha256(text: Column) -> Column:
 
 
 def fingerprint_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256) -> DataFrame:
-    """The ledger's rows: doc_id, digest, locator (length of the normalised text and a 64-bit hash of it); sha with other digests."""
-    text = normalised(text_col)
-    slim = docs.select(F.col(id_col).alias("doc_id"), text.alias("t"))
+    """The ledger's rows: doc_id, digest, locator, t (the normalised text); and sha with other digests.
+
+    The locator (run, row) names the row in the ledger, which keeps the content: what reads by it finds the text there.
+    """
+    slim = docs.select(F.col(id_col).alias("doc_id"), normalised(text_col).alias("t"))
     more = [] if digest is sha256 else [sha256(F.col("t")).alias("sha")]
-    return slim.select("doc_id", digest(F.col("t")).alias("digest"), F.struct(F.length("t").alias("n"), F.xxhash64("t").alias("h")).alias("locator"), *more)
+    locator = F.struct(F.lit(uuid.uuid4().hex).alias("run"), F.monotonically_increasing_id().alias("row"))
+    return slim.select("doc_id", digest(F.col("t")).alias("digest"), locator.alias("locator"), "t", *more)
 
 
 def stream_groups(spark: SparkSession, ledger: str, schema, run_dir: str, files_per_batch: int | None = None) -> str:
@@ -82,9 +86,21 @@ def stream_groups(spark: SparkSession, ledger: str, schema, run_dir: str, files_
 
 
 def latest_groups(spark: SparkSession, updates: str) -> DataFrame:
-    """digest, n, keep_id: the last state of each digest (its count only grows)."""
+    """digest, n, keep_id, locator (of keep_id's row): the last state of each digest (its count only grows)."""
     last = spark.read.parquet(updates).groupBy("digest").agg(F.max(F.struct("n", "first")).alias("x"))
-    return last.select("digest", F.col("x.n").alias("n"), F.col("x.first.doc_id").alias("keep_id"))
+    return last.select("digest", F.col("x.n").alias("n"), F.col("x.first.doc_id").alias("keep_id"), F.col("x.first.locator").alias("locator"))
+
+
+def false_hits(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """Digests behind which the ledger's texts differ.
+
+    The text at each group's locator is read from the ledger and compared with all texts of the digest: with their smallest
+    and largest, which are aggregated per task first, so that a large group meets as one row a task.
+    """
+    hit = measured(groups.filter("n > 1").select("digest", "locator"))
+    ends = rows.join(hit.select("digest"), "digest", "left_semi").groupBy("digest").agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
+    kept = rows.select("locator", F.col("t").alias("kept")).join(hit, "locator").select("digest", "kept")
+    return ends.join(kept, "digest").filter("lo <> kept OR hi <> kept").select("digest")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256, run_dir: str | None = None, files_per_batch: int | None = None) -> DataFrame:
@@ -94,7 +110,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     group. The smallest id of a group stays. Rows that repeat an id and text count in group_size, and all rows of the
     smallest id are kept; null ids come after all others. Other columns are ignored. An empty table gives no rows.
     ``digest`` may be any function of the text: a weak one costs time, never a wrong result. With the run_dir of an earlier
-    run, its rows take part and are returned too; full texts are compared among the rows given now.
+    run (with the same digest), its rows take part, by their texts in its ledger, and are returned too.
     """
     spark = docs.sparkSession
     run_dir = run_dir or scratch(spark, "dedup")
@@ -106,16 +122,13 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return rows.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(0).cast("long").alias("group_size"), F.lit(True).alias("kept"), F.col("digest").alias("text_sha256"))
     groups = stage(latest_groups(spark, updates), "dedup-groups")
 
-    # Full comparison of all texts behind a repeated digest. Smallest and largest text are equal only if all are; both are
-    # aggregated per task first, so that a large group meets as one row a task.
-    text = docs.select(F.col(id_col).alias("doc_id"), normalised(text_col).alias("t"))
-    hits = text.select("doc_id", "t", digest(F.col("t")).alias("digest")).join(small(groups.filter("n > 1").select("digest"), 100), "digest")
-    false_hits = stage(hits.groupBy("digest").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).filter("lo <> hi").select("digest"), "dedup-false")
+    wrong = measured(stage(false_hits(rows, groups), "dedup-false"))
     sha = F.col("digest") if digest is sha256 else F.col("sha")
-    same = rows.join(groups, "digest").select("doc_id", "digest", "keep_id", F.col("n").alias("group_size"), sha.alias("sha"))
-    if not false_hits.isEmpty():
-        same = same.join(false_hits, "digest", "left_anti")
-        apart = hits.join(false_hits, "digest").withColumn("sha", sha256(F.col("t")))
+    slim = rows.select("doc_id", "digest", sha.alias("sha"))
+    same = slim.join(groups.select("digest", "keep_id", F.col("n").alias("group_size")), "digest").select("doc_id", "digest", "keep_id", "group_size", "sha")
+    if not wrong.isEmpty():
+        same = same.join(wrong, "digest", "left_anti")
+        apart = rows.join(wrong, "digest", "left_semi").select("doc_id", "t", sha.alias("sha"))
         by_text = apart.groupBy("t").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")).alias("first"), F.count(F.lit(1)).alias("group_size"))
         apart = apart.join(by_text, "t").select("doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", "sha")
         same = same.drop("digest").unionByName(apart)
