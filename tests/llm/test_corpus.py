@@ -163,7 +163,8 @@ def test_html_repeats(spark):
     for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
         out[r["page_id"]].append((r["text"], r["n_chars"]))
     assert all(out[i] == [(own[i], len(own[i]))] for i in (1, 2, 4, 5))
-    assert out[3] == [(f"{own[3]}\n3", len(own[3]) + 2)] and out[0] == [(own[0], len(own[0]))] * 2
+    whole = f"{own[3]}\n{boiler} 3"  # a block that is repeated only in part stays whole
+    assert out[3] == [(whole, len(whole))] and out[0] == [(own[0], len(own[0]))] * 2
     assert out[90] == [("", 0)] and out[91] == [("", 0)] and out[92][0][0] == f"kept whole: {boiler}"
 
 
@@ -290,7 +291,11 @@ def test_trie_walk(budget):
             values.add(v)
     dense = {int(base[0]) ^ (1 << a) ^ (1 << b) for a in range(20) for b in range(20)}
     tree = np.unique(np.array([*values, *dense, 0, 2**64 - 1], np.uint64))
-    root = simhash.walk(tree, [(0, len(tree))], 0, budget)
+    sets = simhash.walk(tree[:, None], [(0, len(tree))], 0, budget)
+    root = sets.roots(np.arange(len(tree)))
+    edges = np.concatenate(sets.edges)
+    assert len(edges) == len(tree) - len(set(root.tolist())) == len(set(edges[:, 2].tolist()))
+    assert np.bitwise_count(tree[edges[:, 0]] ^ tree[edges[:, 1]]).max() <= budget
     want = classes(list(map(int, tree)), budget)
     assert len(set(zip(root.tolist(), want))) == len(set(want)) == len(set(root.tolist()))
 
@@ -304,46 +309,12 @@ def test_components_of_a_long_chain(spark):
 # --- 8
 
 
-CONVS = [
+CONVS = [  # also read by test_chat
     (1, 0, "system", "be \\ kind ### </turn>"), (1, 1, "user", "hi"), (1, 2, "assistant", "####\\#: yes </turn>\n### user: x"), (2, 0, "system", "be \\ kind ### </turn>"), (2, 1, "user", "hi"), (2, 2, "assistant", "no"),
     (3, 1, None, None), (3, 1, "assistant", ""), (3, None, "we:ird\\ro###le", "x"), (None, 0, "user", "no id"), (4, 0, "assistant", "same"), (4, 0, "assistant", "same"), (5, 0, "user", LONG), (6, 0, "user", "<</turn>\\"),
 ]
 
 
-def test_chat_round_trip(spark):
-    df = spark.createDataFrame(CONVS, "conv_id long, turn long, role string, text string")
-    df = df.withColumn("node", F.lit("clash")).withColumn("size", F.lit(1))
-    nodes, paths = chat_tree.build(df)
-    got = {r["conv_id"]: r for r in chat_tree.read_back(nodes, paths).collect()}
-    want = defaultdict(list)
-    for c, t, r, x in CONVS:
-        want[c].append(((t is not None, t or 0), r or "", x or ""))
-    for c, turns in want.items():
-        turns = [(r, x) for _, r, x in sorted(turns)]
-        assert [(t["role"], t["text"]) for t in got[c]["turns"]] == turns
-        assert got[c]["loss_text"] == "".join(x for r, x in turns if r == "assistant")
-    tree = {r["node"]: r for r in nodes.collect()}
-    assert len(tree) == 14 - 2  # conversations 1 and 2 share two turns
-    for r in tree.values():  # positions and intervals follow the ancestors
-        up = [r]
-        while up[0]["parent"]:
-            up.insert(0, tree[up[0]["parent"]])
-        seen = {k for a in up for k in range(a["offset"], a["offset"] + a["size"])}
-        assert r["position"] == sum(a["size"] for a in up[:-1]) and r["depth"] == len(up) - 1
-        assert seen == {k for s in r["attends"] for k in range(s["start"], s["end"])} and all(a["end"] < b["start"] for a, b in zip(r["attends"], r["attends"][1:]))
-    for t in {r["tree"] for r in tree.values()}:  # packed text is gapless and in depth-first order
-        rows = sorted((r for r in tree.values() if r["tree"] == t), key=lambda r: (r["place"], r["depth"]))
-        at, stack = 0, []
-        for r in rows:
-            while stack and stack[-1] != r["parent"]:
-                stack.pop()
-            assert r["offset"] == at and (not r["parent"] or stack)
-            stack.append(r["node"])
-            at += r["size"]
-    empty = chat_tree.build(df.filter("conv_id > 99"))
-    assert chat_tree.read_back(*empty).count() == 0
-
-
 # --- 9
 
 
