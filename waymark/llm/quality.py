@@ -144,11 +144,14 @@ def fit(x: np.ndarray, y: np.ndarray, settings: Settings = Settings()) -> Model:
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     """Learn from at most ``settings.sample`` labelled documents outside the held-out fold: those whose id hashes lowest.
 
-    Only their statistics (a row of 20 numbers each) reach the driver. Null labels, and those without a document, teach nothing.
+    Only their statistics (a row of 20 numbers each) reach the driver. Null labels, labels that contradict each
+    other for one id, and those without a document teach nothing; of documents that repeat an id the smallest text teaches.
     """
     known = labels.select(F.col(id_col).alias("l_id"), F.col(label_col).cast("int").alias("label")).filter(F.col("l_id").isNotNull() & F.col("label").isNotNull())
-    known = known.filter(~in_fold("l_id")).dropDuplicates(["l_id"]).orderBy(F.xxhash64("l_id"), "l_id").limit(settings.sample)
+    known = known.filter(~in_fold("l_id")).groupBy("l_id").agg(F.min("label").alias("label"), F.max("label").alias("other")).filter("label = other").drop("other")
+    known = known.orderBy(F.xxhash64("l_id"), "l_id").limit(settings.sample)
     some = docs.select(F.col(id_col).alias("doc_id"), utf8(text_col).alias("text")).join(F.broadcast(known), F.col("doc_id") == F.col("l_id"))
+    some = some.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -164,7 +167,8 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), i
 def score(docs: DataFrame, model: Model, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: doc_id, held_out, score (0 to 1), predicted (1 from ``threshold`` on).
 
-    Null texts count as empty; repeated rows give a row each; other columns are ignored.
+    Null texts count as empty; repeated rows give a row each; other columns are ignored; texts may be of any length; an empty
+    table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -138,11 +138,14 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), i
     """Learn from at most ``settings.sample`` labelled documents outside the held-out fold: those whose id hashes lowest.
 
     The sample's bound makes its ids broadcastable, its features fit one task, and the work of learning independent of the
-    corpus. Labels that are null or whose document is missing teach nothing; without any label the score is 0.5 everywhere.
+    corpus. Labels that are null, that contradict each other for one id, or whose document is missing teach nothing; of
+    documents that repeat an id the smallest text teaches. Without any label the score is 0.5 everywhere.
     """
     known = labels.select(F.col(id_col).alias("l_id"), F.col(label_col).cast("int").alias("label")).filter(F.col("l_id").isNotNull() & F.col("label").isNotNull())
-    known = known.filter(~in_fold("l_id")).dropDuplicates(["l_id"]).orderBy(F.xxhash64("l_id"), "l_id").limit(settings.sample)
+    known = known.filter(~in_fold("l_id")).groupBy("l_id").agg(F.min("label").alias("label"), F.max("label").alias("other")).filter("label = other").drop("other")
+    known = known.orderBy(F.xxhash64("l_id"), "l_id").limit(settings.sample)
     some = docs.select(F.col(id_col).alias("doc_id"), utf8(text_col).alias("text")).join(F.broadcast(known), F.col("doc_id") == F.col("l_id"))
+    some = some.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(settings)
@@ -169,7 +172,8 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), i
 def score(docs: DataFrame, model: Model, threshold: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: doc_id, held_out, score (0 to 1), predicted (1 from ``threshold`` on).
 
-    Null texts count as empty and get the bias's score. Repeated rows give a row each; other columns are ignored.
+    Null texts count as empty and get the bias's score. Repeated rows give a row each; other columns are ignored; texts may be
+    of any length; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
