@@ -130,9 +130,9 @@ def columnar(records: DataFrame) -> DataFrame:
     return out.select("category", "count", *(F.col(f"r.{k}").alias(k) for k in ("osm_id", "lon", "lat", "name")))  # a field of an array of structs is an array
 
 
-def from_columnar(bundles: DataFrame, most: int = 500_000) -> DataFrame:
+def from_columnar(bundles: DataFrame) -> DataFrame:
     """Columnar rows back to one row a point, with ``place``; bundles whose arrays differ from their count give none."""
-    ok = (F.col("count") <= most) & (F.size("lon") == F.col("count")) & (F.size("lat") == F.col("count")) & (F.size("name") == F.col("count")) & (F.size("osm_id") == F.col("count"))
+    ok = (F.size("lon") == F.col("count")) & (F.size("lat") == F.col("count")) & (F.size("name") == F.col("count")) & (F.size("osm_id") == F.col("count"))
     p = bundles.filter(ok).select("category", F.posexplode(F.arrays_zip("osm_id", "lon", "lat", "name")).alias("place", "r"))
     return p.select("category", "place", "r.*")
 

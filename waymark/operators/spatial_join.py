@@ -32,16 +32,20 @@ def box_cells(df: DataFrame, box: Column, degrees: float) -> DataFrame:
     return df.withColumn("cell_y", F.explode(F.sequence(at(box["s"]), at(box["n"]))))
 
 
-def within_distance(left: DataFrame, right: DataFrame, metres: float, left_at: tuple[str, str] = ("lon", "lat"), right_at: tuple[str, str] = ("r_lon", "r_lat"), max_lat: float = 80.0) -> DataFrame:
+def reach(metres: float, lat: Column) -> tuple[Column, Column]:
+    """Degrees of longitude and latitude within which all points ``metres`` away lie: near a pole, all longitudes."""
+    dy = metres / DEGREE_M * 1.01
+    far = F.abs(lat) + dy
+    return F.when(far < 89, F.lit(dy) / F.cos(F.radians(far))).otherwise(F.lit(360.0)), F.lit(dy)
+
+
+def within_distance(left: DataFrame, right: DataFrame, metres: float, left_at: tuple[str, str] = ("lon", "lat"), right_at: tuple[str, str] = ("r_lon", "r_lat")) -> DataFrame:
     """All pairs at most ``metres`` apart (great circle), with their distance ``m``. Column names must not clash.
 
-    Every left row reaches the cells within the radius, wide enough in longitude up to ``max_lat`` degrees of latitude.
+    Every left row reaches the cells within the radius.
     """
-    import math
-
     cell = max(metres / DEGREE_M, 1e-6)
-    dy = F.lit(metres / DEGREE_M * 1.01)
-    dx = F.least(dy / F.cos(F.radians(F.least(F.abs(c(left_at[1])), F.lit(max_lat)))), F.lit(metres / DEGREE_M * 1.01 / math.cos(math.radians(max_lat))))
+    dx, dy = reach(metres, c(left_at[1]))
     near = cells(left, *left_at, cell, dx, dy).join(cells(right, *right_at, cell), ["cell_x", "cell_y"])
     near = near.withColumn("m", geo.haversine_m(*left_at, *right_at)).filter(F.col("m") <= metres)
     return near.drop("cell_x", "cell_y")

@@ -139,7 +139,7 @@ SELECT station, '1,1,13,' || string_agg(dx || ',' || dy, ',' ORDER BY i) AS enco
 def delta_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rings on the integer grid as differences, and back."""
     s = stations(spark, sf_dir).withColumn("ring", geo.circle_ring("lon", "lat", 600.0, 12)).withColumn("multi", F.array(F.array("ring")))
-    s = s.withColumn("code", rings.delta_encode(F.col("multi"))).withColumn("deltas", F.slice("code", 4, 1000))
+    s = s.withColumn("code", rings.delta_encode(F.col("multi"))).withColumn("deltas", F.slice("code", 4, F.size("code")))
     s = s.withColumn("back", rings.delta_points(F.col("deltas")))
     return s.select("station", F.array_join(F.col("code").cast("array<string>"), ",").alias("encoded"), _r(rings.bounds(F.col("back"))["e"], 5, "max_x"), _r(rings.bounds(F.col("back"))["s"], 5, "min_y"))
 
