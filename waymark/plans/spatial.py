@@ -219,12 +219,12 @@ def covering_region(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH s AS ({STATIONS}) SELECT a.station AS a, b.station AS b, round({hav('a.lon', 'a.lat', 'b.lon', 'b.lat')}, 3) AS m FROM s a, s b WHERE a.station < b.station AND {hav('a.lon', 'a.lat', 'b.lon', 'b.lat')} <= 3000""")
+WITH s AS ({STATIONS}) SELECT a.station AS a, b.station AS b, round({hav('a.lon', 'a.lat', 'b.lon', 'b.lat')}, 3) AS m FROM s a, s b WHERE a.station < b.station AND {hav('a.lon', 'a.lat', 'b.lon', 'b.lat')} <= 30000""")
 def station_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = stations(spark, sf_dir)
     a = s.select(F.col("station").alias("a"), "lon", "lat")
     b = s.select(F.col("station").alias("b"), F.col("lon").alias("r_lon"), F.col("lat").alias("r_lat"))
-    return spatial_join.within_distance(a, b, 3000.0).filter("a < b").select("a", "b", _r(F.col("m"), 3, "m"))
+    return spatial_join.within_distance(a, b, 30000.0).filter("a < b").select("a", "b", _r(F.col("m"), 3, "m"))
 
 
 @query(f"""
