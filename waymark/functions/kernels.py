@@ -151,30 +151,51 @@ def clip_to_convex(rings: pd.Series, windows: pd.Series) -> pd.Series:
 
 
 def voronoi(points: list[tuple], box: tuple[float, float, float, float]) -> list[list[dict]]:
-    """Each point's cell in the plane, cut to a box: half-planes towards all others, nearest first, until none can reach it."""
+    """Each point's cell in the plane, cut to a box: half-planes towards all others, nearest first, until none can reach it.
+
+    Blocks of points take their next half-plane together; a block's distances fill at most 32 MB, or one point's.
+    """
     xy = np.array(points, float).reshape(-1, 2)
+    block = max(1, 4_000_000 // max(1, len(xy)))
+    return [_closed(cell) for at in range(0, len(xy), block) for cell in _voronoi_block(xy, xy[at : at + block], box)]
+
+
+def _voronoi_block(xy: np.ndarray, own: np.ndarray, box: tuple[float, float, float, float]) -> list[np.ndarray]:
     w, s, e, n = box
-    out = []
-    for k, p in enumerate(xy):
-        cell = np.array([(w, s), (e, s), (e, n), (w, n)], float)
-        d = np.hypot(*(xy - p).T)
-        for j in np.argsort(d, kind="stable"):
-            if j == k or d[j] == 0:
-                continue
-            if not len(cell) or d[j] / 2 > np.hypot(*(cell - p).T).max():
-                break
-            mid, normal = (xy[j] + p) / 2, p - xy[j]
-            side = (cell - mid) @ normal
-            nxt, side2 = np.roll(cell, -1, axis=0), np.roll(side, -1)
-            keep = []
-            for a, b, u, v in zip(cell, nxt, side, side2, strict=True):
-                if u >= 0:
-                    keep.append(a)
-                if (u > 0 > v) or (u < 0 < v):
-                    keep.append(a + (b - a) * (u / (u - v)))
-            cell = np.array(keep).reshape(-1, 2)
-        out.append(_closed(cell))
-    return out
+    cell, size = np.repeat(np.array([[(w, s), (e, s), (e, n), (w, n)]], float), len(own), axis=0), np.full(len(own), 4)
+    d = np.hypot(xy[:, 0] - own[:, :1], xy[:, 1] - own[:, 1:])
+    order, live = np.argsort(d, axis=1, kind="stable"), np.arange(len(own))
+    for rank in range(len(xy)):
+        other = order[live, rank]
+        inside = np.arange(cell.shape[1]) < size[live, None]
+        far = np.where(inside, np.hypot(*np.moveaxis(cell[live] - own[live, None], 2, 0)), -1.0).max(1)
+        open_ = d[live, other] / 2 <= far
+        live, other = live[open_], other[open_]
+        if not len(live):
+            break
+        cut, other = live[d[live, other] > 0], other[d[live, other] > 0]  # equal places don't cut each other
+        if not len(cut):
+            continue
+        new, count = _cut(cell[cut], size[cut], (xy[other] + own[cut]) / 2, own[cut] - xy[other])
+        if new.shape[1] > cell.shape[1]:
+            cell = np.pad(cell, ((0, 0), (0, new.shape[1] - cell.shape[1]), (0, 0)))
+        cell[cut, : new.shape[1]], size[cut] = new, count
+    return [c[:k] for c, k in zip(cell, size, strict=True)]
+
+
+def _cut(cell: np.ndarray, size: np.ndarray, mid: np.ndarray, normal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Convex cells (row by row, ``size`` corners each) cut by a half-plane each: corners, and how many."""
+    corner = np.arange(cell.shape[1])
+    inside, following = corner < size[:, None], np.where(corner + 1 < size[:, None], corner + 1, 0)
+    side = ((cell - mid[:, None]) * normal[:, None]).sum(2)
+    side2, cell2 = np.take_along_axis(side, following, 1), np.take_along_axis(cell, following[..., None], 1)
+    crosses = inside & (((side > 0) & (side2 < 0)) | ((side < 0) & (side2 > 0)))
+    share = np.divide(side, side - side2, out=np.zeros_like(side), where=crosses)
+    points = np.stack([cell, cell + (cell2 - cell) * share[..., None]], axis=2).reshape(len(cell), -1, 2)
+    kept = np.stack([inside & (side >= 0), crosses], axis=2).reshape(len(cell), -1)
+    count = kept.sum(1)
+    first = np.argsort(~kept, axis=1, kind="stable")[:, : max(1, count.max())]
+    return np.take_along_axis(points, first[..., None], 1), count
 
 
 # --- well-known binary

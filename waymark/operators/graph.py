@@ -2,15 +2,38 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymark.session import save
 
 
+def star_edges(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Edges (a, b) that join the same nodes, as stars: each node to the first node of its component."""
+    ids, names = pd.factorize(np.concatenate([pdf["a"].to_numpy(), pdf["b"].to_numpy()]), sort=True)
+    a, b, root = ids[: len(pdf)], ids[len(pdf) :], np.arange(len(names))
+    while (root[a] != root[b]).any():
+        np.minimum.at(root, np.maximum(root[a], root[b]), np.minimum(root[a], root[b]))
+        while (root != root[root]).any():
+            root = root[root]
+    far = np.flatnonzero(root != np.arange(len(names)))
+    return pd.DataFrame({"a": names[root[far]], "b": names[far]})
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """Edges with the same components and shorter paths: every Arrow batch of edges becomes its stars, at most one edge a node."""
+    edges = edges.select("a", "b").filter("a <> b")
+    return edges.mapInPandas(lambda batches: (star_edges(pdf) for pdf in batches), edges.schema)
+
+
 def connected_components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, component): the smallest node reachable over undirected edges (a, b). Nodes without edges stand alone."""
-    both = save(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct())
+    """(node, component): the smallest node reachable over undirected edges (a, b). Nodes without edges stand alone.
+
+    Edges are contracted batch by batch first, so rounds follow the number of batches that a component spans, not its length.
+    """
+    both = save(contracted(edges).select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b").distinct())
     label = save(nodes.select("node", F.col("node").alias("component")))
     for _ in range(rounds):
         near = both.join(label, both["b"] == label["node"]).groupBy("a").agg(F.min("component").alias("m"))

@@ -85,14 +85,24 @@ def best_pack(requests: DataFrame, packs: DataFrame, degrees: float = 0.1) -> Da
     return p.filter("place = 1").select("request", "pack", "installed", "contains")
 
 
-def freshest_covering(requests: DataFrame, cached: DataFrame, degrees: float = 0.25) -> DataFrame:
+def freshest_covering(requests: DataFrame, cached: DataFrame) -> DataFrame:
     """For each request circle the freshest cached circle of its category that holds it: request, cached, fetched_at.
 
-    Both have (category, lon, lat, r). A cached circle is put into the cells of its box, a request into its own cell.
+    requests: (request, category, lon, lat, r); cached: (cached, fetched_at, category, c_lon, c_lat, c_r). A cached circle that
+    a wider, fresher one with the same centre beats can't be an answer and goes first. The others are put into the cells of
+    their boxes, of a size that suits the circle (a power of two degrees); a request goes to its cell of each size in use.
     """
-    from waymark.operators.spatial_join import box_cells, cells
-
-    tiles = box_cells(cached.withColumn("box", geo.circle_box("c_lon", "c_lat", "c_r")), F.col("box"), degrees)
-    both = cells(requests, "lon", "lat", degrees).join(tiles, ["category", "cell_x", "cell_y"])
-    both = both.filter(geo.circle_covers_circle("c_lon", "c_lat", "c_r", "lon", "lat", "r"))
-    return both.groupBy("request").agg(F.max(F.struct("fetched_at", "cached")).alias("x")).select("request", "x.cached", "x.fetched_at")
+    at = lambda v: F.floor(v / F.pow(F.lit(2.0), F.col("level"))).cast("long")
+    spot = ["category", "c_lon", "c_lat"]
+    c = cached.groupBy(*spot, "c_r").agg(F.max(F.struct("fetched_at", "cached")).alias("newest"))
+    wider = Window.partitionBy(*spot).orderBy(F.desc("c_r")).rowsBetween(Window.unboundedPreceding, -1)
+    c = c.withColumn("rival", F.max("newest").over(wider)).filter(F.col("rival").isNull() | (F.col("newest") > F.col("rival"))).drop("rival")
+    c = c.withColumn("box", geo.circle_box("c_lon", "c_lat", "c_r"))
+    side = F.greatest(F.col("box.e") - F.col("box.w"), F.col("box.n") - F.col("box.s"))
+    c = save(c.withColumn("level", F.greatest(F.ceil(F.log2(side)) - 2, F.lit(-20)).cast("int")))
+    levels = [r["level"] for r in c.select("level").distinct().collect()]  # at most 30 sizes
+    tiles = c.withColumn("cell_x", F.explode(F.sequence(at(F.col("box.w")), at(F.col("box.e"))))).withColumn("cell_y", F.explode(F.sequence(at(F.col("box.s")), at(F.col("box.n"))))).drop("box")
+    asked = requests.select("request", "category", "lon", "lat", "r", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")).alias("level"))
+    asked = asked.withColumn("cell_x", at(F.col("lon"))).withColumn("cell_y", at(F.col("lat")))
+    both = asked.join(tiles, ["category", "level", "cell_x", "cell_y"]).filter(geo.circle_covers_circle("c_lon", "c_lat", "c_r", "lon", "lat", "r"))
+    return both.groupBy("request").agg(F.max("newest").alias("x")).select("request", "x.cached", "x.fetched_at")

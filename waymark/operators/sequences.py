@@ -1,20 +1,24 @@
 """Algorithms whose result depends on order, one independent group at a time.
 
-Each runs as a grouped Arrow function over the smallest key within which rows can affect each other: names for stations, the
-variant for stop order, the relation for way stitching, connected lines for parallel tracks and gaps. Groups are therefore
-bounded by the data's own structure (one route's ways, one name's stations), not by the table.
+Each runs as a grouped Arrow function over the smallest key within which rows can affect each other: a neighbourhood of one
+name for stations, the variant for stop order, ways that share ends for stitching, connected lines for parallel tracks and
+gaps. Groups are therefore bounded by the data's own structure, not by the table or a frequent key.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
+from collections import defaultdict, deque
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from waymark.operators.graph import connected_components
 from waymark.operators.transit import first_by
+from waymark.session import save
 
 DEGREE_M, EARTH_M = 111320.0, 6371000.0
 
@@ -44,7 +48,9 @@ def dedupe_stations(stations: DataFrame, near_m: float = 150.0) -> DataFrame:
     cols = [c for c in s.columns if c not in ("wikidata", "ord")]
     best = tagged.groupBy("wikidata").agg(F.max_by(F.struct(*cols), F.struct("score", (-F.col("ord")).alias("o"))).alias("x"), F.min("ord").alias("ord"))
     s = s.filter("wikidata IS NULL OR wikidata = ''").unionByName(best.select("wikidata", "ord", "x.*"))
-    named = s.filter("normalised <> ''")
+    placed = (F.col("normalised") != "") & F.col("lon").isNotNull() & F.col("lat").isNotNull()
+    placed = F.coalesce(placed, F.lit(False))
+    named = first_by(s.filter(placed), ["normalised", "lon", "lat"], F.col("ord"))
 
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ord", kind="stable")
@@ -55,8 +61,28 @@ def dedupe_stations(stations: DataFrame, near_m: float = 150.0) -> DataFrame:
                 kept.append(k)
         return pdf.iloc[kept][["id"]]
 
-    keep = named.select("id", "normalised", "lon", "lat", "ord").groupBy("normalised").applyInPandas(greedy, named.select("id").schema)
-    return s.filter("normalised IS NULL OR normalised = ''").unionByName(named.join(keep, "id", "left_semi").select(*s.columns)).drop("score")
+    near = neighbourhoods(named.select("id", "normalised", "lon", "lat", "ord"), "normalised", near_m)
+    keep = near.groupBy("component").applyInPandas(greedy, named.select("id").schema)
+    return s.filter(~placed).unionByName(named.join(keep, "id", "left_semi").select(*s.columns)).drop("score")
+
+
+def neighbourhoods(points: DataFrame, key: str, near_m: float) -> DataFrame:
+    """Adds ``component``: points of one key that lie within metres of each other, directly or through others, share it.
+
+    Points fall into cubes of that size in space, and components are of neighbouring cubes with points, so no pairs of points
+    are formed. Far points may share a component, near ones always do.
+    """
+    side = near_m * 1.001 / EARTH_M
+    lon, lat = F.radians("lon"), F.radians("lat")
+    at = [F.floor(v / side) for v in (F.cos(lat) * F.cos(lon), F.cos(lat) * F.sin(lon), F.sin(lat))]
+    name = lambda x, y, z: F.concat_ws(" ", x, y, z, F.col(key).cast("string"))
+    p = points.withColumns({"__x": at[0], "__y": at[1], "__z": at[2]}).withColumn("__cube", name("__x", "__y", "__z"))
+    cubes = save(p.select("__x", "__y", "__z", key, F.col("__cube").alias("node")).distinct())
+    steps = [(x, y, z) for x in (-1, 0, 1) for y in (-1, 0, 1) for z in (-1, 0, 1) if (x, y, z) > (0, 0, 0)]
+    beside = F.explode(F.array(*(name(F.col("__x") + x, F.col("__y") + y, F.col("__z") + z) for x, y, z in steps)))
+    edges = cubes.select(F.col("node").alias("a"), beside.alias("b")).join(cubes.select(F.col("node").alias("b")), "b", "left_semi")
+    parts = connected_components(cubes.select("node"), edges).select(F.col("node").alias("__cube"), "component")
+    return p.join(parts, "__cube").select(*points.columns, "component")
 
 
 def _gaps(xy: np.ndarray) -> tuple[np.ndarray, float]:
@@ -105,41 +131,62 @@ def repair_stops(stops: DataFrame) -> DataFrame:
 
 
 def chain(ways: list[list[tuple]]) -> list[list[tuple]]:
-    """Ways joined end to end where their ends are the same point; each chain starts at the first way left, and grows at both ends."""
-    left, out = [w for w in ways if len(w) > 1], []
-    while left:
-        line = list(left.pop(0))
-        grown = True
-        while grown:
-            grown = False
-            for k, w in enumerate(left):
-                if w[0] == line[-1]:
-                    line += w[1:]
-                elif w[-1] == line[-1]:
-                    line += w[-2::-1]
-                elif w[-1] == line[0]:
-                    line = w[:-1] + line
-                elif w[0] == line[0]:
-                    line = w[:0:-1] + line
-                else:
-                    continue
-                left.pop(k)
-                grown = True
-                break
-        out.append(line)
+    """Ways joined end to end where their ends are the same point; each chain starts at the first way left, and grows at both
+    ends by the first way left that touches one."""
+    return [line for _, line in chains([w for w in ways if len(w) > 1])]
+
+
+def chains(ways: list[list[tuple]]) -> list[tuple[int, list[tuple]]]:
+    """As ``chain``, with the position of each chain's first way. Ways have two points or more."""
+    used, touching, out = [False] * len(ways), defaultdict(list), []
+    for k, w in enumerate(ways):
+        for p in {w[0], w[-1]}:
+            touching[p].append(k)  # in order, so a heap
+
+    def first(p: tuple) -> int:
+        left = touching[p]
+        while left and used[left[0]]:
+            heapq.heappop(left)
+        return left[0] if left else len(ways)
+
+    for k, w in enumerate(ways):
+        if used[k]:
+            continue
+        used[k], line = True, deque(w)
+        while (j := min(first(line[-1]), first(line[0]))) < len(ways):
+            used[j], w = True, ways[j]
+            if w[0] == line[-1]:
+                line.extend(w[1:])
+            elif w[-1] == line[-1]:
+                line.extend(w[-2::-1])
+            elif w[-1] == line[0]:
+                line.extendleft(w[-2::-1])
+            else:
+                line.extendleft(w[1:])
+        out.append((k, list(line)))
     return out
 
 
 def stitch_ways(ways: DataFrame, key: str = "relation") -> DataFrame:
-    """(relation, part, points): each relation's ways chained. ways: (relation, ord, line)."""
-    kind = ways.schema[key].dataType.simpleString()
+    """(relation, part, line): each relation's ways chained. ways: (relation, ord, line); ways of one point are left out.
+
+    Only ways that share ends, directly or through others, meet in a task; a relation's chains are numbered by their first way.
+    """
+    kind, order = ways.schema[key].dataType.simpleString(), ways.schema["ord"].dataType.simpleString()
+    end = lambda k: F.concat_ws(" ", F.element_at("line", k)["x"] + F.lit(0.0), F.element_at("line", k)["y"] + F.lit(0.0), F.col(key).cast("string"))
+    w = ways.filter(F.size("line") > 1).select(key, "ord", "line", end(1).alias("a"), end(-1).alias("b"))
+    ends = w.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    parts = connected_components(ends, w.select("a", "b")).select(F.col("node").alias("a"), "component")
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ord", kind="stable")
-        parts = chain([[(p["x"], p["y"]) for p in line] for line in pdf["line"]])
-        return pd.DataFrame({key: [pdf[key].iloc[0]] * len(parts), "part": range(len(parts)), "line": [[{"x": x, "y": y} for x, y in p] for p in parts]})
+        found = chains([[(p["x"], p["y"]) for p in line] for line in pdf["line"]])
+        first = pdf.iloc[[k for k, _ in found]]
+        return pd.DataFrame({key: first[key].to_numpy(), "ord": first["ord"].to_numpy(), "line": [[{"x": x, "y": y} for x, y in line] for _, line in found]})
 
-    return ways.select(key, "ord", "line").groupBy(key).applyInPandas(one, f"{key} {kind}, part int, line array<struct<x:double,y:double>>")
+    w = w.join(parts, "a").drop("a", "b").groupBy("component").applyInPandas(one, f"{key} {kind}, ord {order}, line array<struct<x:double,y:double>>")
+    place = F.row_number().over(Window.partitionBy(key).orderBy("ord", F.col("line"))) - 1
+    return w.select(key, place.cast("int").alias("part"), "line")
 
 
 def bridge_gaps(lines: list[np.ndarray], least_m: float = 1.0, most_m: float = 1500.0, facing: float = -0.95, ahead: float = 0.9) -> list[np.ndarray]:

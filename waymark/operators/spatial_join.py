@@ -39,6 +39,18 @@ def reach(metres: float, lat: Column) -> tuple[Column, Column]:
     return F.when(far < 89, F.lit(dy) / F.cos(F.radians(far))).otherwise(F.lit(360.0)), F.lit(dy)
 
 
+def segment_cells(df: DataFrame, degrees: float, pad_x: Column, pad_y: Column) -> DataFrame:
+    """A row for each cell that comes within the pads of a segment (ax, ay, bx, by): column by column of cells, the rows that
+    the part of the segment near that column reaches. A long segment gets cells by its length, not by its box."""
+    at = lambda v: F.floor(v / degrees).cast("long")
+    df = df.withColumn("cell_x", F.explode(F.sequence(at(F.least("ax", "bx") - pad_x), at(F.greatest("ax", "bx") + pad_x))))
+    dx = F.nullif(F.col("bx") - F.col("ax"), F.lit(0.0))
+    where = lambda x, whole: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce((x - F.col("ax")) / dx, F.lit(whole))))
+    y = lambda t: F.col("ay") + t * (F.col("by") - F.col("ay"))
+    y1, y2 = y(where(F.col("cell_x") * degrees - pad_x, 0.0)), y(where((F.col("cell_x") + 1) * degrees + pad_x, 1.0))
+    return df.withColumn("cell_y", F.explode(F.sequence(at(F.least(y1, y2) - pad_y), at(F.greatest(y1, y2) + pad_y))))
+
+
 def within_distance(left: DataFrame, right: DataFrame, metres: float, left_at: tuple[str, str] = ("lon", "lat"), right_at: tuple[str, str] = ("r_lon", "r_lat")) -> DataFrame:
     """All pairs at most ``metres`` apart (great circle), with their distance ``m``. Column names must not clash.
 
@@ -130,23 +142,34 @@ def segments(lines: DataFrame, key: list[str], line: str = "line") -> DataFrame:
 def points_along_lines(points: DataFrame, lines: DataFrame, metres: float, point_key: str, line_key: str, degrees: float = 0.02) -> DataFrame:
     """Points at most ``metres`` from a line: (line, point, m, seg, t), by nearest segment; ``place`` numbers them along it.
 
-    Segments go to the cells that their padded boxes touch, so a long segment meets only points near its box.
+    Segments go to the cells that they pass within reach, so a long segment meets only points along it.
     """
     s = segments(lines, [line_key])
-    pad_y = F.lit(metres / DEGREE_M * 1.01)
-    pad_x = pad_y / F.cos(F.radians(F.greatest(F.abs("ay"), F.abs("by"))))
-    s = s.withColumn("box", geo.bbox(F.least("ax", "bx") - pad_x, F.least("ay", "by") - pad_y, F.greatest("ax", "bx") + pad_x, F.greatest("ay", "by") + pad_y))
-    both = cells(points, "lon", "lat", degrees).join(box_cells(s, F.col("box"), degrees), ["cell_x", "cell_y"]).filter(geo.box_has_point(F.col("box"), "lon", "lat"))
-    both = both.withColumn("m", geo.point_segment_haversine_m("lon", "lat", "ax", "ay", "bx", "by"))
-    k = F.cos(F.radians("lat"))
+    tiles = segment_cells(s, degrees, *reach(metres, F.greatest(F.abs("ay"), F.abs("by"))))
+    k = F.col("__k")
+    both = cells(points.select(point_key, "lon", "lat", F.cos(F.radians("lat")).alias("__k")), "lon", "lat", degrees).join(tiles, ["cell_x", "cell_y"])
     both = both.withColumn("t", geo.segment_fraction(F.col("lon") * k, F.col("lat"), F.col("ax") * k, F.col("ay"), F.col("bx") * k, F.col("by")))
-    near = both.filter(F.col("m") <= metres).groupBy(line_key, point_key).agg(F.min(F.struct("m", "seg", "t")).alias("x")).select(line_key, point_key, "x.*")
+    at_x, at_y = (F.col("a" + v) + F.col("t") * (F.col("b" + v) - F.col("a" + v)) for v in "xy")
+    dx, dy = reach(metres, F.abs("lat"))
+    both = both.filter((F.abs(at_y - F.col("lat")) <= dy) & (F.abs(at_x - F.col("lon")) <= dx))  # costs less than a distance
+    both = both.withColumn("m", geo.point_segment_haversine_m("lon", "lat", "ax", "ay", "bx", "by")).filter(F.col("m") <= metres)
+    near = both.groupBy(line_key, point_key).agg(F.min(F.struct("m", "seg", "t")).alias("x")).select(line_key, point_key, "x.*")
     return near.withColumn("place", F.row_number().over(Window.partitionBy(line_key).orderBy("seg", "t", point_key)))
 
 
 def overlapping_boxes(boxes: DataFrame, key: str, degrees: float) -> DataFrame:
-    """Pairs (a, b), a < b, whose boxes overlap or touch."""
+    """Pairs (a, b), a < b, whose boxes overlap or touch. Boxes meet in several cells; the cell of the overlap's lower left
+    corner gives the pair."""
     t = box_cells(boxes.select(key, "box"), F.col("box"), degrees)
     other = t.select(F.col(key).alias("b"), F.col("box").alias("box_b"), "cell_x", "cell_y")
     both = t.withColumnRenamed(key, "a").join(other, ["cell_x", "cell_y"]).filter(F.col("a") < F.col("b"))
-    return both.filter(geo.boxes_meet(F.col("box"), F.col("box_b"))).select("a", "b").distinct()
+    corner = lambda side: F.floor(F.greatest(F.col("box")[side], F.col("box_b")[side]) / degrees)
+    return both.filter(geo.boxes_meet(F.col("box"), F.col("box_b")) & (corner("w") == F.col("cell_x")) & (corner("s") == F.col("cell_y"))).select("a", "b")
+
+
+def overlap_links(boxes: DataFrame, key: str, degrees: float) -> DataFrame:
+    """Pairs (a, b) with the same connected components as all overlaps: equal boxes link to the smallest key among them, which
+    alone meets other boxes."""
+    firsts = boxes.groupBy("box").agg(F.min(key).alias("a"))
+    equal = boxes.join(firsts, "box").filter(F.col(key) != F.col("a")).select("a", F.col(key).alias("b"))
+    return equal.unionByName(overlapping_boxes(firsts.withColumnRenamed("a", key), key, degrees))

@@ -235,7 +235,7 @@ SELECT node AS station, min(seen) AS component FROM r GROUP BY node""")
 def zone_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stations whose zones' boxes overlap, directly or through others."""
     s = stations(spark, sf_dir).withColumn("box", geo.bbox(F.col("lon") - 0.02, F.col("lat") - 0.02, F.col("lon") + 0.02, F.col("lat") + 0.02))
-    edges = spatial_join.overlapping_boxes(s, "station", 0.05)
+    edges = spatial_join.overlap_links(s.select("station", "box"), "station", 0.05)
     return connected_components(s.select(F.col("station").alias("node")), edges).select(F.col("node").alias("station"), "component")
 
 

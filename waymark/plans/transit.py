@@ -159,7 +159,8 @@ def pois_along_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points within 2.5 km of a line, with where along it they lie."""
     s = stations(spark, sf_dir).withColumn("k", F.col("station") + 1).select(F.col("station").alias("line_id"), F.col("lon").alias("ax"), F.col("lat").alias("ay"), "k")
     s = placed(s, "k", "bx", "by").withColumn("line", F.array(F.struct(F.col("ax").alias("x"), F.col("ay").alias("y")), F.struct(F.col("bx").alias("x"), F.col("by").alias("y"))))
-    out = spatial_join.points_along_lines(pois(spark, sf_dir), s.select("line_id", "line"), 2500.0, "poi", "line_id", 0.05)
+    p = pois(spark, sf_dir).select("poi", "lon", "lat").repartition(spark.sparkContext.defaultParallelism)  # each row meets many lines
+    out = spatial_join.points_along_lines(p, s.select("line_id", "line"), 2500.0, "poi", "line_id")
     return out.select(F.col("line_id").alias("line"), "poi", F.round("m", 2).alias("m"), F.round("t", 6).alias("t"))
 
 
