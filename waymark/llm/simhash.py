@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from waymark.llm.common import measured, stage, utf8
 from waymark.llm.exact_dedup import keep_rows, number_rows
+from waymark.operators.graph import contracted
 
 BITS = 64
 #: Node pairs that a walk holds at a time; the rest waits on a stack.
@@ -282,12 +283,13 @@ def links(distinct: DataFrame, budget: int = 3) -> DataFrame:
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of the edges (a, b): root is the smallest node reachable.
 
-    Large and small stars in turn: each node's neighbours above it move to its smallest neighbour, until nothing moves.
-    Rounds grow with the logarithm of the longest chain. Groups are aggregated and joined, never collected. If
+    Batches of edges become the stars of their own components first. Then large and small stars in turn: each node's
+    neighbours above it move to its smallest neighbour, until nothing moves. Rounds grow with the logarithm of the longest chain. Groups are aggregated and joined, never collected. If
     ``max_rounds`` don't settle the stars, an error is raised; no result is cut short.
     """
-    e = stage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "star")
-    mark = None
+    e = stage(contracted(edges).select(F.col("b").alias("u"), F.col("a").alias("v")).distinct(), "star")
+    state = lambda e: e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    mark = state(e)
     for _ in range(max_rounds):
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -296,7 +298,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*")
         e = stage(small.filter("u <> v").distinct(), "star")
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        now = state(e)
         if now == mark:
             break
         mark = now
