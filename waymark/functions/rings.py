@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from waymark.functions.geo import AREA_M, DEGREE_M, _haversine, EARTH_M, c
+from waymark.functions.geo import AREA_M, DEGREE_M, _haversine, EARTH_M, c, segment_crossing
 
 
 def _pairs(line: Column, f) -> Column:
@@ -160,6 +160,22 @@ def members_in_box(multi: Column, box: Column) -> Column:
     return F.filter(multi, meets)
 
 
+def crossings(ax, ay, bx, by, multi: Column) -> Column:
+    """Where along a-b (0 to 1) it crosses the rings' edges, in no order; null for edges that it doesn't cross."""
+
+    def edges(r: Column) -> Column:
+        steps = F.when(F.size(r) > 1, F.sequence(F.lit(0), F.size(r) - 2)).otherwise(F.array().cast("array<int>"))
+        return F.transform(steps, lambda i: segment_crossing(c(ax), c(ay), c(bx), c(by), F.get(r, i)["x"], F.get(r, i)["y"], F.get(r, i + 1)["x"], F.get(r, i + 1)["y"]))
+
+    return F.flatten(F.transform(F.flatten(multi), edges))
+
+
+def drop_tiny(multi: Column, least_m2: float) -> Column:
+    """kept (polygons of ``least_m2`` or more) and dropped (how many went)."""
+    kept = F.filter(multi, lambda p: polygon_area_m2(p) >= least_m2)
+    return F.struct(kept.alias("kept"), (F.size(multi) - F.size(kept)).alias("dropped"))
+
+
 # --- codecs on integer grids
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymark.functions import geo
+from waymark.functions import geo, rings
+from waymark.operators.spatial_join import within_distance
 
 
 def first_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
@@ -147,3 +148,47 @@ def inside_runs(points: DataFrame, key: str, inside: Column, least: int = 2) ->
     p = points.withColumn("ok", inside).withColumn("out", F.sum((~F.col("ok")).cast("int")).over(w)).filter("ok")
     runs = p.groupBy(key, "out").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "x", "y"))), lambda v: F.struct(v["x"].alias("x"), v["y"].alias("y"))).alias("line"), F.min("seq").alias("run"))
     return runs.filter(F.size("line") >= least).select(key, "run", "line")
+
+
+#: Metres added to a candidate's distance by its kind; a kind not listed counts as other.
+KIND_PENALTY_M = {"station": 0.0, "halt": 25.0}
+OTHER_PENALTY_M = 50.0
+
+
+def resolve_stops(stops: DataFrame, stations: DataFrame, reach_m: float) -> DataFrame:
+    """Stops with the station each stands for, and how it was found: by id, by place or by name; null if by none.
+
+    stops: stop (unique), ref, name_key, lon, lat. stations: station, name_key, kind, r_lon, r_lat. A place takes the nearest
+    station within ``reach_m``, the kind's penalty added to the distance; a name takes the smallest station of that name.
+    """
+    by_id = stops.select("stop", F.col("ref").alias("station")).join(stations.select("station").distinct(), "station", "left_semi").select("stop", F.col("station").alias("by_id"))
+    rest = stops.join(by_id, "stop", "left_anti")
+    near = within_distance(rest.filter(geo.c("lon").isNotNull() & geo.c("lat").isNotNull()).select("stop", "lon", "lat"), stations.select("station", "kind", "r_lon", "r_lat"), reach_m)
+    penalty = F.coalesce(*(F.when(F.col("kind") == k, v) for k, v in KIND_PENALTY_M.items()), F.lit(OTHER_PENALTY_M))
+    near = near.groupBy("stop").agg(F.min_by("station", F.struct(F.round(F.col("m") + penalty, 6), F.col("station"))).alias("by_place"))
+    named = stations.filter("name_key IS NOT NULL").groupBy("name_key").agg(F.min("station").alias("by_name"))
+    out = stops.join(by_id, "stop", "left").join(near, "stop", "left").join(named, "name_key", "left")
+    how = F.when(F.col("by_id").isNotNull(), "id").when(F.col("by_place").isNotNull(), "place").when(F.col("by_name").isNotNull(), "name")
+    return out.select(*stops.columns, F.coalesce("by_id", "by_place", "by_name").alias("station"), how.alias("how"))
+
+
+def outside_runs(points: DataFrame, key: str, area: str) -> DataFrame:
+    """(key, run, line): the parts of lines outside their area, cut where they cross its edge. points: (key, seq, x, y, area).
+
+    A part ends at the first crossing of the segment that leads inside and begins at the last one of the segment that leads
+    out. A segment between two vertices outside stays whole. ``run`` is the seq of the part's first vertex or of the one
+    before its cut.
+    """
+    w = Window.partitionBy(key).orderBy("seq")
+    p = points.withColumn("in", rings.point_in_multipolygon("x", "y", F.col(area)))
+    p = p.withColumn("in2", F.lead("in").over(w)).withColumn("x2", F.lead("x").over(w)).withColumn("y2", F.lead("y").over(w))
+    p = p.withColumn("part", F.sum(F.col("in").cast("int")).over(w))
+    p = p.withColumn("ts", F.when(F.col("in") != F.col("in2"), rings.crossings("x", "y", "x2", "y2", F.col(area))))
+    p = p.withColumn("t", F.when(F.col("in"), F.array_max("ts")).otherwise(F.array_min("ts")))
+    at = lambda n, x, y: F.struct(F.col("seq"), F.lit(n).alias("n"), x.alias("x"), y.alias("y"))
+    cut = at(1, F.col("x") + F.col("t") * (F.col("x2") - F.col("x")), F.col("y") + F.col("t") * (F.col("y2") - F.col("y")))
+    both = F.array(F.when(~F.col("in"), at(0, F.col("x"), F.col("y"))), F.when(F.col("t").isNotNull(), cut))
+    v = p.select(key, "part", F.explode(F.filter(both, lambda x: x.isNotNull())).alias("v"))
+    runs = v.groupBy(key, "part").agg(F.array_sort(F.collect_list("v")).alias("all"))
+    line = F.transform("all", lambda v: F.struct(v["x"].alias("x"), v["y"].alias("y")))
+    return runs.filter(F.size("all") >= 2).select(key, F.get("all", F.lit(0))["seq"].alias("run"), line.alias("line"))
