@@ -138,7 +138,7 @@ def point_in_ring(x, y, ring: Column) -> Column:
 def point_in_polygon(x, y, polygon: Column) -> Column:
     """In the outer ring and in no hole."""
     inside = F.transform(polygon, lambda r: point_in_ring(x, y, r))
-    return F.coalesce(F.get(inside, F.lit(0)), F.lit(False)) & ~F.exists(F.slice(inside, 2, 1000000), lambda v: v)
+    return F.coalesce(F.get(inside, F.lit(0)), F.lit(False)) & ~F.exists(F.slice(inside, 2, F.size(inside)), lambda v: v)
 
 
 def point_in_multipolygon(x, y, multi: Column) -> Column:
@@ -213,14 +213,14 @@ def compact_line(line: Column, scale: float = 1e6) -> Column:
     """[x0, y0, number of points, dx, dy, ...] on a finer grid; an empty array for an empty line."""
     q = lambda v: F.floor(v * scale + 0.5).cast("long")
     first = F.get(line, F.lit(0))
-    rest = F.transform(F.slice(line, 2, 10000000), lambda p, i: F.array(q(p["x"]) - q(F.get(line, i)["x"]), q(p["y"]) - q(F.get(line, i)["y"])))
+    rest = F.transform(F.slice(line, 2, F.size(line)), lambda p, i: F.array(q(p["x"]) - q(F.get(line, i)["x"]), q(p["y"]) - q(F.get(line, i)["y"])))
     head = F.array(q(first["x"]), q(first["y"]), F.size(line).cast("long"))
     return F.when(F.size(line) > 0, F.concat(head, F.flatten(rest))).otherwise(F.array().cast("array<long>"))
 
 
 def expand_line(compact: Column, scale: float = 1e6) -> Column:
     """The points of a compact line."""
-    deltas = F.concat(F.slice(compact, 1, 2), F.slice(compact, 4, 10000000))
+    deltas = F.concat(F.slice(compact, 1, 2), F.slice(compact, 4, F.size(compact)))
     return F.when(F.size(compact) > 2, delta_points(deltas, scale)).otherwise(F.array().cast("array<struct<x:double,y:double>>"))
 
 

@@ -52,7 +52,7 @@ SELECT k, w <= 139.7 AND e >= 139.3 AND s <= 35.7 AND n >= 35.3 AS meets, lon BE
   139.3 <= w AND 35.3 <= s AND 139.7 >= e AND 35.7 >= n AS inside, far <= 40000 AS covered, round(CASE WHEN (e - w) * (n - s) > 0 THEN common / ((e - w) * (n - s)) ELSE 0 END, 6) AS ratio,
   round((w + e) / 2, 6) AS mid_x, round(sqrt(pow((e - w) * 111320 * cos(radians((s + n) / 2)), 2) + pow((n - s) * 111320, 2)), 2) AS diagonal,
   round(greatest(abs(w - 139.3), abs(e - 139.7), abs(s - 35.3), abs(n - 35.7)), 6) AS moved, round(w - 0.25, 6) AS padded_w,
-  round(w - 5000 / (111320 * cos(radians((s + n) / 2))), 8) AS window_w, {hav('lon', 'lat', '139.5', '35.5')} + 2000 <= 30000 AS circle_in, 'metric' AS units,
+  round(w - 5000 / (111320 * cos(radians((s + n) / 2))), 8) AS window_w, {hav('lon', 'lat', '139.5', '35.5')} + 2000 <= 30000 AS circle_in, CASE WHEN k % 2 = 1 THEN 'imperial' ELSE 'metric' END AS units,
   {' OR '.join(f'(w <= {e} AND e >= {w} AND s <= {n} AND n >= {s})' for w, s, e, n in geo.JAPAN)} AS japan
 FROM c""")
 def box_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +63,7 @@ def box_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("poi").alias("k"), geo.boxes_meet(b, area).alias("meets"), geo.box_has_point(area, "lon", "lat").alias("has_point"), geo.box_has_box(area, b).alias("inside"),
         geo.circle_covers_box(139.5, 35.5, 40000.0, b).alias("covered"), _r(geo.overlap_ratio(area, b), 6, "ratio"), _r(geo.box_centre(b)[0], 6, "mid_x"), _r(geo.box_diagonal_m(b), 2, "diagonal"),
         _r(geo.box_delta(b, area), 6, "moved"), _r(geo.pad_box(b, 0.25)["w"], 6, "padded_w"), _r(geo.window_box(b, 5000.0)["w"], 8, "window_w"),
-        geo.circle_covers_circle(139.5, 35.5, 30000.0, "lon", "lat", 2000.0).alias("circle_in"), geo.default_units("lon", "lat").alias("units"), geo.meets_any_box(b, geo.JAPAN).alias("japan"),
+        geo.circle_covers_circle(139.5, 35.5, 30000.0, "lon", "lat", 2000.0).alias("circle_in"), geo.default_units(F.when(F.col("poi") % 2 == 1, F.col("lon") - 236).otherwise(F.col("lon")), F.col("lat") + 5).alias("units"), geo.meets_any_box(b, geo.JAPAN).alias("japan"),
     )
 
 
@@ -119,17 +119,19 @@ p AS (SELECT *, lead(x) OVER o AS x2, lead(y) OVER o AS y2 FROM r WINDOW o AS (P
 @query(f"""{RING_SQL}
 SELECT station, count(*)::INT AS points, round(sum((x * y2 - x2 * y) / 2), 8) AS planar, round(abs(sum(radians(x2 - x) * (2 + sin(radians(y)) + sin(radians(y2))))) * 6378137.0 * 6378137.0 / 2, 1) AS m2,
   round(abs(sum((x * y2 - x2 * y) / 2)) * 111320.0 * 111320.0 * cos(radians(avg(y))), 0) AS flat_m2, round(sum({hav('x', 'y', 'x2', 'y2')}), 3) AS perimeter,
-  round(min(x), 7) AS w, round(max(y), 7) AS n, true AS holds_centre, false AS holds_other, true AS closed
+  round(min(x), 7) AS w, round(max(y), 7) AS n, station % 3 <> 0 AS holds_centre, 0.001 * (station % 12) * 111195 * cos(radians(any_value(clat))) < 600 AS holds_other, station % 5 <> 0 AS closed
 FROM p GROUP BY station""")
 def station_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stations' 12-cornered discs, measured."""
+    """Stations' 12-cornered discs, measured; a third have a hole at their centre, a fifth are tested unclosed."""
     s = stations(spark, sf_dir).withColumn("ring", geo.circle_ring("lon", "lat", 600.0, 12))
-    s = s.withColumn("multi", F.array(F.array("ring"))).withColumn("box", rings.bounds(F.col("ring"))).withColumn("ok", rings.sanity(F.col("multi")))
+    s = s.withColumn("multi", F.array(F.array("ring"))).withColumn("box", rings.bounds(F.col("ring"))).withColumn("hole", geo.circle_ring("lon", "lat", 100.0, 12))
+    s = s.withColumn("holed", F.array(F.when(F.col("station") % 3 == 0, F.array("ring", "hole")).otherwise(F.array("ring"))))
+    s = s.withColumn("cut", F.array(F.array(F.when(F.col("station") % 5 == 0, F.slice("ring", 1, 12)).otherwise(F.col("ring"))))).withColumn("ok", rings.sanity(F.col("cut")))
     ring, multi = F.col("ring"), F.col("multi")
     return s.select(
-        "station", F.col("ok.points").alias("points"), _r(rings.planar_area(ring), 8, "planar"), _r(rings.multipolygon_area_m2(multi), 1, "m2"), _r(rings.equirect_area_m2(ring), 0, "flat_m2"),
-        _r(rings.length_m(ring), 3, "perimeter"), _r(F.col("box.w"), 7, "w"), _r(F.col("box.n"), 7, "n"), rings.point_in_multipolygon("lon", "lat", multi).alias("holds_centre"),
-        rings.point_in_geometry(F.col("lon") + 0.01, F.col("lat"), F.lit("Polygon"), multi).alias("holds_other"), (F.col("ok.unclosed") == 0).alias("closed"),
+        "station", rings.count_points(multi).alias("points"), _r(rings.planar_area(ring), 8, "planar"), _r(rings.multipolygon_area_m2(multi), 1, "m2"), _r(rings.equirect_area_m2(ring), 0, "flat_m2"),
+        _r(rings.length_m(ring), 3, "perimeter"), _r(F.col("box.w"), 7, "w"), _r(F.col("box.n"), 7, "n"), rings.point_in_multipolygon("lon", "lat", F.col("holed")).alias("holds_centre"),
+        rings.point_in_geometry(F.col("lon") + 0.001 * (F.col("station") % 12), F.col("lat"), F.lit("Polygon"), multi).alias("holds_other"), (F.col("ok.unclosed") == 0).alias("closed"),
     )
 
 

@@ -373,25 +373,29 @@ def stored_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT s_suppkey AS k, 'gtfs:ns:route:' || s_suppkey AS route, 'osm:relation:' || (s_suppkey + 1) AS osm, 'node/' || s_suppkey AS osm_key, true AS ok_route, s_suppkey % 2 = 0 AND s_suppkey > 0 AS ok_station, CASE WHEN s_suppkey % 2 = 0 AND s_suppkey > 0 THEN s_suppkey END AS relation,
-  '#' || lpad(s_suppkey::VARCHAR, 6, '0') AS colour, s_name || ' (' || length(s_name) || ')' AS shown, CASE WHEN s_suppkey = 1 THEN '1 station' ELSE s_suppkey || ' stations' END AS counted, 12 AS leading FROM supplier""")
+SELECT s_suppkey AS k, 'gtfs:ns:route:' || s_suppkey AS route, 'osm:relation:' || (s_suppkey + 1) AS osm, 'node/' || s_suppkey AS osm_key, s_suppkey % 3 <> 0 AS ok_route, s_suppkey % 2 = 0 AND s_suppkey > 0 AS ok_station, CASE WHEN s_suppkey % 2 = 0 AND s_suppkey > 0 THEN s_suppkey END AS relation,
+  '#' || lpad(s_suppkey::VARCHAR, 6, '0') AS colour, s_name || ' (' || length(s_name) || ')' AS shown, CASE WHEN s_suppkey = 1 THEN '1 station' ELSE s_suppkey || ' stations' END AS counted, CASE WHEN s_suppkey % 4 <> 0 THEN (s_suppkey % 90)::INT END AS leading FROM supplier""")
 def identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey")
     s = table(spark, sf_dir, "supplier")
     even = k % 2 == 0
     return s.select(
         k.alias("k"), tx.gtfs_id("route", F.lit("ns"), k.cast("string")).alias("route"), tx.osm_id(F.lit("relation"), k + 1).alias("osm"), tx.osm_key(F.lit("node"), k).alias("osm_key"),
-        tx.is_route_id(tx.gtfs_id("route", F.lit("ns"), k.cast("string"))).alias("ok_route"), tx.is_station_id(F.concat(F.lit("osm:node:"), F.when(even, k).otherwise(0))).alias("ok_station"),
+        tx.is_route_id(F.when(k % 3 == 0, tx.gtfs_id("stop", F.lit("ns"), k.cast("string"))).otherwise(tx.gtfs_id("route", F.lit("ns"), k.cast("string")))).alias("ok_route"), tx.is_station_id(F.concat(F.lit("osm:node:"), F.when(even, k).otherwise(0))).alias("ok_station"),
         tx.relation_id(F.concat(F.when(even, "").otherwise("r"), k.cast("string"))).alias("relation"), tx.normalise_colour(F.lpad(k.cast("string"), 6, "0")).alias("colour"),
-        tx.candidate_name(F.col("s_name"), F.length("s_name"), F.lit(None).cast("string")).alias("shown"), tx.plural(k, "station").alias("counted"), tx.leading_int(F.lit(" 12 km/h")).cast("int").alias("leading"),
+        tx.candidate_name(F.col("s_name"), F.length("s_name"), F.lit(None).cast("string")).alias("shown"), tx.plural(k, "station").alias("counted"), tx.leading_int(F.concat(F.when(k % 4 == 0, "v").otherwise(" "), k % 90, F.lit(" km/h"))).cast("int").alias("leading"),
     )
 
 
 @query("""
-SELECT doc_id, n_chars > 0 AS has_text, lower(strip_accents(lang)) AS key, true AS same FROM documents""")
+WITH d AS (SELECT *, CASE doc_id % 5 WHEN 0 THEN 'inflate-failed' WHEN 1 THEN 'invalid-base64url' WHEN 2 THEN 'unsupported-version' ELSE 'ok' END AS status FROM documents)
+SELECT doc_id, n_chars > 0 AS has_text, lower(strip_accents(lang)) AS key, status,
+  CASE WHEN status = 'ok' THEN '{' || coalesce('"lang":"' || lang || '",', '') || coalesce('"n_chars":' || n_chars || ',', '') || coalesce('"source":"' || source || '",', '') || '"v":1}' END AS payload FROM d""")
 def share_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents' metadata through the share codec: canonical JSON, deflate, base64url, and back."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars", "lang", F.to_json(F.struct(F.col("source"), F.lit(1).alias("v"), F.col("lang"), F.col("n_chars"))).alias("json"))
-    d = d.withColumn("link", F.concat(F.lit("https://example.org/?d="), tx.encode_envelope(F.col("json"))))
-    d = d.withColumn("back", tx.decode_envelope(tx.link_payload(F.col("link")))).withColumn("same", (F.col("back.status") == "ok") & (F.col("back.payload") == tx.canonical_json(F.col("json"))))
-    return d.select("doc_id", (F.col("n_chars") > 0).alias("has_text"), tx.search_key(F.col("lang")).alias("key"), "same")
+    """Documents' metadata through the share codec: canonical JSON, deflate, base64url, and back; some links are cut, lack
+    their payload or are of another version."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "n_chars", "lang", F.to_json(F.struct(F.col("source"), F.when(F.col("doc_id") % 5 == 2, 2).otherwise(1).alias("v"), F.col("lang"), F.col("n_chars"))).alias("json"))
+    d = d.withColumn("code", tx.encode_envelope(F.col("json")))
+    sent = F.when(F.col("doc_id") % 5 == 0, F.expr("substr(code, 1, length(code) - 4)")).when(F.col("doc_id") % 5 == 1, "").otherwise(F.col("code"))
+    d = d.withColumn("back", tx.decode_envelope(tx.link_payload(F.concat(F.lit("https://example.org/?d="), sent))))
+    return d.select("doc_id", (F.col("n_chars") > 0).alias("has_text"), tx.search_key(F.col("lang")).alias("key"), F.col("back.status").alias("status"), F.col("back.payload").alias("payload"))
