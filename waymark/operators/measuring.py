@@ -71,6 +71,35 @@ def continuity(lines: DataFrame, ends_m: float = 25.0, least_m: float = 1000.0)
     return parts.agg(F.countDistinct("component").alias("components"), F.count(F.lit(1)).alias("lines"))
 
 
+def interior_holes(lines: DataFrame, box: Column, least_m: float = 1000.0, hole_m: tuple[float, float] = (40.0, 2500.0), edge_deg: float = 0.02) -> DataFrame:
+    """(a, b, x, y, gap): ends of two long lines that face each other across a gap, away from the box's edges; a < b.
+
+    The ends' tangents, each into its own line, are nearly opposite, and the gap opens in front of a's end. Ends meet by cell
+    within the widest gap. lines: (line_id, line).
+    """
+    line = F.col("line")
+    long_ = lines.filter((F.size(line) >= 2) & (rings.length_m(line) >= least_m))
+    end = lambda k, j: F.struct(F.element_at(line, k).alias("p"), F.element_at(line, j).alias("q"))
+    ends = long_.select("line_id", F.explode(F.array(end(1, 2), end(-1, -2))).alias("v")).select("line_id", F.col("v.p.x").alias("lon"), F.col("v.p.y").alias("lat"), (F.col("v.q.x") - F.col("v.p.x")).alias("dx"), (F.col("v.q.y") - F.col("v.p.y")).alias("dy"))
+    n = F.nullif(F.hypot("dx", "dy"), F.lit(0.0))
+    ends = ends.withColumn("tx", F.coalesce(F.col("dx") / n, F.lit(0.0))).withColumn("ty", F.coalesce(F.col("dy") / n, F.lit(0.0)))
+    off = (F.col("lon") - box["w"] >= edge_deg) & (box["e"] - F.col("lon") >= edge_deg) & (F.col("lat") - box["s"] >= edge_deg) & (box["n"] - F.col("lat") >= edge_deg)
+    ends = ends.filter(off)
+    left = ends.select(F.col("line_id").alias("a"), "lon", "lat", F.col("tx").alias("ax"), F.col("ty").alias("ay"))
+    right = ends.select(F.col("line_id").alias("b"), F.col("lon").alias("r_lon"), F.col("lat").alias("r_lat"), F.col("tx").alias("bx"), F.col("ty").alias("by"))
+    near = within_distance(left, right, hole_m[1]).filter((F.col("a") < F.col("b")) & (F.col("m") >= hole_m[0]))
+    vx, vy = geo.local_unit("lon", "lat", "r_lon", "r_lat")
+    facing = (geo.cosine_2d("ax", "ay", "bx", "by") <= -0.9) & (-(vx * F.col("ax") + vy * F.col("ay")) >= 0.9)
+    return near.filter(facing).select("a", "b", F.col("lon").alias("x"), F.col("lat").alias("y"), F.floor(F.col("m") + 0.5).cast("long").alias("gap"))
+
+
+def line_quality(lines: DataFrame, box: Column, most_components: int = 40, most_holes: int = 8) -> DataFrame:
+    """One row (components, lines, holes, ok): whether stitched lines hang together."""
+    holes = interior_holes(lines, box).agg(F.count(F.lit(1)).alias("holes"))
+    both = continuity(lines).join(F.broadcast(holes), F.lit(True))  # one row each
+    return both.withColumn("ok", (F.col("components") <= most_components) & (F.col("holes") <= most_holes))
+
+
 def resolve_source(request: DataFrame, *tables: DataFrame, key: str = "relation_id") -> DataFrame:
     """Each requested key with the first table that has it: bundled, cached, stored, pack, captured, in the given order."""
     every = None

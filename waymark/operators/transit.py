@@ -142,6 +142,24 @@ def station_dots(stations: DataFrame, fallback: str) -> DataFrame:
     return stations.withColumn("rings", F.size(colours)).select("station", "rings", F.posexplode(colours).alias("ring", "colour"))
 
 
+def station_wedges(stations: DataFrame, fallback: str, radius_deg: float = 0.00035) -> DataFrame:
+    """(station, wedge, wedges, colour, ring): a disc cut into a sector a colour, from north clockwise. stations: (station, lon, lat, colours).
+
+    An arc has a point every 22.5 degrees, 4 steps at least and 12 at most; the radius is in degrees of latitude.
+    """
+    dots = station_dots(stations, fallback).withColumnRenamed("ring", "wedge").withColumnRenamed("rings", "wedges").join(stations.select("station", "lon", "lat"), "station")
+    angle = F.lit(360.0) / F.col("wedges")
+    dots = dots.withColumn("angle", angle).withColumn("steps", F.greatest(F.lit(4), F.least(F.lit(12), F.ceil(angle / 22.5).cast("int"))))
+
+    def point(k: Column) -> Column:
+        at = F.radians((F.col("wedge") + k / F.col("steps")) * F.col("angle"))
+        return F.struct((F.col("lon") + radius_deg * F.sin(at) / F.cos(F.radians("lat"))).alias("x"), (F.col("lat") + radius_deg * F.cos(at)).alias("y"))
+
+    centre = F.array(F.struct(F.col("lon").alias("x"), F.col("lat").alias("y")))
+    ring = F.concat(centre, F.transform(F.sequence(F.lit(0), F.col("steps")), point), centre)
+    return dots.select("station", "wedge", "wedges", "colour", ring.alias("ring"))
+
+
 def inside_runs(points: DataFrame, key: str, inside: Column, least: int = 2) -> DataFrame:
     """(key, run, line): runs of consecutive vertices that lie inside, of ``least`` or more. points: (key, seq, x, y)."""
     w = Window.partitionBy(key).orderBy("seq")

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.functions import rings
+from waymark.functions import geo, rings
 from waymark.functions import text as tx
-from waymark.operators import state, transit
+from waymark.operators import measuring, state, transit
 from waymark.plans.registry import hav, pos, query
 from waymark.plans.spatial import STATIONS
 from waymark.plans.transit import TIMES, stop_times
@@ -188,3 +188,46 @@ def outside_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = transit.outside_runs(li.withColumn("area", F.array(F.array(ring))), "line_id", "area")
     first, last = F.get("line", F.lit(0)), F.element_at("line", -1)
     return out.select(F.col("line_id").alias("line"), F.col("run").cast("int").alias("run"), F.size("line").alias("points"), *(F.round(p[a], 6).alias(f"{n}_{a}") for n, p in (("from", first), ("to", last)) for a in "xy"))
+
+
+@query(f"""
+WITH s AS ({STATIONS}), w AS (SELECT *, CASE WHEN station % 4 = 0 THEN 1 ELSE station % 4 END AS wedges FROM s), n AS (SELECT *, unnest(range(0, wedges)) AS wedge, greatest(4, least(12, ceil(360.0 / wedges / 22.5)))::INT AS steps FROM w)
+SELECT station, wedge::INT AS wedge, CASE WHEN station % 4 = 0 THEN '#999999' ELSE '#00000' || wedge END AS colour, steps + 3 AS points, round(-0.5 * steps * 0.01 * 0.01 * sin(radians(360.0::DOUBLE / wedges / steps)) / cos(radians(lat)), 10) AS area FROM n""")
+def station_wedges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stations' discs cut into a sector a colour."""
+    n = (F.col("station") % 4).cast("int")
+    colours = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.concat(F.lit("#00000"), i)))
+    out = transit.station_wedges(stations(spark, sf_dir).withColumn("colours", colours), "#999999", 0.01).withColumn("at", F.get("ring", F.lit(0)))
+    out = out.withColumn("ring", F.transform("ring", lambda p: F.struct((p["x"] - F.col("at.x")).alias("x"), (p["y"] - F.col("at.y")).alias("y"))))
+    return out.select("station", "wedge", "colour", F.size("ring").alias("points"), F.round(rings.planar_area(F.col("ring")), 10).alias("area"))
+
+
+#: Lines in rows of ten, 1.8 km long with gaps of 0.9 km; some lie aside, some are short.
+ROWS = "SELECT s_suppkey AS k, 139.2::DOUBLE + s_suppkey % 10 * 0.03 AS x, 35.0::DOUBLE + (s_suppkey // 10 % 1000) * 0.05 + CASE WHEN s_suppkey % 7 = 0 THEN 0.012 ELSE 0 END AS y, CASE WHEN s_suppkey % 11 = 0 THEN 0.005 ELSE 0.02 END::DOUBLE AS size FROM supplier"
+
+
+def rows_of_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    x, y = F.lit(139.2) + k % 10 * 0.03, F.lit(35.0) + F.floor(k / 10) % 1000 * 0.05 + F.when(k % 7 == 0, 0.012).otherwise(0.0)
+    s = table(spark, sf_dir, "supplier").select(k.alias("line_id"), x.alias("x"), y.alias("y"), F.when(k % 11 == 0, 0.005).otherwise(0.02).alias("size"))
+    return s.select("line_id", F.array(F.struct("x", "y"), F.struct((F.col("x") + F.col("size")).alias("x"), "y")).alias("line"))
+
+
+HOLES = f"""WITH l AS ({ROWS}), e AS (SELECT k, x, y, 1 AS t FROM l WHERE {hav('x', 'y', '(x + size)', 'y')} >= 1000 UNION ALL SELECT k, x + size, y, -1 FROM l WHERE {hav('x', 'y', '(x + size)', 'y')} >= 1000),
+o AS (SELECT * FROM e WHERE x - 139.29 >= 0.02 AND 139.6 - x >= 0.02 AND y - 34.9 >= 0.02 AND 89 - y >= 0.02),
+d AS (SELECT a.k AS a, b.k AS b, a.x, a.y, a.t AS t, {hav('a.x', 'a.y', 'b.x', 'b.y')} AS m, (b.x - a.x) * cos(radians((a.y + b.y) / 2)) AS dx, b.y - a.y AS dy FROM o a JOIN o b ON a.k < b.k AND a.t = -b.t),
+h AS (SELECT a, b, x, y, floor(m + 0.5)::BIGINT AS gap FROM d WHERE m BETWEEN 40 AND 2500 AND -t * dx / sqrt(dx * dx + dy * dy) >= 0.9)"""
+
+
+@query(f"{HOLES} SELECT a, b, round(x, 6) AS x, round(y, 6) AS y, gap FROM h")
+def line_holes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gaps between lines that go on in the same direction."""
+    out = measuring.interior_holes(rows_of_lines(spark, sf_dir), geo.bbox(139.29, 34.9, 139.6, 89.0))
+    return out.select("a", "b", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), "gap")
+
+
+@query(f"""{HOLES}, c AS (SELECT count(DISTINCT k) AS lines FROM e), n AS (SELECT count(*) AS holes FROM h)
+SELECT lines AS components, lines, holes, lines <= 40 AND holes <= 8 AS ok FROM c, n""")
+def line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the lines hang together: here no two ends meet."""
+    return measuring.line_quality(rows_of_lines(spark, sf_dir), geo.bbox(139.29, 34.9, 139.6, 89.0))
