@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import chat_tree, decontaminate, exact_dedup, html_text, mixing, quality, secrets, simhash, toxicity
+from waymark.llm import chat_tree, decontaminate, exact_dedup, html_text, lexical, mixing, quality, secrets, simhash, spelling, token_files, toxicity
 from waymark.llm.common import table
 from waymark.llm.token_counts import count_tokens
 
@@ -64,8 +64,21 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.read_documents(token_files.write(table(spark, sf_dir, "documents"), tokenizer()))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "benchmark")
+    return lexical.search(lexical.build_index(table(spark, sf_dir, "documents"), items), items)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(spelling.word_counts(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_secret_scan, op3_exact_dedup, op4_html_extraction, op5_toxicity, op6_quality, op7_simhash, op8_chat_tree, op9_decontamination, op10_mixing)}
+    return {f.__name__: f for f in (op1_token_counts, op2_secret_scan, op3_exact_dedup, op4_html_extraction, op5_toxicity, op6_quality, op7_simhash, op8_chat_tree, op9_decontamination, op10_mixing, op11_token_files, op12_lexical_search, op13_spelling_variants)}
 
 
 OP3_SQL = r"""
@@ -145,5 +158,23 @@ FROM r
 """
 
 
+#: Scores as sums of whole numbers; ranks by score, then id.
+OP12_SQL = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents
+), q AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), a AS (SELECT count(*)::BIGINT AS nd, sum(len(ws))::BIGINT AS total FROM d WHERE len(ws) > 0),
+p AS (SELECT doc_id, r, len(ws)::BIGINT AS n, term, count(*)::BIGINT AS tf FROM (SELECT doc_id, r, ws, unnest(ws) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY doc_id, r, ws, term),
+f AS (SELECT term, count(*)::BIGINT AS df FROM p GROUP BY term),
+v AS (
+  SELECT p.doc_id, p.r, p.term, floor(1000 * ln((2 * nd + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * nd) // total))) AS value
+  FROM p JOIN f USING (term), a
+), s AS (SELECT item_id, doc_id, r, sum(value)::BIGINT AS score FROM q JOIN v USING (term) GROUP BY item_id, doc_id, r),
+k AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT * FROM k WHERE rank <= 20
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3_SQL, "op8_chat_tree": OP8_SQL, "op9_decontamination": OP9_SQL, "op10_mixing": OP10_SQL}
+    return {"op3_exact_dedup": OP3_SQL, "op8_chat_tree": OP8_SQL, "op9_decontamination": OP9_SQL, "op10_mixing": OP10_SQL, "op12_lexical_search": OP12_SQL}
