@@ -75,7 +75,7 @@ def vocabulary(seed, n, letters):
     return {w: rng.choice([3, 4, 6, 9, 20, 50, 200]) for w in words if len(w) >= 3}
 
 
-@pytest.mark.parametrize(("letters", "most", "least"), [("abcdefghijklmnopé", 1 << 14, 8), ("ab", 1 << 14, 4), ("abcde", 1 << 14, 1 << 30), ("abcdef", 16, 1)])
+@pytest.mark.parametrize(("letters", "most", "least"), [("abcdefghijklmnopé", 1 << 14, 8), ("ab", 1 << 14, 4), ("abcde", 1 << 14, 1 << 30), ("abcdef", 16, 1), ("abcdefghijklmnopqrstuvwxyz", 1 << 14, 3)])
 def test_forms_roots_and_counts(spark, letters, most, least):
     counts = vocabulary(len(letters), 250, letters)
     got = spelling.group_variants(spark.createDataFrame(list(counts.items()), "word string, n long"), 2, most, least)

@@ -9,8 +9,9 @@ Near words meet through an index of variable-length grams:
 3. for each place of an edit the grams that it can touch are counted: those across it, those to its left that a longer
    dictionary gram could replace, and those to its right that a gram begun before could swallow. With ``lost`` the largest
    such count, a word shares at least (its grams - lost) grams with any near word;
-4. lists are merged with that bound: of two near words each has one of its (lost + 1) rarest grams in the other's, so only
-   those enter the join; pairs sharing enough grams are then compared.
+4. lists are merged with that bound: with grams in order of rarity, two near words share, among each one's (lost + 2) rarest,
+   two grams at places that one edit explains, if both must share two at least; else one among the (lost + 1) rarest. So the lists
+   joined are those of pairs of rare grams with their places and the word's length, and words that meet are compared.
 
 Words of which every gram can be lost get no bound from the index; pairs of two such words meet by the word less one code
 point, which is exact as well.
@@ -22,7 +23,7 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from waymark.llm.common import stage, utf8
 
-SHORTEST, LONGEST_GRAM = 2, 4
+SHORTEST, LONGEST_GRAM = 2, 3
 #: Marks before and after a word; no word has them.
 BEGIN, END = "\x02", "\x03"
 _RUNS = re.compile("[A-Za-zÀ-ÿ]+")
@@ -69,22 +70,24 @@ def word_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return counts.groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= least_n)
 
 
-def gram_dictionary(words: DataFrame, most: int = 1 << 14, least: int = 64) -> list[str]:
-    """Frequent grams, of each length from SHORTEST + 1 to LONGEST_GRAM at most ``most``: those with ``least`` occurrences over the distinct words, and enough that no more than ``most`` can have as many."""
+def gram_dictionary(words: DataFrame, most: int = 1 << 14, least: int = 64) -> dict[str, int]:
+    """Grams with their occurrences over the distinct words: all of SHORTEST code points (at most the square of the alphabet), and of
+    each greater length up to LONGEST_GRAM those with ``least`` occurrences, and enough that no more than ``most`` can have as many."""
     framed = words.select(F.concat(F.lit(BEGIN), "word", F.lit(END)).alias("w"))
-    lengths = F.array(*(F.lit(q) for q in range(SHORTEST + 1, LONGEST_GRAM + 1)))
+    lengths = F.array(*(F.lit(q) for q in range(SHORTEST, LONGEST_GRAM + 1)))
     grams = framed.select("w", F.explode(lengths).alias("q")).filter(F.char_length("w") >= F.col("q"))
     grams = grams.select("q", F.explode(F.expr("transform(sequence(1, char_length(w) - q + 1), i -> substr(w, i, q))")).alias("gram"))
     counts = stage(grams.groupBy("q", "gram").agg(F.count(F.lit(1)).alias("n")), "gram-counts")
-    totals = {r["q"]: r["n"] for r in counts.groupBy("q").agg(F.sum("n").alias("n")).collect()}
-    enough = F.coalesce(*(F.when(F.col("q") == q, F.lit(max(least, -(-n // most)))) for q, n in totals.items()), F.lit(least))
-    return [r["gram"] for r in counts.filter(F.col("n") >= enough).select("gram").collect()]
+    totals = {r["q"]: r["n"] for r in counts.filter(F.col("q") > SHORTEST).groupBy("q").agg(F.sum("n").alias("n")).collect()}
+    enough = F.coalesce(*(F.when(F.col("q") == q, F.lit(max(least, -(-n // most)))) for q, n in totals.items()), F.lit(0))
+    return {r["gram"]: r["n"] for r in counts.filter(F.col("n") >= enough).select("gram", "n").collect()}
 
 
 class Decomposer:
     """Variable-length grams of a word, and how many of them one edit can touch at most."""
 
-    def __init__(self, dictionary: list[str]):
+    def __init__(self, dictionary: Iterable[str]):
+        dictionary = [g for g in dictionary if len(g) > SHORTEST]
         self.grams = set(dictionary)
         self.heads = {g[:i] for g in dictionary for i in range(1, len(g))}  # what a gram can begin with
         self.tails = {g[i:] for g in dictionary for i in range(1, len(g))}  # what a gram can end with
@@ -117,52 +120,62 @@ class Decomposer:
         return most
 
 
-def _decomposed(batches: Iterator[pa.RecordBatch], dictionary: list[str]) -> Iterator[pa.RecordBatch]:
+#: A list's key adds up the numbers of two grams, the word's length and the grams' places, so that moving a place adds a constant.
+#: Fields may run over in very long words: such keys meet more words, never fewer.
+FIRST, SECOND, LENGTH, PLACE = 1 << 45, 1 << 30, 1 << 20, 1 << 10
+
+
+def _keys(word: str, grams: list[tuple[int, str]], need: int, rank: dict[str, int]) -> tuple[list[int], list[int]]:
+    """Keys of the lists that a word enters: of pairs of its rare grams, and of single ones."""
+    rare = sorted((rank[g], p) for p, g in grams)
+    size = LENGTH * len(word)
+    ones = [FIRST * r + size + p for r, p in (rare[: len(grams) - need + 1] if need > 0 else rare)]
+    if need < 2:
+        return [], ones
+    some = sorted((p, r) for r, p in rare[: len(grams) - need + 2])
+    return [FIRST * r + SECOND * t + size + PLACE * p + q for i, (p, r) in enumerate(some) for q, t in some[i + 1 :]], ones
+
+
+def _decomposed(batches: Iterator[pa.RecordBatch], dictionary: dict[str, int]) -> Iterator[pa.RecordBatch]:
     d = Decomposer(dictionary)
+    rank = {g: i for i, (_, g) in enumerate(sorted((n, g) for g, n in dictionary.items()))}
     for batch in batches:
-        words = batch.column(0).to_pylist()
-        tokens, places, need = [], [], []
-        for word in words:
-            grams, seen, mine = d.split(word), Counter(), []
-            for _, g in grams:
-                mine.append(f"{g}{seen[g] or ''}")  # the second of a kind is another token
-                seen[g] += 1
-            tokens.append(mine)
-            places.append([p if seen[g] == 1 else None for p, g in grams])
+        pairs, ones, need = [], [], []
+        for word in batch.column(0).to_pylist():
+            grams = d.split(word)
             need.append(len(grams) - d.lost(word, grams))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.list_(pa.string())), pa.array(places, pa.list_(pa.int32())), pa.array(need, pa.int32())], ["word", "tokens", "places", "need"])
+            two, one = _keys(word, grams, need[-1], rank)
+            pairs.append(two)
+            ones.append(one)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(need, pa.int32()), pa.array(pairs, pa.list_(pa.int64())), pa.array(ones, pa.list_(pa.int64()))], ["word", "need", "pairs", "ones"])
 
 
-def decompose(words: DataFrame, dictionary: list[str]) -> DataFrame:
-    """word, tokens (its grams), places (where each begins; null for grams that the word has twice) and need: how many tokens any near word shares at least; 0 or less: no bound."""
+def decompose(words: DataFrame, dictionary: dict[str, int]) -> DataFrame:
+    """word, need (how many grams any near word shares at least; 0 or less: no bound), and the keys of its lists: pairs, ones."""
     shared = words.sparkSession.sparkContext.broadcast(dictionary)
-    return words.select("word").mapInArrow(lambda it: _decomposed(it, shared.value), "word string, tokens array<string>, places array<int>, need int")
+    return words.select("word").mapInArrow(lambda it: _decomposed(it, shared.value), "word string, need int, pairs array<long>, ones array<long>")
 
 
 def near_pairs(words: DataFrame, most: int = 1 << 14, least: int = 64) -> DataFrame:
     """word, other: each ordered pair of words that differ by exactly one inserted, deleted or replaced code point, once. Words are distinct and not null."""
-    grams = stage(decompose(words, gram_dictionary(words, most, least)), "grams")
-    rows = grams.select("word", "need", F.size("tokens").alias("m"), F.char_length("word").alias("size"), "tokens", F.arrays_zip(F.col("tokens").alias("token"), F.col("places").alias("place")).alias("g"))
-    each = rows.select("word", "need", "m", F.inline("g"))
-    common = each.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    # the rarest (m - need + 1) tokens of each word; all where there is no bound
-    ranked = each.join(common, "token").groupBy("word", "need", "m").agg(F.sort_array(F.collect_list(F.struct("df", "token", "place"))).alias("g"))
-    keep = F.when(F.col("need") > 0, F.col("m") - F.col("need") + 1).otherwise(F.col("m"))
-    entries = stage(ranked.select("word", "need", F.inline(F.slice("g", F.lit(1), keep))).join(rows.select("word", "tokens", "size"), "word"), "gram-lists")
-    left = entries.select("token", F.explode(F.array(F.col("size"), F.col("size") + 1)).alias("size"), F.struct("word", "need", "place", "tokens", F.col("size").alias("own")).alias("l"))
-    right = entries.select("token", "size", F.struct("word", "need", "place", "tokens").alias("r"))
-    # a gram that an edit spares moves by one place at most
-    close = F.coalesce(F.abs(F.col("l.place") - F.col("r.place")) <= 1, F.lit(True)) & ((F.col("l.own") < F.col("size")) | (F.col("l.word") < F.col("r.word")))
-    shares = F.size(F.array_intersect("l.tokens", "r.tokens")) >= F.greatest("l.need", "r.need")
-    met = left.join(right, ["token", "size"]).filter(close & ((F.col("l.need") > 0) | (F.col("r.need") > 0))).filter(shares)
-    found = met.filter(F.levenshtein("l.word", "r.word", 1) == 1).select(F.col("l.word").alias("word"), F.col("r.word").alias("other"))
+    lists = stage(decompose(words, gram_dictionary(words, most, least)), "gram-lists")
+    near = (F.col("word") != F.col("other")) & (F.levenshtein("word", "other", 1) == 1)
+
+    def meet(left: DataFrame, right: DataFrame, keys: str, moves: list[int]) -> DataFrame:
+        """Words whose keys are equal after one of the moves: of length and places, as an edit between, before or after the grams makes them."""
+        l = left.select("word", F.explode(keys).alias("key")).select("word", F.explode(F.array(*(F.col("key") + m for m in moves))).alias("key"))  # noqa: E741
+        r = right.select(F.col("word").alias("other"), F.explode(keys).alias("key"))
+        return l.join(r, "key").filter(near).select("word", "other")
+
+    two = meet(lists, lists, "pairs", [0, LENGTH, LENGTH + 1, LENGTH + PLACE + 1])
+    one = meet(lists.filter("need <= 1"), lists, "ones", [0, LENGTH, LENGTH + 1, -LENGTH, -LENGTH - 1])
     # words without a bound, among themselves
-    free = grams.filter(F.col("need") <= 0).select("word")
+    free = lists.filter("need <= 0").select("word")
     less = F.expr("transform(sequence(1, char_length(word)), i -> concat(substr(word, 1, i - 1), substr(word, i + 1)))")
-    keys = stage(free.select("word", F.explode(F.array_distinct(F.array_append(less, F.col("word")))).alias("key")), "cut-words")
-    others = keys.select(F.col("word").alias("other"), "key")
-    unbound = keys.join(others, "key").filter(F.col("word") < F.col("other")).filter(F.levenshtein("word", "other", 1) == 1).select("word", "other")
-    once = stage(found.unionByName(unbound).select(F.least("word", "other").alias("word"), F.greatest("word", "other").alias("other")).distinct(), "near-words")
+    cut = free.select("word", F.explode(F.array_distinct(F.array_append(less, F.col("word")))).alias("key"))
+    unbound = cut.join(cut.withColumnRenamed("word", "other"), "key").filter(near).select("word", "other")
+    found = two.unionByName(one).unionByName(unbound)
+    once = stage(found.select(F.least("word", "other").alias("word"), F.greatest("word", "other").alias("other")).distinct(), "near-words")
     return once.unionByName(once.select(F.col("other").alias("word"), F.col("word").alias("other")))
 
 
