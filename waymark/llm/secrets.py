@@ -34,6 +34,8 @@ HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")  # whole runs, 24 characters or
 
 URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2})+")
+#: Escapes of other languages: \\UXXXXXXXX, %uXXXX and three octal digits.
+MORE = re.compile(r"(?:\\U[0-9A-Fa-f]{8}|%u[0-9A-Fa-f]{4}|\\[0-3][0-7]{2})+")
 ENTITY = re.compile(r"(?:&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};)+")
 BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
 #: Base64 over several lines.
@@ -121,6 +123,30 @@ def _inflated(chunks: Iterable[bytes], rest: list[int | None] | None = None) ->
         rest.append(len(data) if whole else None)
 
 
+def _inflated_raw(raw: bytes) -> Iterator[bytes]:
+    """What deflated bytes without a header hold, in pieces."""
+    d, data = zlib.decompressobj(-15), raw
+    while not d.eof:
+        piece = d.decompress(data, PIECE_BYTES)
+        data = d.unconsumed_tail
+        if not piece and not data and not d.eof:
+            raise zlib.error("the bytes end early")
+        if piece:
+            yield piece
+    if d.unused_data:
+        raise zlib.error("more bytes follow")
+
+
+def _deflated(raw: bytes) -> bool:
+    """Whether all the bytes are one deflate stream without a header, of at least 8 bytes."""
+    if len(raw) < 8 or raw[0] >> 1 & 3 not in (1, 2):  # stored blocks show their text as they are
+        return False
+    try:
+        return any([len(p) > 0 for p in _inflated_raw(raw)])
+    except zlib.error:
+        return False
+
+
 def _windows(pieces: Iterable[bytes], digest) -> Iterator[bytes]:
     """The pieces end to end as windows that overlap; digest is fed each byte once.
 
@@ -176,8 +202,8 @@ def _run(escape: str, whole: str) -> tuple[list[str], list[int]] | None:
             i += n
         return chars, at
     chars, at = [], []
-    for m in re.finditer(r"\\u\{([0-9A-Fa-f]+)\}|\\[ux]([0-9A-Fa-f]+)|&#[xX]([0-9A-Fa-f]+);|&#([0-9]+);", whole):
-        code = int(m[4]) if m[4] else int(m[1] or m[2] or m[3], 16)
+    for m in re.finditer(r"\\u\{([0-9A-Fa-f]+)\}|(?:\\[uUx]|%u)([0-9A-Fa-f]+)|&#[xX]([0-9A-Fa-f]+);|&#([0-9]+);|\\([0-3][0-7]{2})", whole):
+        code = int(m[4]) if m[4] else int(m[5], 8) if m[5] else int(m[1] or m[2] or m[3], 16)
         if code > 0x10FFFF:
             return None
         if at and 0xDC00 <= code < 0xE000 and 0xD800 <= ord(chars[-1]) < 0xDC00:  # the second half of a pair
@@ -240,7 +266,27 @@ class Layer:
         for m in BASE64.finditer(self.text):
             place = (m.start(), m.start() + len(m[0].rstrip("=")))
             if place not in done:
-                yield from self._decode([place])
+                whole = yield from self._decode([place])
+                if not whole:
+                    yield from self._glued(*place)
+
+    def _glued(self, start: int, end: int) -> Iterator[Layer]:
+        """Base64 glued to a path or a name by ``/``, ``_`` or ``-``, which its alphabet has too.
+
+        What begins a multiple of four characters later is part of the same bytes, so at most three more readings show all plain
+        text; a part that begins with compressed bytes is read for itself.
+        """
+        read = {0}
+        for m in re.finditer("[/_-]", self.text[start:end]):
+            at = start + m.end()
+            if end - at < 16:
+                break
+            phase = (at - start) % 4
+            head = base64.b64decode(self.text[at : at + 12].translate({45: 43, 95: 47}))
+            if phase not in read or _decompressor(head) is not None:
+                read.add(phase)
+                size = end - at
+                yield from self._decode([(at, end - (size % 4 == 1))])
 
     def _unwrap(self, done: set[tuple[int, int]]) -> Iterator[Layer]:
         """Lines of base64 as one run: all that follow each other, and those of one length with and without a shorter last.
@@ -279,6 +325,8 @@ class Layer:
         rest: list[int | None] = []
         if _decompressor(raw) is not None:
             yield from self._packed(_unpacked(lambda: [raw], rest), places[0][0], places[-1][1])
+        elif _deflated(raw):
+            yield from self._packed(_windows(_inflated_raw(raw), hashlib.sha256()), places[0][0], places[-1][1])
         before = len(raw) - rest[0] if rest and rest[0] is not None else 0
         text = _text(raw[before:])
         whole = before > 0
@@ -309,14 +357,15 @@ class Layer:
 
             def read(start: int = m.start(), ends: list[int] = ends) -> Iterator[bytes]:
                 ends.clear()
-                part, place = bytearray(), start
+                part, place, size = bytearray(), start, 1 << 6  # most beginnings are none, which a few bytes show
                 while x := byte.match(self.text, place):
                     place = x.end()
                     part.append(int(x[1], 16) if x[1] else SHORT[x[2]] if x[2] in SHORT and byte is BYTE_X else ord(x[0]))
                     ends.append(place)
-                    if len(part) == 1 << 12:
+                    if len(part) == size:
                         yield bytes(part)
                         part.clear()
+                        size = min(4 * size, 1 << 12)
                 if part:
                     yield bytes(part)
 
@@ -340,6 +389,8 @@ class Layer:
             yield x
         if "\\" in self.text:
             yield from self.escaped(PACKED_X, BYTE_X)
+        if ("\\" in self.text or "%u" in self.text) and (x := self.unescape("more", MORE)):
+            yield x
         if "&#" in self.text and (x := self.unescape("entity", ENTITY)):
             yield x
         yield from self.unpack()
@@ -373,7 +424,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row a document: its id, ``base`` and ``found``, arrays of (kind, start, end) in code points, end exclusive.
 
     ``base`` holds what stands in the text itself, ``found`` that and what stands in decoded layers, each span once.
-    A null text counts as empty and finds nothing; repeated rows give a row each; other columns are ignored.
+    A null text counts as empty and finds nothing; repeated rows give a row each; other columns are ignored; texts may be of any
+    length; an empty table gives no rows.
     """
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 

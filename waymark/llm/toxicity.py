@@ -189,7 +189,12 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5, id_col: str = "
 
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows of docs that score below ``threshold``, with all their columns."""
+    """The rows of docs that score below ``threshold``, with all their columns. A null text counts as empty.
+
+    A model without weights has learnt nothing that tells documents apart, as without usable labels: all rows stay.
+    """
+    if not len(model.index):
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
