@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.functions import rings
-from waymark.operators import strands
+from waymark.operators import line_builder, strands
 from waymark.plans.registry import hav, query
-from waymark.session import table
+from waymark.plans.spatial import STATIONS
+from waymark.plans.transit import TIMES, stop_times
+from waymark.session import stations, table
 
 
 @query("""
@@ -65,3 +67,38 @@ def bridged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = lambda i: F.element_at("line", i)
     whole = F.transform(F.array(F.lit(0)), lambda _: F.array(e(1), e(-1)))
     return out.withColumn("across", F.get(whole, F.lit(0))).select("first", "ways", F.size("line").alias("points"), F.round(rings.length_m(F.col("across")), 0).alias("m"))
+
+
+@query(f"""
+WITH s AS ({STATIONS}), o AS (SELECT o_orderkey AS k, CASE WHEN o_custkey % 3 = 0 THEN -o_custkey - 1 ELSE o_orderkey END AS line, o_custkey % 3 = 0 AS mastered FROM orders),
+m AS (SELECT l_orderkey AS k, l_linenumber AS seq, l_suppkey AS spot, (l_orderkey + 3 * l_linenumber) % 4 AS way FROM ({TIMES}) WHERE l_linenumber % 4 <> 3),
+r AS (SELECT m.k, m.seq, m.way, m.spot, s.station FROM m LEFT JOIN s ON s.station = m.spot),
+f AS (SELECT k, seq, CASE way WHEN 0 THEN station WHEN 1 THEN station WHEN 2 THEN spot % 17 END AS station FROM r),
+g AS (SELECT o.line, f.k, CASE WHEN f.station IN (SELECT station FROM s) THEN f.station END AS station FROM f JOIN o USING (k)),
+b AS (SELECT line, count(*) FILTER (n >= 2) AS branches FROM (SELECT g.line, g.k, count(DISTINCT (lon, lat)) AS n FROM g JOIN s ON s.station = g.station GROUP BY 1, 2) GROUP BY line),
+l AS (SELECT o.line, any_value(mastered) AS mastered, count(DISTINCT o.k) AS variants FROM o GROUP BY o.line),
+n AS (SELECT line, count(DISTINCT station) AS stations, count(*) FILTER (station IS NULL) AS unresolved FROM g GROUP BY line)
+SELECT l.line, mastered, coalesce(stations, 0)::INT AS stations, coalesce(branches, 0)::INT AS branches, coalesce(unresolved, 0)::INT AS unresolved,
+  CASE WHEN coalesce(stations, 0) < 2 THEN 'too few stations' WHEN coalesce(branches, 0) = 0 THEN 'no geometry' END AS reason
+FROM l LEFT JOIN n USING (line) LEFT JOIN b USING (line)""")
+def built_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as routes, those of every third customer as variants of a master's line: items are members, found by id, place or name."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("relation"), "o_custkey")
+    tags = F.create_map(F.lit("route"), F.lit("train"), F.lit("name"), F.concat(F.lit("line "), F.col("relation").cast("string")))
+    routes = o.select("relation", tags.alias("tags"))
+    masters = o.filter("o_custkey % 3 = 0").groupBy((-F.col("o_custkey") - 1).cast("long").alias("relation")).agg(F.collect_list("relation").alias("members")).withColumn("tags", tags)
+    seq, at = F.col("l_linenumber"), F.col("l_suppkey").cast("long")
+    way = (F.col("l_orderkey") + 3 * seq) % 4
+    role = F.when(seq % 4 == 3, "platform").when(seq % 4 == 1, "stop").otherwise("stop_exit_only")
+    s = stations(spark, sf_dir)
+    known = s.select(F.col("station").cast("long").alias("l_at"), "lon", "lat")
+    li = stop_times(spark, sf_dir).withColumn("l_at", at).join(known, "l_at", "left")
+    here = lambda v: F.when((way == 1), F.col(v))
+    members = li.select(
+        F.col("l_orderkey").cast("long").alias("relation"), seq.cast("int").alias("seq"), F.lit("node").alias("type"), F.when(way == 0, at).otherwise(-at - 1).alias("ref"), role.alias("role"),
+        F.when(way == 2, F.concat(F.lit("n"), F.col("l_at") % 17)).alias("name_key"), here("lon").alias("lon"), here("lat").alias("lat"),
+    )
+    name = F.concat(F.lit("n"), F.col("station"))
+    places = s.select(F.col("station").cast("long").alias("station"), name.alias("name_key"), F.lit("station").alias("kind"), F.col("lon").alias("s_lon"), F.col("lat").alias("s_lat"))
+    out = line_builder.build_lines(routes, masters, members, places, cluster_m=20.0)
+    return out.select("line", "mastered", F.size("stations").alias("stations"), F.when(F.col("geometry").isNull(), 0).otherwise(F.size("geometry")).alias("branches"), "unresolved", "reason")
