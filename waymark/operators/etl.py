@@ -203,8 +203,13 @@ def suggestions(enclosing: DataFrame, most: int = 4) -> DataFrame:
     """place, label, context: areas of levels 4 to 9 from the narrowest on, each with the next three broader names; at most 4 a place."""
     e = enclosing.filter(F.col("level").between(4, 9))
     w = Window.partitionBy("place").orderBy(F.desc("level"), "relation")
-    context = F.array_join(F.slice(F.collect_list("label").over(w.rowsBetween(1, Window.unboundedFollowing)), 1, 3), ", ")
-    return e.withColumn("context", context).withColumn("n", F.row_number().over(w)).filter(F.col("n") <= most).select("place", "relation", "label", "context", "n")
+    # the next three names after a row, nulls left out: each row has the place of its name among the names
+    named = e.withColumn("n", F.row_number().over(w)).withColumn("k", F.count("label").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    names = named.filter(F.col("label").isNotNull() & (F.col("k") <= most + 3)).select("place", F.col("k").alias("at"), F.col("label").alias("name"))
+    some = named.filter(F.col("n") <= most)
+    after = some.select("place", "n", "k").join(names, "place").filter((F.col("at") > F.col("k")) & (F.col("at") <= F.col("k") + 3))
+    context = after.groupBy("place", "n").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "name"))), lambda x: x["name"]), ", ").alias("context"))
+    return some.join(context, ["place", "n"], "left").select("place", "relation", "label", F.coalesce("context", F.lit("")).alias("context"), "n")
 
 
 def level_counts(boundaries: DataFrame) -> DataFrame:

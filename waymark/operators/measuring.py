@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark.functions import geo, rings
+from waymark.functions.geo import DEGREE_M
 from waymark.operators.graph import connected_components
-from waymark.operators.spatial_join import segments, within_distance
+from waymark.operators.spatial_join import box_cells, cells, reach, segment_cells, segments, within_distance
+from waymark.session import save
 
 #: How far from a seeker lines are considered, and categories that read other bundles too.
 WINDOW_M = 50_000.0
@@ -43,16 +45,34 @@ def in_window(features: DataFrame, play_area: Column, metres: float) -> DataFram
     return features.filter(geo.boxes_meet(F.col("box"), geo.window_box(play_area, metres)))
 
 
-def nearest_line(points: DataFrame, lines: DataFrame, point: str, line: str, window_m: float = WINDOW_M) -> DataFrame:
-    """(point, line, m): the nearest line within a window, by segment. Points are few; every segment's box is tested first."""
-    s = segments(lines, [line]).withColumn("sbox", geo.bbox(F.least("ax", "bx"), F.least("ay", "by"), F.greatest("ax", "bx"), F.greatest("ay", "by")))
-    p = points.withColumn("pbox", geo.window_box(geo.bbox("lon", "lat", "lon", "lat"), window_m))
-    both = s.join(F.broadcast(p), geo.boxes_meet(F.col("sbox"), F.col("pbox"))).withColumn("m", geo.point_segment_haversine_m("lon", "lat", "ax", "ay", "bx", "by"))
-    return both.groupBy(point).agg(F.min_by(line, F.struct("m", line)).alias(line), F.min("m").alias("m"))
+def nearest_line(points: DataFrame, lines: DataFrame, point: str, line: str, window_m: float = WINDOW_M, first_m: float = 2000.0) -> DataFrame:
+    """(point, line, m): the nearest line with a segment whose box meets the seeker's window, a box padded by ``window_m``; points
+    with none in it have no row.
+
+    Segments enter the cells that they pass within a radius, points their own; the radius grows fourfold for points that
+    found nothing, and the last round takes the cells of whole boxes.
+    """
+    s = save(segments(lines, [line]).withColumn("sbox", geo.bbox(F.least("ax", "bx"), F.least("ay", "by"), F.greatest("ax", "bx"), F.greatest("ay", "by"))))
+    todo, done, r = save(points.select(point, "lon", "lat").filter("lon IS NOT NULL AND lat IS NOT NULL")), None, first_m
+    far = geo.point_segment_haversine_m("lon", "lat", "ax", "ay", "bx", "by")
+    while not todo.isEmpty():
+        size = min(r, window_m) / DEGREE_M
+        if r < window_m:
+            tiles = segment_cells(s, size, *reach(r, F.greatest(F.abs("ay"), F.abs("by"))))
+            both = cells(todo, "lon", "lat", size).join(tiles, ["cell_x", "cell_y"]).withColumn("m", far).filter(F.col("m") <= r)
+        else:
+            window = todo.withColumn("pbox", geo.window_box(geo.bbox("lon", "lat", "lon", "lat"), window_m))
+            both = box_cells(window, F.col("pbox"), size).join(box_cells(s, F.col("sbox"), size), ["cell_x", "cell_y"]).filter(geo.boxes_meet(F.col("sbox"), F.col("pbox"))).withColumn("m", far)
+        found = save(both.groupBy(point).agg(F.min_by(line, F.struct("m", line)).alias(line), F.min("m").alias("m")))
+        done = found if done is None else done.unionByName(found)
+        if r >= window_m:
+            break
+        todo, r = save(todo.join(found, point, "left_anti")), 4 * r
+    return done if done is not None else todo.select(point).join(lines.select(line).limit(0), F.lit(False)).withColumn("m", F.lit(0.0))
 
 
 def distance_to_areas(points: DataFrame, areas: DataFrame, point: str) -> DataFrame:
-    """(point, m): 0 inside any area, else metres to the nearest ring. areas: (area, box, multi)."""
+    """(point, m): 0 inside any area, else metres to the nearest ring within the seeker's window of 50 km, else null. areas: (area, box, multi)."""
     from waymark.operators.spatial_join import points_in_polygons
 
     inside = points_in_polygons(points, areas).select(point).distinct().withColumn("inside", F.lit(True))

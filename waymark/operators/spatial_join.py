@@ -16,6 +16,10 @@ from waymark.functions.geo import DEGREE_M, c
 from waymark.session import save
 
 
+#: Metres up to which nearest rows are looked for by radius.
+FAR_M = 200_000.0
+
+
 def cells(df: DataFrame, lon: str, lat: str, degrees: float, dx: Column | None = None, dy: Column | None = None) -> DataFrame:
     """Adds cell_x, cell_y: the point's own cell, or a row for each cell within (dx, dy) degrees of it."""
     at = lambda v: F.floor(v / degrees).cast("long")
@@ -72,18 +76,18 @@ def nearest(left: DataFrame, right: DataFrame, k: int, metres: float, key: list[
 def nearest_anywhere(left: DataFrame, right: DataFrame, key: list[str], payload: Column, left_at: tuple[str, str] = ("lon", "lat"), right_at: tuple[str, str] = ("r_lon", "r_lat"), tie: Column | None = None, first_m: float = 2000.0) -> DataFrame:
     """The nearest right row for each left key, however far: ``best`` (payload), ``m``; null if there is none at all.
 
-    The radius doubles round by round, each a join on cells of that size; rows that found something are done, as nothing
-    outside the radius is nearer. Rounds end when all are done, or the radius spans the globe.
+    The radius grows fourfold round by round, each a join on cells of that size; rows that found something are done, as nothing
+    outside the radius is nearer. From FAR_M on, bounds by coarse cells say which points to look at.
     """
     ok = lambda df, at: df.filter(F.col(at[0]).isNotNull() & F.col(at[1]).isNotNull() & ~F.isnan(at[0]) & ~F.isnan(at[1]))
     points = save(left.select(*key, *left_at).distinct())
     right, todo, done, r = ok(right, right_at), ok(points, left_at), None, first_m
     order = F.struct("m", tie) if tie is not None else F.struct("m")
     while not todo.isEmpty() and r < 4e7:
-        near = within_distance(todo, right, r, left_at, right_at) if r < 1e6 else _all_pairs(todo, right, left_at, right_at)
+        near = within_distance(todo, right, r, left_at, right_at) if r < FAR_M else _far(todo, right, key, left_at, right_at)
         found = save(near.groupBy(*key).agg(F.min_by(payload, order).alias("best"), F.min("m").alias("m")))
         done = found if done is None else done.union(found)
-        if r >= 1e6:
+        if r >= FAR_M:
             break
         todo, r = save(todo.join(found, key, "left_anti")), r * 4
     keys = points.select(*key).distinct()
@@ -92,13 +96,22 @@ def nearest_anywhere(left: DataFrame, right: DataFrame, key: list[str], payload:
     return keys.join(done, key, "left")
 
 
-def _all_pairs(few: DataFrame, right: DataFrame, left_at: tuple[str, str], right_at: tuple[str, str]) -> DataFrame:
-    """Rows that have nothing within 1000 km against all of the right side; they are outliers, so few."""
-    return right.crossJoin(few).withColumn("m", geo.haversine_m(*left_at, *right_at))
+def _far(few: DataFrame, right: DataFrame, key: list[str], left_at: tuple[str, str], right_at: tuple[str, str]) -> DataFrame:
+    """Pairs of rows that have nothing near with the right rows that can be their nearest.
+
+    The right side's cells of a degree, at most 64,800 and so broadcast, bound distances from both sides: a cell's points lie
+    within 79 km of its middle. Only points of cells that can hold the nearest are met.
+    """
+    at = lambda v: F.floor(v).cast("long")
+    tiles = right.withColumn("cell_x", at(F.col(right_at[0]))).withColumn("cell_y", at(F.col(right_at[1])))
+    centres = tiles.select("cell_x", "cell_y").distinct()
+    bound = few.crossJoin(F.broadcast(centres)).withColumn("__d", geo.haversine_m(*left_at, F.col("cell_x") + 0.5, F.col("cell_y") + 0.5))
+    bound = bound.withColumn("__least", F.min("__d").over(Window.partitionBy(*key, *left_at))).filter(F.col("__d") <= F.col("__least") + 2 * 79_000.0).drop("__d", "__least")
+    return bound.join(tiles, ["cell_x", "cell_y"]).drop("cell_x", "cell_y").withColumn("m", geo.haversine_m(*left_at, *right_at))
 
 
 def nearest_in_plane(left: DataFrame, right: DataFrame, key: list[str], payload: str, first_deg: float = 0.05, digits: int = 14) -> DataFrame:
-    """The right row nearest in plain degrees for each left row, by widening squares; ties by the payload.
+    """The right row nearest in plain degrees for each left row, by widening squares; ties by the payload; null without a place, or without right rows.
 
     A square of half width d holds all points within d, so a hit counts once its distance is at most d.
     """
@@ -109,7 +122,10 @@ def nearest_in_plane(left: DataFrame, right: DataFrame, key: list[str], payload:
         found = save(near.filter(d2 <= d * d).groupBy(*key).agg(F.min_by(payload, F.struct(d2, F.col(payload))).alias(payload)))
         done = found if done is None else done.union(found)
         todo, d = save(todo.join(found, key, "left_anti")), d * 4
-    return done
+    keys = left.select(*key).distinct()
+    if done is None:
+        return keys.join(right.select(payload).limit(0), F.lit(False), "left")
+    return keys.join(done, key, "left")
 
 
 def points_in_polygons(points: DataFrame, polygons: DataFrame, degrees: float = 0.05, at: tuple[str, str] = ("lon", "lat"), multi: str = "multi") -> DataFrame:
@@ -126,10 +142,10 @@ def first_polygon(points: DataFrame, polygons: DataFrame, key: list[str], order:
     return hits.withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).filter("__n = 1").drop("__n")
 
 
-def covering_box(points: DataFrame, boxes: DataFrame, key: list[str], tie: str, at: tuple[str, str] = ("lon", "lat")) -> DataFrame:
-    """The smallest box that holds each point. ``boxes`` is a catalogue of few rows (box, tie)."""
-    both = points.join(F.broadcast(boxes), geo.box_has_point(F.col("box"), *at))
-    return both.groupBy(*key).agg(F.min_by(F.col(tie), F.struct(geo.box_area(F.col("box")), F.col(tie))).alias(tie))
+def covering_box(points: DataFrame, boxes: DataFrame, key: list[str], tie: str, at: tuple[str, str] = ("lon", "lat"), degrees: float = 0.5) -> DataFrame:
+    """The smallest box that holds each point, equal areas (to 12 decimals) by the tie. boxes: (box, tie); both sides meet by cell."""
+    both = cells(points, *at, degrees).join(box_cells(boxes, F.col("box"), degrees), ["cell_x", "cell_y"]).filter(geo.box_has_point(F.col("box"), *at))
+    return both.groupBy(*key).agg(F.min_by(F.col(tie), F.struct(F.round(geo.box_area(F.col("box")), 12), F.col(tie))).alias(tie))
 
 
 def segments(lines: DataFrame, key: list[str], line: str = "line") -> DataFrame:

@@ -33,11 +33,13 @@ def merge_stations(contributions: DataFrame) -> DataFrame:
     """
     rank = F.struct(source_priority(F.col("source_kind")).alias("p"), F.col("ord").alias("o"))
     first = lambda c: F.min_by(c, rank).alias(c)
-    one = contributions.groupBy("merge_key").agg(
-        first("name"), first("lon"), first("lat"), F.min_by("name_en", F.when(F.length("name_en") > 0, rank)).alias("name_en"),
-        F.array_sort(F.collect_set("id")).alias("source_ids"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("route_ids")))).alias("route_ids"),
-        F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(rank.alias("r"), F.col("colours").alias("c")))), lambda x: x["c"]))).alias("colours"),
-    )
+    one = contributions.groupBy("merge_key").agg(first("name"), first("lon"), first("lat"), F.min_by("name_en", F.when(F.length("name_en") > 0, rank)).alias("name_en"), F.array_sort(F.collect_set("id")).alias("source_ids"))
+    # lists are made distinct before they meet: a busy key brings each route and colour once a task
+    routes = contributions.select("merge_key", F.explode("route_ids").alias("r")).distinct().groupBy("merge_key").agg(F.array_sort(F.collect_list("r")).alias("route_ids"))
+    met = contributions.select("merge_key", rank.alias("rank"), F.posexplode("colours").alias("at", "c")).groupBy("merge_key", "c").agg(F.min(F.struct("rank", "at")).alias("o"))
+    colours = met.groupBy("merge_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "c"))), lambda x: x["c"]).alias("colours"))
+    none = lambda c: F.coalesce(c, F.array().cast(contributions.schema[c].dataType)).alias(c)
+    one = one.join(routes, "merge_key", "left").join(colours, "merge_key", "left").select(*one.columns, none("route_ids"), none("colours"))
     return one
 
 

@@ -215,9 +215,7 @@ def first_area_of_pois(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH p AS ({POIS}), a AS ({AREAS}) SELECT poi, arg_min(area, (round((e - w) * (n - s), 12), area)) AS area FROM p, a WHERE lon BETWEEN w AND e AND lat BETWEEN s AND n GROUP BY poi")
 def covering_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The smallest region box over each point; equal areas by key."""
-    a = areas(spark, sf_dir)
-    both = pois(spark, sf_dir).join(F.broadcast(a), geo.box_has_point(F.col("box"), "lon", "lat"))
-    return both.groupBy("poi").agg(F.min_by("area", F.struct(F.round(geo.box_area(F.col("box")), 12), F.col("area"))).alias("area"))
+    return spatial_join.covering_box(pois(spark, sf_dir), areas(spark, sf_dir).select("area", "box"), ["poi"], "area")
 
 
 @query(f"""
