@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from waymark.functions import geo, rings
 from waymark.functions import text as tx
-from waymark.operators import elimination, etl, families, measuring, overlay, state, transit
+from waymark.operators import elimination, etl, families, measuring, overlay, state, transit, wire
 from waymark.plans.registry import hav, pos, query
 from waymark.plans.spatial import AREAS, STATIONS, areas
 from waymark.plans.transit import TIMES, stop_times
@@ -175,3 +176,25 @@ def eligible_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = elimination.eligible(cells, families.constraints(cells, questions, none, s, 6000.0))
     ok = F.col("eligible")
     return out.agg(F.count(F.lit(1)).alias("cells"), F.count_if(ok).alias("eligible"), F.round(F.sum(F.when(ok, F.col("lon"))), 4).alias("lons"), F.round(F.sum(F.when(ok, F.col("lat"))), 4).alias("lats"))
+
+
+@query("""
+WITH d AS (SELECT doc_id AS k, source, n_chars, doc_id % 4 AS form FROM documents),
+s AS (SELECT k, form, '{"k":"app-state","p":{"a":{"l":' || to_json(coalesce(source, 'none'))::VARCHAR || ',"n":[' || (139000000 + k * 10) || ',35500000],"o":' || k || '},"g":"g' || k || '","m":{"c":"2024"}' ||
+  CASE WHEN k % 3 = 0 THEN '' ELSE ',"q":[{' || CASE WHEN k % 5 = 0 THEN '"d":"1km","du":"km",' ELSE '"d":"1km",' END || CASE k % 2 WHEN 0 THEN '"e":"p",' ELSE '' END || '"i":"q1","n":[139250000,35250000],"r":' || (k % 7 + 1) || '.5,"t":"r"}]' END || '},"v":1}' AS short FROM d)
+SELECT k, length(short)::INT AS n, md5(short) AS digest, CASE form WHEN 1 THEN 'unsupported-version' WHEN 2 THEN 'invalid-json' ELSE 'ok' END AS status, CASE WHEN form = 3 THEN 'zz' WHEN form = 0 THEN '' END AS unknown, form IN (0, 3) AS same FROM s""")
+def short_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States about documents as short-keyed texts and back: equal where they are whole, reported where the version, the text or a key is odd."""
+    k = F.col("doc_id")
+    at = lambda x, y: F.struct(x.cast("double").alias("x"), F.lit(y).alias("y"))
+    question = {"id": F.lit("q1"), "questionType": F.lit("radar"), "answer": F.when(k % 2 == 0, "positive").otherwise("unanswered"), "center": at(F.lit(139.25), 35.25), "radiusMeters": k % 7 + 1.5, "radiusOption": F.lit("1km"), "distanceUnit": F.when(k % 5 == 0, "km").otherwise("m")}
+    typed = lambda values, schema: F.struct(*(values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema))
+    q = typed(question, wire.long_schema(wire.QUESTION))
+    none = F.array().cast(T.ArrayType(wire.long_schema(wire.QUESTION)))
+    area = typed({"center": at(F.lit(139.0) + k * 0.00001, 35.5), "label": F.coalesce("source", F.lit("none")), "osmId": k}, wire.long_schema(wire.STATE["playArea"]))
+    state_ = {"gameId": F.concat(F.lit("g"), k.cast("string")), "metadata": F.struct(F.lit("2024").alias("createdAt")), "playArea": area, "questions": F.when(k % 3 == 0, none).otherwise(F.array(q))}
+    d = table(spark, sf_dir, "documents").select(k.alias("k"), typed(state_, wire.long_schema()).alias("state"), (k % 4).alias("form"))
+    d = d.withColumn("short", wire.minify(F.col("state")))
+    odd = F.when(F.col("form") == 1, F.regexp_replace("short", '"v":1', '"v":2')).when(F.col("form") == 2, F.substring("short", 1, 9)).when(F.col("form") == 3, F.concat(F.lit('{"zz":1,'), F.substring("short", 2, 1 << 20))).otherwise(F.col("short"))
+    out = wire.unminify(d.withColumn("text", odd), "text")
+    return out.select("k", F.length("short").alias("n"), F.md5("short").alias("digest"), "status", F.array_join("unknown", ",").alias("unknown"), F.coalesce(F.to_json("payload") == F.to_json("state"), F.lit(False)).alias("same"))

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.operators import arrangement
+from waymark.operators import arrangement, cells_of
 from waymark.plans.registry import pos, query
 from waymark.plans.spatial import STATIONS
-from waymark.session import pois, stations
+from waymark.session import pois, stations, table
 
 #: Diamonds around stations: half a diagonal, in degrees.
 HALF = 0.0625
@@ -103,3 +103,24 @@ def dilated_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = stations(spark, sf_dir).withColumn("multi", F.array(F.array(ring)))
     a = arrangement.areas(arrangement.dilate(s, ["station"], 1000.0, grid=FINE), ["station"], FINE)
     return a.join(s.select("station", "lat"), "station").select("station", F.round(F.col("area") * (111320.0 * 111320.0 / 1e6) * F.cos(F.radians("lat")), 1).alias("km2"))
+
+
+#: A lattice of customers, and the corner that is cut out of each question's play area.
+LATTICE = "SELECT c_custkey // 100 AS question, c_custkey AS poi, (c_custkey % 100) % 10 AS i, (c_custkey % 100) // 10 AS j FROM customer"
+
+
+@query(f"""
+WITH p AS ({LATTICE}), n AS (SELECT question FROM p GROUP BY question HAVING count(*) = 100),
+c AS (SELECT p.*, CASE WHEN i = 0 THEN 0.0 ELSE 0.1 * i + 0.0 END AS w, CASE WHEN i = 9 THEN 1.0 ELSE 0.1 * i + 0.1 END AS e, CASE WHEN j = 0 THEN 0.0 ELSE 0.1 * j END AS s, CASE WHEN j = 9 THEN 1.0 ELSE 0.1 * j + 0.1 END AS n FROM p JOIN n USING (question)),
+a AS (SELECT question, poi, (e - w) * (n - s) - greatest(0, e - greatest(w, 0.33)) * greatest(0, n - greatest(s, 0.47)) AS area FROM c)
+SELECT question, poi, round(area::DOUBLE, 8) AS area FROM a WHERE area > 1e-9""")
+def concave_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Voronoi cells of lattices of a hundred customers within a play area that lacks a corner: the area of each."""
+    k = F.col("c_custkey")
+    c = table(spark, sf_dir, "customer").select(F.floor(k / 100).alias("question"), k.alias("poi"), (F.lit(139.05) + k % 10 * 0.1).alias("lon"), (F.lit(35.05) + F.floor(k % 100 / 10) * 0.1).alias("lat"))
+    full = c.groupBy("question").agg(F.count(F.lit(1)).alias("n")).filter("n = 100").select("question")
+    corners = ((0, 0), (1, 0), (1, 0.47), (0.33, 0.47), (0.33, 1), (0, 1), (0, 0))
+    areas = full.withColumn("multi", F.array(F.array(F.array(*(_point(F.lit(139.0 + x), F.lit(35.0 + y)) for x, y in corners)))))
+    cells = cells_of.voronoi(c.join(full, "question", "left_semi"), "question", "poi", (139.0, 35.0, 140.0, 36.0))
+    edges = cells_of.clipped(cells, "question", "poi", areas)
+    return arrangement.areas(edges, ["question", "poi"]).select("question", "poi", F.round("area", 8).alias("area"))
