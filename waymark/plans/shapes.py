@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.operators import arrangement, cells_of
+from waymark.operators import arrangement, artifact_jobs, cells_of
 from waymark.plans.registry import pos, query
-from waymark.plans.spatial import STATIONS
-from waymark.session import pois, stations, table
+from waymark.plans.spatial import STATIONS, areas
+from waymark.session import pois, shared_folder, stations, table
 
 #: Diamonds around stations: half a diagonal, in degrees.
 HALF = 0.0625
@@ -120,7 +120,24 @@ def concave_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "customer").select(F.floor(k / 100).alias("question"), k.alias("poi"), (F.lit(139.05) + k % 10 * 0.1).alias("lon"), (F.lit(35.05) + F.floor(k % 100 / 10) * 0.1).alias("lat"))
     full = c.groupBy("question").agg(F.count(F.lit(1)).alias("n")).filter("n = 100").select("question")
     corners = ((0, 0), (1, 0), (1, 0.47), (0.33, 0.47), (0.33, 1), (0, 1), (0, 0))
-    areas = full.withColumn("multi", F.array(F.array(F.array(*(_point(F.lit(139.0 + x), F.lit(35.0 + y)) for x, y in corners)))))
+    shapes = full.withColumn("multi", F.array(F.array(F.array(*(_point(F.lit(139.0 + x), F.lit(35.0 + y)) for x, y in corners)))))
     cells = cells_of.voronoi(c.join(full, "question", "left_semi"), "question", "poi", (139.0, 35.0, 140.0, 36.0))
-    edges = cells_of.clipped(cells, "question", "poi", areas)
+    edges = cells_of.clipped(cells, "question", "poi", shapes)
     return arrangement.areas(edges, ["question", "poi"]).select("question", "poi", F.round("area", 8).alias("area"))
+
+
+@query("""
+SELECT 'boundaries' AS kind, count(*) AS rows, true AS written, false AS again FROM nation
+UNION ALL SELECT 'measuring', (SELECT count(*) FROM nation) + (SELECT count(*) FROM supplier), true, false""")
+def built_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boundaries and measuring lines of a region built, and asked for again with their rows in another order: the second time nothing is written."""
+    a = areas(spark, sf_dir)
+    x, y = F.col("lon"), F.col("lat")
+    lines = stations(spark, sf_dir).select(F.lit("rail").alias("category"), F.col("station").cast("string").alias("id"), F.array(_point(x, y), _point(x + 0.01, y)).alias("line"))
+    folder, runs = shared_folder(spark, "region"), []
+    for areas_, lines_ in ((a, lines), (a.orderBy(F.desc("area")), lines.repartition(3))):
+        runs.append(artifact_jobs.report(spark, {
+            "boundaries": artifact_jobs.resumed(folder, "boundaries", {"areas": areas_}, lambda: artifact_jobs.boundaries(a)),
+            "measuring": artifact_jobs.resumed(folder, "measuring", {"areas": areas_, "lines": lines_}, lambda: artifact_jobs.measuring_lines(a, lines)),
+        }))
+    return runs[0].join(runs[1].select("kind", F.col("rows").alias("rows2"), F.col("written").alias("again")), "kind").filter("rows = rows2").select("kind", "rows", "written", "again")

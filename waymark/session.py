@@ -10,19 +10,24 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def save(df: DataFrame) -> DataFrame:
-    """Write df below spark.checkpoint.dir, which all executors share, and read it back: lineage ends, the plan starts anew.
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's URI below spark.checkpoint.dir, which all executors share.
 
     Without that setting a session on one machine uses a temporary folder; any other raises an error.
     """
-    spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='waymark-')}"
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/waymark-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def save(df: DataFrame) -> DataFrame:
+    """Write df to a shared folder and read it back: lineage ends, the plan starts anew."""
+    spark = df.sparkSession
+    path = shared_folder(spark, "waymark")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
