@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from waymark.operators.graph import connected_components
 from waymark.operators.transit import first_by
@@ -121,13 +122,16 @@ def repair_order(xy: np.ndarray, most: int = 3) -> np.ndarray:
 def repair_stops(stops: DataFrame) -> DataFrame:
     """(variant, seq, id, lon, lat) with seq renumbered from 0 in repaired order."""
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["seq", "id"], kind="stable")
-        pdf = pdf.iloc[repair_order(pdf[["lon", "lat"]].to_numpy(float))] if len(pdf) > 2 else pdf
-        return pdf.assign(seq=np.arange(len(pdf), dtype=np.int32))
-
     cols = stops.select("variant", F.col("seq").cast("int").alias("seq"), "id", "lon", "lat")
-    return cols.groupBy("variant").applyInPandas(one, cols.schema)
+    s = cols.groupBy("variant").agg(F.array_sort(F.collect_list(F.struct("seq", "id", "lon", "lat"))).alias("s"))
+    order = _repaired(F.transform("s", lambda p: p["lon"]), F.transform("s", lambda p: p["lat"]))
+    stop = F.get("s", F.col("i"))
+    return s.select("variant", "s", F.posexplode(order).alias("n", "i")).select("variant", F.col("n").alias("seq"), *(stop[c].alias(c) for c in ("id", "lon", "lat")))
+
+
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _repaired(lon: pd.Series, lat: pd.Series) -> pd.Series:
+    return pd.Series([repair_order(np.column_stack([np.asarray(x, float), np.asarray(y, float)])).tolist() if len(x) > 2 else list(range(len(x))) for x, y in zip(lon, lat, strict=True)], dtype=object)
 
 
 def chain(ways: list[list[tuple]]) -> list[list[tuple]]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions import geo, kernels, rings
 from waymark.operators import measuring, overlay, sequences
-from waymark.plans.registry import LON, hav, query
+from waymark.plans.registry import LAT, LON, hav, pos, query
 from waymark.plans.spatial import AREAS, DIAMOND, POIS, RING_SQL, STATIONS, areas
 from waymark.plans.transit import stop_times
 from waymark.session import placed, pois, stations, table
@@ -53,20 +53,69 @@ def clipped_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("station", F.round(F.abs(rings.planar_area(F.col("cut"))), 8).alias("area"))
 
 
-@query()
+D = "list_transform(range(a + 1, b), lambda k: {far})"
+#: The distance of point k from the segment a-b in local metres, and the farthest of the points between.
+FAR = "sqrt(pow(xs[k] - xs[a] - {t} * (xs[b] - xs[a]), 2) + pow(ys[k] - ys[a] - {t} * (ys[b] - ys[a]), 2))"
+SHARE = "CASE WHEN pow(xs[b] - xs[a], 2) + pow(ys[b] - ys[a], 2) = 0 THEN 0 ELSE greatest(0, least(1, ((xs[k] - xs[a]) * (xs[b] - xs[a]) + (ys[k] - ys[a]) * (ys[b] - ys[a])) / (pow(xs[b] - xs[a], 2) + pow(ys[b] - ys[a], 2)))) END"
+FARS = D.format(far=FAR.format(t=f"({SHARE})"))
+
+
+@query(f"""
+WITH RECURSIVE t AS (SELECT l_orderkey AS line_id, l_linenumber AS seq, {pos('l_suppkey', 'x', 'y')} FROM (SELECT l_orderkey, l_linenumber, min(l_suppkey) AS l_suppkey FROM lineitem GROUP BY 1, 2)),
+l AS (SELECT line_id, list(x ORDER BY seq) AS lon, list(y ORDER BY seq) AS lat, count(*) AS n, cos(radians(avg(y))) AS k FROM t GROUP BY line_id),
+m AS (SELECT line_id, n, lon, lat, list_transform(lon, lambda v: v * 111320 * k) AS xs, list_transform(lat, lambda v: v * 111320) AS ys FROM l),
+r(line_id, xs, ys, a, b) AS (
+  SELECT line_id, xs, ys, 1::BIGINT, n::BIGINT FROM m
+  UNION ALL SELECT line_id, xs, ys, unnest([a, c]), unnest([c, b]) FROM (SELECT line_id, xs, ys, a, b, a + list_position(fars, list_max(fars)) AS c, list_max(fars) AS f FROM (SELECT *, {FARS} AS fars FROM r WHERE b - a > 1)) WHERE f > 20000),
+e AS (SELECT DISTINCT line_id, unnest([a, b]) AS i FROM r),
+g AS (SELECT line_id, list(i ORDER BY i) AS keep FROM e GROUP BY line_id),
+h AS (SELECT m.*, keep, list_transform(keep, lambda i: lon[i]) AS lon2, list_transform(keep, lambda i: lat[i]) AS lat2 FROM m JOIN g USING (line_id))
+SELECT line_id, n::INT AS points, len(keep)::INT AS kept, round(coalesce(list_sum(list_transform(range(1, n), lambda i: {hav('lon[i]', 'lat[i]', 'lon[i + 1]', 'lat[i + 1]')})), 0), 1) AS m,
+  round(coalesce(list_sum(list_transform(range(1, len(keep)), lambda i: {hav('lon2[i]', 'lat2[i]', 'lon2[i + 1]', 'lat2[i + 1]')})), 0), 1) AS kept_m FROM h""")
 def simplified_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines simplified to 20 km: points before and after, and how much length is left."""
     li = order_lines(spark, sf_dir).withColumn("short", kernels.simplify_m(20000.0)("line"))
     return li.select("line_id", F.size("line").alias("points"), F.size("short").alias("kept"), F.round(rings.length_m(F.col("line")), 1).alias("m"), F.round(rings.length_m(F.col("short")), 1).alias("kept_m"))
 
 
-@query()
+def _apart(p: str, q: str) -> str:
+    return hav(f"{p}.x", f"{p}.y", f"{q}.x", f"{q}.y", "6371000.0")
+
+
+#: Gaps of a list of stops, the limit above which one is implausible, and the first one that is.
+GAPS = f"""SELECT *, nullif(list_position(list_transform(gaps, lambda g: g > lim), true), 0) AS bad FROM (
+  SELECT *, greatest(20000, 4 * coalesce(list_aggregate(list_concat(gaps[:w - 1], gaps[w + 1:]), 'median'), 0)) AS lim FROM (
+    SELECT *, list_position(gaps, list_max(gaps)) AS w FROM (SELECT *, list_transform(range(1, len(pts)), lambda i: {_apart('pts[i]', 'pts[i + 1]')}) AS gaps FROM {{0}})))"""
+COSTS = f"""list_transform(range(0, len(o) + 1), lambda i: CASE WHEN i > 0 THEN {_apart('o[i]', 'm')} ELSE 0 END + CASE WHEN i < len(o) THEN {_apart('o[i + 1]', 'm')} ELSE 0 END - CASE WHEN i > 0 AND i < len(o) THEN {_apart('o[i]', 'o[i + 1]')} ELSE 0 END)"""
+
+
+@query(f"""
+WITH RECURSIVE t AS (SELECT l_orderkey AS variant, l_linenumber AS seq, min(l_suppkey) AS id FROM lineitem GROUP BY 1, 2),
+v AS (SELECT variant, list({{'id': id, 'x': {LON.format('id')}, 'y': {LAT.format('id')}}} ORDER BY seq) AS pts FROM t GROUP BY variant),
+r(variant, pts, orig, step) AS (
+  SELECT variant, pts, pts, 0 FROM v
+  UNION ALL SELECT variant, list_concat(o[:c], [m], o[c + 1:]), orig, step + 1 FROM (SELECT *, list_position(costs, list_min(costs)) - 1 AS c FROM (SELECT *, {COSTS} AS costs FROM (
+    SELECT *, pts[k] AS m, list_concat(pts[:k - 1], pts[k + 1:]) AS o FROM (SELECT *, CASE WHEN bad = 1 THEN 1 ELSE bad + 1 END AS k FROM ({GAPS.format('(SELECT * FROM r WHERE step < 3 AND len(pts) > 2)')}) WHERE bad IS NOT NULL))))),
+f AS (SELECT variant, arg_max(pts, step) AS pts, any_value(orig) AS orig FROM r GROUP BY variant),
+g AS (SELECT variant, CASE WHEN bad IS NULL THEN pts ELSE orig END AS pts FROM ({GAPS.format('f')})),
+x AS (SELECT variant, pts, unnest(range(1, len(pts) + 1)) AS i FROM g)
+SELECT variant, (i - 1)::INT AS seq, pts[i].id AS id FROM x""")
 def repaired_stops(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = placed(stop_times(spark, sf_dir).select(F.col("l_orderkey").alias("variant"), F.col("l_linenumber").alias("seq"), F.col("l_suppkey").alias("id")), "id")
     return sequences.repair_stops(t).select("variant", "seq", "id")
 
 
-@query()
+@query("""
+WITH RECURSIVE t AS (SELECT o_custkey AS relation, l_orderkey * 10 + l_linenumber AS ord, min(l_suppkey) % 8 AS a, l_linenumber::BIGINT AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2, l_linenumber),
+w AS (SELECT relation, list({'a': a, 'b': b} ORDER BY ord) AS ways FROM t GROUP BY relation),
+s(relation, part, points, head, tail, rest) AS (
+  SELECT relation, 0, 2, ways[1].a, ways[1].b, ways[2:] FROM w
+  UNION ALL SELECT relation, CASE WHEN k IS NULL THEN part + 1 ELSE part END, CASE WHEN k IS NULL THEN 2 ELSE points + 1 END,
+    CASE WHEN k IS NULL THEN rest[1].a WHEN v.a = tail OR v.b = tail THEN head WHEN v.b = head THEN v.a ELSE v.b END,
+    CASE WHEN k IS NULL THEN rest[1].b WHEN v.a = tail THEN v.b WHEN v.b = tail THEN v.a ELSE tail END,
+    CASE WHEN k IS NULL THEN rest[2:] ELSE list_concat(rest[:k - 1], rest[k + 1:]) END
+  FROM (SELECT *, rest[k] AS v FROM (SELECT *, nullif(list_position(list_transform(rest, lambda x: x.a = tail OR x.b = tail OR x.a = head OR x.b = head), true), 0) AS k FROM s WHERE len(rest) > 0)))
+SELECT relation, part::INT AS part, max(points)::INT AS points FROM s GROUP BY relation, part""")
 def stitched_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ways (pairs of suppliers) chained by shared ends within each customer's relation."""
     li = stop_times(spark, sf_dir).join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("relation")), "l_orderkey")
