@@ -126,7 +126,13 @@ def stitched_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.stitch_ways(ways).select("relation", "part", F.size("line").alias("points"))
 
 
-@query()
+@query(f"""
+WITH c AS (SELECT c_custkey AS ord, 'n' || c_custkey % 1200 AS id, 's' || c_custkey // 8 AS normalised, CASE WHEN c_custkey % 4 = 0 THEN 'Q' || c_custkey % 300 END AS wikidata, {pos('(c_custkey // 4)')},
+  CASE WHEN c_custkey % 3 = 0 THEN 4 ELSE 0 END + 3 + CASE WHEN c_mktsegment <> '' THEN 2 ELSE 0 END + CASE WHEN c_custkey % 4 = 0 THEN 1 ELSE 0 END AS score FROM customer),
+a AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY id ORDER BY ord) = 1),
+b AS (SELECT * REPLACE (min(ord) OVER (PARTITION BY wikidata) AS ord) FROM a WHERE wikidata IS NOT NULL QUALIFY row_number() OVER (PARTITION BY wikidata ORDER BY score DESC, a.ord) = 1
+  UNION ALL SELECT * FROM a WHERE wikidata IS NULL)
+SELECT id, normalised, wikidata FROM b QUALIFY row_number() OVER (PARTITION BY normalised, lon, lat ORDER BY ord) = 1""")  # stations of one name stand in one place or kilometres apart here
 def deduped_stations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Station records of three rounds of entity resolution."""
     k = F.col("c_custkey")
