@@ -198,3 +198,31 @@ def short_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     odd = F.when(F.col("form") == 1, F.regexp_replace("short", '"v":1', '"v":2')).when(F.col("form") == 2, F.substring("short", 1, 9)).when(F.col("form") == 3, F.concat(F.lit('{"zz":1,'), F.substring("short", 2, 1 << 20))).otherwise(F.col("short"))
     out = wire.unminify(d.withColumn("text", odd), "text")
     return out.select("k", F.length("short").alias("n"), F.md5("short").alias("digest"), "status", F.array_join("unknown", ",").alias("unknown"), F.coalesce(F.to_json("payload") == F.to_json("state"), F.lit(False)).alias("same"))
+
+
+@query(f"""
+WITH g AS (SELECT cell, 139.0::DOUBLE + (cell % 50 + 0.5) * (1.0 / 50) AS x, 35.0::DOUBLE + (cell // 50 + 0.5) * (1.0 / 50) AS y FROM range(2500) t(cell)), s AS ({STATIONS}), p AS (SELECT c_custkey AS poi, c_mktsegment AS category, {pos('c_custkey')} FROM customer),
+n AS (SELECT cell, arg_min(poi, (round(pow(x - lon, 2) + pow(y - lat, 2), 14), poi)) AS poi FROM g, p WHERE category = 'BUILDING' GROUP BY cell),
+l AS (SELECT cell, arg_min(station, (round(pow(x - lon, 2) + pow(y - lat, 2), 14), station)) AS station, min({hav('x', 'y', 'lon', 'lat')}) <= 15000 AS zone FROM g, s GROUP BY cell),
+f AS (SELECT cell, min({hav('x', 'y', 'lon', 'lat')}) FILTER (category = 'FURNITURE') AS mf, min({hav('x', 'y', 'lon', 'lat')}) FILTER (category = 'HOUSEHOLD') AS mh FROM g, p GROUP BY cell),
+k AS (SELECT min({hav('139.3', '35.3', 'lon', 'lat')}) FILTER (category = 'FURNITURE') AS df, min({hav('139.31', '35.72', 'lon', 'lat')}) FILTER (category = 'HOUSEHOLD') AS dh,
+  min(poi) FILTER (category = 'BUILDING') AS selected, count(*) FILTER (category = 'MACHINERY' AND {hav('139.5', '35.5', 'lon', 'lat')} <= 15000) > 0 AS held FROM p),
+e AS (SELECT x, y, zone AND n.poi <> selected AND station % 3 = 1 AND NOT (held AND {hav('x', 'y', '139.5', '35.5')} <= 15000) AND (df = 0 OR mf <= df) AND (dh = 0 OR mh > dh) AS ok FROM g JOIN n USING (cell) JOIN l USING (cell) JOIN f USING (cell), k)
+SELECT count(*) AS cells, count(*) FILTER (ok) AS eligible, round(coalesce(sum(x) FILTER (ok), 0), 4) AS lons, round(coalesce(sum(y) FILTER (ok), 0), 4) AS lats FROM e""")
+def eligible_by_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells left by questions about places: not nearest to one building, nearest to a station whose name is as long, outside the tentacles' disc, closer to furniture and further from households than the seeker."""
+    cells = elimination.cell_grid(spark, 139.0, 35.0, 140.0, 36.0, 50)
+    p = placed(table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("poi"), F.col("c_mktsegment").alias("category"), F.lit(0).alias("name_length")), "poi", "r_lon", "r_lat")
+    s = stations(spark, sf_dir).select(F.col("station").cast("long").alias("poi"), F.lit("station-name-length").alias("category"), (F.col("station") % 3).cast("int").alias("name_length"), F.col("lon").alias("r_lon"), F.col("lat").alias("r_lat"))
+    first = p.filter("category = 'BUILDING'").agg(F.min("poi")).first()[0]
+    q = [
+        (1, "matching", "negative", None, None, None, None, None, "BUILDING", first, None), (2, "matching", "positive", None, None, None, None, None, "station-name-length", 1, None),
+        (3, "tentacles", "negative", 139.5, 35.5, 15000.0, None, None, "MACHINERY", None, None), (4, "measuring", "closer", 139.3, 35.3, None, None, None, "FURNITURE", None, None),
+        (5, "measuring", "further", 139.31, 35.72, None, None, None, "HOUSEHOLD", None, None),
+    ]
+    questions = spark.createDataFrame(q, "ord int, type string, answer string, lon double, lat double, distance double, lon2 double, lat2 double, category string, selected long, line string")
+    zones = s.select(F.array(F.lit("any")).alias("route_ids"), "r_lon", "r_lat")
+    out = elimination.eligible(cells, families.constraints(cells, questions, p.unionByName(s), zones, 15000.0))
+    ok = F.col("eligible")
+    total = lambda c, name: F.round(F.coalesce(F.sum(F.when(ok, F.col(c))), F.lit(0.0)), 4).alias(name)
+    return out.agg(F.count(F.lit(1)).alias("cells"), F.count_if(ok).alias("eligible"), total("lon", "lons"), total("lat", "lats"))
