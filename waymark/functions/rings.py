@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from waymark.functions.geo import AREA_M, DEGREE_M, _haversine, EARTH_M, c, segment_crossing
+from waymark.functions.geo import AREA_M, DEGREE_M, SHARE_EPS, _haversine, EARTH_M, c, crossing_shares
 
 
 def _pairs(line: Column, f) -> Column:
@@ -161,11 +161,18 @@ def members_in_box(multi: Column, box: Column) -> Column:
 
 
 def crossings(ax, ay, bx, by, multi: Column) -> Column:
-    """Where along a-b (0 to 1) it crosses the rings' edges, in no order; null for edges that it doesn't cross."""
+    """Where along a-b (0 to 1) it crosses the rings' edges, in no order; null for edges that it doesn't cross.
+
+    An edge's ends belong to it, so a line through a corner crosses there; a's and b's own places are no crossings.
+    """
+
+    def where(*ends) -> Column:
+        t, u = crossing_shares(*ends)
+        return F.when((t > SHARE_EPS) & (t < 1 - SHARE_EPS) & (u >= -SHARE_EPS) & (u <= 1 + SHARE_EPS), t)
 
     def edges(r: Column) -> Column:
         steps = F.when(F.size(r) > 1, F.sequence(F.lit(0), F.size(r) - 2)).otherwise(F.array().cast("array<int>"))
-        return F.transform(steps, lambda i: segment_crossing(c(ax), c(ay), c(bx), c(by), F.get(r, i)["x"], F.get(r, i)["y"], F.get(r, i + 1)["x"], F.get(r, i + 1)["y"]))
+        return F.transform(steps, lambda i: where(c(ax), c(ay), c(bx), c(by), F.get(r, i)["x"], F.get(r, i)["y"], F.get(r, i + 1)["x"], F.get(r, i + 1)["y"]))
 
     return F.flatten(F.transform(F.flatten(multi), edges))
 
