@@ -66,7 +66,7 @@ l AS (SELECT line_id, list(x ORDER BY seq) AS lon, list(y ORDER BY seq) AS lat,
 m AS (SELECT line_id, n, lon, lat, list_transform(lon, lambda v: v * 111320 * k) AS xs, list_transform(lat, lambda v: v * 111320) AS ys FROM l),
 r(line_id, xs, ys, a, b) AS (
   SELECT line_id, xs, ys, 1::BIGINT, n::BIGINT FROM m
-  UNION ALL SELECT line_id, xs, ys, unnest([a, c]), unnest([c, b]) FROM (SELECT line_id, xs, ys, a, b, a + list_position(fars, list_max(fars)) AS c, list_max(fars) AS f FROM (SELECT *, {FARS} AS fars FROM r WHERE b - a > 1)) WHERE f > 20000),
+  UNION ALL SELECT line_id, xs, ys, unnest([a, c]), unnest([c, b]) FROM (SELECT line_id, xs, ys, a, b, a + list_position(list_transform(fars, lambda v: v >= list_max(fars) * (1 - 1e-9)), true) AS c, list_max(fars) AS f FROM (SELECT *, {FARS} AS fars FROM r WHERE b - a > 1)) WHERE f > 20000 * (1 + 1e-9)),
 e AS (SELECT DISTINCT line_id, unnest([a, b]) AS i FROM r),
 g AS (SELECT line_id, list(i ORDER BY i) AS keep FROM e GROUP BY line_id),
 h AS (SELECT m.*, keep, list_transform(keep, lambda i: lon[i]) AS lon2, list_transform(keep, lambda i: lat[i]) AS lat2 FROM m JOIN g USING (line_id))
