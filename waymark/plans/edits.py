@@ -191,7 +191,7 @@ def short_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     typed = lambda values, schema: F.struct(*(values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema))
     q = typed(question, wire.long_schema(wire.QUESTION))
     none = F.array().cast(T.ArrayType(wire.long_schema(wire.QUESTION)))
-    area = typed({"center": at(F.lit(139.0) + k * 0.00001, 35.5), "label": F.coalesce("source", F.lit("none")), "osmId": k}, wire.long_schema(wire.STATE["playArea"]))
+    area = typed({"center": at((139000000 + k * 10) / 1000000, 35.5), "label": F.coalesce("source", F.lit("none")), "osmId": k}, wire.long_schema(wire.STATE["playArea"]))
     state_ = {"gameId": F.concat(F.lit("g"), k.cast("string")), "metadata": F.struct(F.lit("2024").alias("createdAt")), "playArea": area, "questions": F.when(k % 3 == 0, none).otherwise(F.array(q))}
     d = table(spark, sf_dir, "documents").select(k.alias("k"), typed(state_, wire.long_schema()).alias("state"), (k % 4).alias("form"))
     d = d.withColumn("short", wire.minify(F.col("state")))
