@@ -70,10 +70,10 @@ def bridged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH s AS ({STATIONS}), o AS (SELECT o_orderkey AS k, CASE WHEN o_custkey % 3 = 0 THEN -o_custkey - 1 ELSE o_orderkey END AS line, o_custkey % 3 = 0 AS mastered FROM orders),
+WITH s AS (SELECT *, min(station) OVER (PARTITION BY lon, lat) AS first_here FROM ({STATIONS})), o AS (SELECT o_orderkey AS k, CASE WHEN o_custkey % 3 = 0 THEN -o_custkey - 1 ELSE o_orderkey END AS line, o_custkey % 3 = 0 AS mastered FROM orders),
 m AS (SELECT l_orderkey AS k, l_linenumber AS seq, l_suppkey AS spot, (l_orderkey + 3 * l_linenumber) % 4 AS way FROM ({TIMES}) WHERE l_linenumber % 4 <> 3),
-r AS (SELECT m.k, m.seq, m.way, m.spot, s.station FROM m LEFT JOIN s ON s.station = m.spot),
-f AS (SELECT k, seq, CASE way WHEN 0 THEN station WHEN 1 THEN station WHEN 2 THEN spot % 17 END AS station FROM r),
+r AS (SELECT m.k, m.seq, m.way, m.spot, s.station, s.first_here FROM m LEFT JOIN s ON s.station = m.spot),
+f AS (SELECT k, seq, CASE way WHEN 0 THEN station WHEN 1 THEN first_here WHEN 2 THEN spot % 17 END AS station FROM r),
 g AS (SELECT o.line, f.k, CASE WHEN f.station IN (SELECT station FROM s) THEN f.station END AS station FROM f JOIN o USING (k)),
 b AS (SELECT line, count(*) FILTER (n >= 2) AS branches FROM (SELECT g.line, g.k, count(DISTINCT (lon, lat)) AS n FROM g JOIN s ON s.station = g.station GROUP BY 1, 2) GROUP BY line),
 l AS (SELECT o.line, any_value(mastered) AS mastered, count(DISTINCT o.k) AS variants FROM o GROUP BY o.line),
