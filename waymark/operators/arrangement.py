@@ -123,9 +123,13 @@ def cell_size(edges: DataFrame) -> int:
 
 
 def noded(edges: DataFrame, key: list[str], cell: int | None = None, rounds: int = 12) -> tuple[DataFrame, int]:
-    """Distinct edges (key, ax, ay, bx, by, da, db) that meet at ends only, and the cell size used."""
+    """Distinct edges (key, ax, ay, bx, by, da, db) that meet at ends only, and a cell size that suits them.
+
+    Without a given cell each round's cells suit its edges: cut edges are shorter, and cells of the first size would hold
+    ever more of them.
+    """
     edges = save(_merged(edges.withColumn("bent", F.lit(True)), key).withColumn("id", F.monotonically_increasing_id()))
-    cell = cell or cell_size(edges)
+    given, cell = cell, cell or cell_size(edges)
     for _ in range(rounds):
         tiled = _cells(edges.drop("da", "db"), cell)
         # cells in which something may cross that has not been tried
@@ -146,6 +150,7 @@ def noded(edges: DataFrame, key: list[str], cell: int | None = None, rounds: int
         pieces = split.select(*key, "da", "db", "bent", F.explode(F.arrays_zip(F.slice("chain", 1, n).alias("a"), F.slice("chain", 2, n).alias("b"))).alias("e"))
         pieces = pieces.select(*key, "da", "db", "bent", *(F.col(f"e.{v[0]}.{v[1]}").alias(v) for v in ENDS))
         edges = save(_merged(pieces, key).withColumn("id", F.monotonically_increasing_id()))
+        cell = given or cell_size(edges)
         if edges.filter("bent").isEmpty():
             return edges.drop("id", "bent"), cell
     raise RuntimeError("edges did not settle on the grid")
