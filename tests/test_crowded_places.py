@@ -31,3 +31,11 @@ def test_stops_in_one_place_look_once(spark, monkeypatch):
     got = {r["stop"]: (r["station"], r["how"]) for r in transit.resolve_stops(stops, stations, 4000.0).collect()}
     assert got == {k: ((3, 1, 5)[k % 3], "place") for k in range(300)}
     assert sum(seen) <= 30
+
+
+def test_near_the_pole_longitudes_cost_nothing(spark):
+    rows = [(k, 18.0 * k, 89.9999999 if k % 2 else 150.0) for k in range(20)]
+    left = spark.createDataFrame(rows, "a int, lon double, lat double")
+    right = spark.createDataFrame(rows, "b int, r_lon double, r_lat double")
+    got = {(r["a"], r["b"]) for r in spatial_join.within_distance(left, right, 1.0).collect()}
+    assert got == {(a, b) for a in range(20) for b in range(20) if a == b or (a % 2 and b % 2)}
