@@ -129,9 +129,53 @@ def repair_stops(stops: DataFrame) -> DataFrame:
     return s.select("variant", "s", F.posexplode(order).alias("n", "i")).select("variant", F.col("n").alias("seq"), *(stop[c].alias(c) for c in ("id", "lon", "lat")))
 
 
+def _gaps_of_all(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As ``_gaps``, a row a line: lines of one length, at least 3."""
+    g = metres(x[:, :-1], y[:, :-1], x[:, 1:], y[:, 1:])
+    rest = np.where(np.arange(g.shape[1]) == g.argmax(1)[:, None], np.nan, g)
+    rest = np.sort(rest, axis=1)[:, :-1]  # the widest, as NaN, last
+    k = rest.shape[1]
+    return g, np.maximum(20000.0, 4 * (rest[:, (k - 1) // 2] + rest[:, k // 2]) / 2)
+
+
+def repair_orders(x: np.ndarray, y: np.ndarray, most: int = 3) -> np.ndarray:
+    """As ``repair_order``, for many lines of one length (3 or more stops) at once: a row a line."""
+    n, size = x.shape
+    order = np.tile(np.arange(size, dtype=np.int32), (n, 1))
+    todo = np.arange(n)
+    at = lambda v, rows, o: np.take_along_axis(v[rows], o, 1)
+    for step in range(most + 1):
+        g, limit = _gaps_of_all(at(x, todo, order[todo]), at(y, todo, order[todo]))
+        wide = g > limit[:, None]
+        todo, wide = todo[wide.any(1)], wide[wide.any(1)]
+        if step == most or not len(todo):
+            break
+        k = wide.argmax(1)
+        out = np.where(k == 0, 0, k + 1)
+        own = order[todo]
+        moved = np.take_along_axis(own, out[:, None], 1)
+        own = own[np.arange(size) != out[:, None]].reshape(len(todo), size - 1)
+        px, py, mx, my = at(x, todo, own), at(y, todo, own), at(x, todo, moved), at(y, todo, moved)
+        to, gone = metres(px, py, mx, my), np.zeros((len(todo), 1))
+        between = metres(px[:, :-1], py[:, :-1], px[:, 1:], py[:, 1:])
+        costs = np.hstack([gone, to]) + np.hstack([to, gone]) - np.hstack([gone, between, gone])
+        place = costs.argmin(1)[:, None]
+        slot = np.arange(size)
+        order[todo] = np.where(slot == place, moved, np.take_along_axis(own, np.minimum(np.where(slot > place, slot - 1, slot), size - 2), 1))
+    order[todo] = np.arange(size)
+    return order
+
+
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
 def _repaired(lon: pd.Series, lat: pd.Series) -> pd.Series:
-    return pd.Series([repair_order(np.column_stack([np.asarray(x, float), np.asarray(y, float)])).tolist() if len(x) > 2 else list(range(len(x))) for x, y in zip(lon, lat, strict=True)], dtype=object)
+    """Lines of one length are repaired together."""
+    size, out = lon.map(len).to_numpy(int), np.empty(len(lon), object)
+    for n in np.unique(size):
+        rows = np.flatnonzero(size == n)
+        found = repair_orders(*(np.stack([np.asarray(v, float) for v in c.iloc[rows]]) for c in (lon, lat))) if n > 2 else np.tile(np.arange(n), (len(rows), 1))
+        for k, order in zip(rows, found, strict=True):
+            out[k] = order
+    return pd.Series(out)
 
 
 def chain(ways: list[list[tuple]]) -> list[list[tuple]]:
