@@ -10,6 +10,7 @@ from __future__ import annotations
 import heapq
 import math
 from collections import defaultdict, deque
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -215,26 +216,84 @@ def chains(ways: list[list[tuple]]) -> list[tuple[int, list[tuple]]]:
     return out
 
 
-def stitch_ways(ways: DataFrame, key: str = "relation") -> DataFrame:
+def stitch_ways(ways: DataFrame, key: str = "relation", whole: int = 5000) -> DataFrame:
     """(relation, part, line): each relation's ways chained. ways: (relation, ord, line); ways of one point are left out.
 
-    Only ways that share ends, directly or through others, meet in a task; a relation's chains are numbered by their first way.
+    A relation of at most ``whole`` ways is chained as one row, by the ends of its ways alone. In larger ones, and those with
+    ends without a place, only ways that share ends, directly or through others, meet in a task. A relation's chains are numbered by their first way.
     """
     kind, order = ways.schema[key].dataType.simpleString(), ways.schema["ord"].dataType.simpleString()
+    w = save(ways.filter(F.size("line") > 1).select(key, "ord", "line"))
+    odd = reduce(lambda x, y: x | y, (v.isNull() | F.isnan(v.cast("double")) for v in (F.element_at("line", k)[c] for k in (1, -1) for c in "xy")))
+    many = save(w.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.coalesce(odd, F.lit(True))).alias("odd")).filter((F.col("n") > whole) | F.col("odd")).select(key))
+    small = w.join(F.broadcast(many), key, "left_anti").filter(F.col(key).isNotNull())
+    s = small.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ord", "line"))).alias("w"))
+    of_all = lambda k, c: F.transform("w", lambda v: F.element_at(v["line"], k)[c])
+    s = s.select(key, "w", F.posexplode(_chained(*(of_all(k, c) for k in (1, -1) for c in "xy"))).alias("part", "chain"))
+    # a way of the chain is k + 1, or -(k + 1) if it runs backwards; all but the first give up the point they share
+    one = lambda v: F.when(v > 0, F.get("w", v - 1)["line"]).otherwise(F.reverse(F.get("w", -v - 1)["line"]))
+    line = F.flatten(F.transform("chain", lambda v, i: F.when(i == 0, one(v)).otherwise(F.slice(one(v), 2, F.size(one(v)) - 1))))
+    out = s.select(key, "part", line.alias("line"))
+    if many.isEmpty() and w.filter(F.col(key).isNull()).isEmpty():
+        return out
+
     end = lambda k: F.concat_ws(" ", F.element_at("line", k)["x"] + F.lit(0.0), F.element_at("line", k)["y"] + F.lit(0.0), F.col(key).cast("string"))
-    w = ways.filter(F.size("line") > 1).select(key, "ord", "line", end(1).alias("a"), end(-1).alias("b"))
+    w = w.join(F.broadcast(many), key, "left_semi").unionByName(w.filter(F.col(key).isNull())).select(key, "ord", "line", end(1).alias("a"), end(-1).alias("b"))
     ends = w.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     parts = connected_components(ends, w.select("a", "b")).select(F.col("node").alias("a"), "component")
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+    def one_part(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("ord", kind="stable")
         found = chains([[(p["x"], p["y"]) for p in line] for line in pdf["line"]])
         first = pdf.iloc[[k for k, _ in found]]
         return pd.DataFrame({key: first[key].to_numpy(), "ord": first["ord"].to_numpy(), "line": [[{"x": x, "y": y} for x, y in line] for _, line in found]})
 
-    w = w.join(parts, "a").drop("a", "b").groupBy("component").applyInPandas(one, f"{key} {kind}, ord {order}, line array<struct<x:double,y:double>>")
+    w = w.join(parts, "a").drop("a", "b").groupBy("component").applyInPandas(one_part, f"{key} {kind}, ord {order}, line array<struct<x:double,y:double>>")
     place = F.row_number().over(Window.partitionBy(key).orderBy("ord", F.col("line"))) - 1
-    return w.select(key, place.cast("int").alias("part"), "line")
+    return out.unionByName(w.select(key, place.cast("int").alias("part"), "line"))
+
+
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
+def _chained(ax: pd.Series, ay: pd.Series, bx: pd.Series, by: pd.Series) -> pd.Series:
+    return pd.Series([chained_ends(list(zip((a + 0.0).tolist(), (b + 0.0).tolist(), strict=True)), list(zip((c + 0.0).tolist(), (d + 0.0).tolist(), strict=True))) for a, b, c, d in zip(ax, ay, bx, by, strict=True)], dtype=object)
+
+
+def chained_ends(a: list, b: list) -> list[list[int]]:
+    """As ``chains``, by the ends of the ways: each chain's ways along it, k + 1 for way k and -(k + 1) for one run backwards."""
+    used, touching, out = [False] * len(a), defaultdict(list), []
+    for k, (p, q) in enumerate(zip(a, b, strict=True)):
+        touching[p].append(k)
+        if p != q:
+            touching[q].append(k)
+    after: dict = dict.fromkeys(touching, 0)  # where each list's first way left may be
+
+    def first(p) -> int:
+        left, i = touching[p], after[p]
+        while i < len(left) and used[left[i]]:
+            i += 1
+        after[p] = i
+        return left[i] if i < len(left) else len(a)
+
+    for k in range(len(a)):
+        if used[k]:
+            continue
+        used[k], way, head, tail = True, deque([k + 1]), a[k], b[k]
+        while (j := min(first(tail), first(head))) < len(a):
+            used[j] = True
+            if a[j] == tail:
+                way.append(j + 1)
+                tail = b[j]
+            elif b[j] == tail:
+                way.append(-j - 1)
+                tail = a[j]
+            elif b[j] == head:
+                way.appendleft(j + 1)
+                head = a[j]
+            else:
+                way.appendleft(-j - 1)
+                head = b[j]
+        out.append(list(way))
+    return out
 
 
 def bridge_gaps(lines: list[np.ndarray], least_m: float = 1.0, most_m: float = 1500.0, facing: float = -0.95, ahead: float = 0.9) -> list[np.ndarray]:
