@@ -33,3 +33,40 @@ def test_pairs_of_lines_and_points_by_class(spark, folder):
     pairs = [r for r in got if r[0] == "pair"]
     assert pairs and all(r[1] < 10000 and r[2] < 10000 for r in pairs)  # one line and one point of each class
     assert sum(r[0] == "line" for r in got) == 90 and sum(r[0] == "poi" for r in got) == 600
+
+
+def _runs(monkeypatch):
+    """Counts the shapes that arrangements are made of."""
+    from waymark.operators import arrangement
+
+    seen, plain = [], arrangement.arranged
+
+    def counted(edges, key, cell=None):
+        seen.append(edges.select(*key).distinct().count())
+        return plain(edges, key, cell)
+
+    monkeypatch.setattr(arrangement, "arranged", counted)
+    return seen
+
+
+def test_equal_lines_are_buffered_once(spark, folder, monkeypatch):
+    seen = _runs(monkeypatch)
+    assert len(check(spark, folder, "buffered_segments")) == 597
+    assert seen == [199]
+
+
+def test_equal_squares_are_dilated_once(spark, folder, monkeypatch):
+    seen = _runs(monkeypatch)
+    assert len(check(spark, folder, "dilated_squares")) == 90
+    assert seen == [30]
+
+
+def test_cells_of_equal_questions_are_cut_once(spark, folder, monkeypatch):
+    seen = _runs(monkeypatch)
+    assert len(check(spark, folder, "concave_cells")) > 300
+    assert seen == [100]
+
+
+def test_stations_of_one_place_are_paired_once(spark, folder):
+    got = check(spark, folder, "station_pairs")
+    assert sum(b >= 10000 for _, b, _ in got) == 60 and all(m == 0 for _, b, m in got if b >= 10000)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.operators import arrangement, artifact_jobs, cells_of
+from waymark.operators import arrangement, artifact_jobs, cells_of, equals
 from waymark.plans.registry import pos, query
 from waymark.plans.spatial import STATIONS, areas
 from waymark.session import pois, shared_folder, stations, table
@@ -73,7 +73,8 @@ def buffered_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = pois(spark, sf_dir).select(F.col("poi").alias("k"), "lon", "lat")
     after = p.select((F.col("k") - 1).alias("k"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2"))
     lines = p.join(after, "k").select("k", F.array(_point(F.col("lon"), F.col("lat")), _point(F.col("lon2"), F.col("lat2"))).alias("line"), ((F.col("lat") + F.col("lat2")) / 2).alias("mid"))
-    r = arrangement.ring_rows(arrangement.buffers(lines, ["k"], 500.0, grid=FINE), ["k"], FINE).groupBy("k").agg(F.sum("area").alias("area"), F.count(F.lit(1)).cast("int").alias("parts"))
+    rings_of = lambda d: arrangement.ring_rows(arrangement.buffers(d, ["k"], 500.0, grid=FINE), ["k"], FINE)
+    r = equals.once(lines, ["k"], ["line"], lambda d: rings_of(d).groupBy("k").agg(F.sum("area").alias("area"), F.count(F.lit(1)).cast("int").alias("parts")))
     scale = 111320.0 * 111320.0 / 1e6
     return r.join(lines.select("k", "mid"), "k").select("k", F.round(F.col("area") * scale * F.cos(F.radians("mid")), 1).alias("km2"), "parts")
 
