@@ -90,8 +90,8 @@ def repaired_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
     spike = ring((0, 0), (0.1, 0), (0.1, 0.04), (0.17, 0.04), (0.1, 0.04), (0.1, 0.1), (0, 0.1), (0, 0))
     twice = ring((0, 0), (0.05, 0), (0.05, 0.05), (0, 0.05), (0, 0), (0.1, 0), (0.1, 0.1), (0, 0.1), (0, 0))
     s = stations(spark, sf_dir).withColumn("multi", F.array(F.array(F.when(F.col("station") % 3 == 0, bow).when(F.col("station") % 3 == 1, spike).otherwise(twice))))
-    p = arrangement.polygons(arrangement.repair(s, ["station"]), ["station"])
-    return p.groupBy("station").agg(F.round(F.sum("area"), 9).alias("area"), F.count(F.lit(1)).cast("int").alias("parts"))
+    parts = lambda d: arrangement.polygons(arrangement.repair(d, ["station"]), ["station"])
+    return equals.once(s, ["station"], ["multi"], lambda d: parts(d).groupBy("station").agg(F.round(F.sum("area"), 9).alias("area"), F.count(F.lit(1)).cast("int").alias("parts")))
 
 
 @query(f"""
@@ -102,7 +102,7 @@ def dilated_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, y = F.col("lon"), F.col("lat")
     ring = F.array(*(_point(x + dx * 0.05, y + dy * 0.05) for dx, dy in ((-1, -1), (1, -1), (1, 1), (-1, 1), (-1, -1))))
     s = stations(spark, sf_dir).withColumn("multi", F.array(F.array(ring)))
-    a = arrangement.areas(arrangement.dilate(s, ["station"], 1000.0, grid=FINE), ["station"], FINE)
+    a = equals.once(s, ["station"], ["multi"], lambda d: arrangement.areas(arrangement.dilate(d, ["station"], 1000.0, grid=FINE), ["station"], FINE))
     return a.join(s.select("station", "lat"), "station").select("station", F.round(F.col("area") * (111320.0 * 111320.0 / 1e6) * F.cos(F.radians("lat")), 1).alias("km2"))
 
 
