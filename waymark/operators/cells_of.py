@@ -2,7 +2,8 @@
 
 A candidate's cell is settled once no candidate outside the searched square can reach it: all its corners lie nearer than half
 the square's reach (the security radius). Candidates meet by grid cells of that size; those not settled search a square of
-twice the size. So a question with very many candidates spreads over tasks, and each cell costs its neighbours only.
+twice the size. So a question with very many candidates spreads over tasks, and each cell costs its neighbours only. Candidates
+with the same place and neighbours, as in questions that repeat, share one computed cell.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import types as T
 
 from waymark.functions import kernels
 from waymark.operators import arrangement
+from waymark.operators.equals import once
 from waymark.operators.spatial_join import cells
 from waymark.operators.transit import first_by
 from waymark.session import save
@@ -79,8 +81,10 @@ def voronoi(points: DataFrame, question: str, key: str, box: Box, first_deg: flo
     while True:
         other = cells(p.select(question, F.col(key).alias("__k"), F.col("lon").alias("x"), F.col("lat").alias("y")), "x", "y", r)
         met = cells(todo, "lon", "lat", r, F.lit(r), F.lit(r)).join(other, [question, "cell_x", "cell_y"]).filter(F.col(key) != F.col("__k"))
-        near = met.groupBy(question, key).agg(F.collect_list(F.struct("x", "y")).alias("near"))
-        made = save(todo.join(near, [question, key], "left").withColumn("v", _cell(box)("lon", "lat", "near")).select(question, key, "lon", "lat", "v.cell", "v.far", (2 * whole <= r).alias("last")))
+        near = met.groupBy(question, key).agg(F.array_sort(F.collect_list(F.struct("x", "y"))).alias("near"))
+        asked = save(todo.join(near, [question, key], "left").withColumn("last", 2 * whole <= r))
+        made = save(once(asked.select(question, key, "lon", "lat", "near"), [question, key], ["lon", "lat", "near"], lambda d: d.withColumn("v", _cell(box)("lon", "lat", "near")).select(question, key, "v.cell", "v.far")))
+        made = save(asked.drop("near").join(made, [question, key]))
         settled = (2 * F.col("far") <= r) | F.col("last")
         got = made.filter(settled).select(question, key, "cell")
         done = got if done is None else done.unionByName(got)
@@ -95,6 +99,11 @@ def clipped(found: DataFrame, question: str, key: str, areas: DataFrame, multi:
     areas: question, multi; one a question. Give it to ``arrangement.areas`` or ``arrangement.polygons``. The areas' boxes pass
     over cells that they miss; a cell outside its area has no edges.
     """
-    mine = found.filter(F.size("cell") > 3).select(question, key, F.array(F.array("cell")).alias("__cell"))
-    both = mine.join(areas.select(question, F.col(multi).alias("__area")), question)
-    return arrangement.overlay(both.select(question, key, F.col("__cell").alias("multi")), both.select(question, key, F.col("__area").alias("multi")), [question, key], arrangement.intersection, "multi", grid, cell)
+    both = found.select(question, key, "cell").join(areas.select(question, F.col(multi).alias("multi")), question)
+    return clipped_pairs(both, [question, key], grid, cell)
+
+
+def clipped_pairs(both: DataFrame, key: list[str], grid: float = arrangement.GRID, cell: int | None = None) -> DataFrame:
+    """The boundary (key, ax, ay, bx, by) of each row's ``cell`` within the play area ``multi`` beside it."""
+    both = both.filter(F.size("cell") > 3).withColumn("__cell", F.array(F.array("cell")))
+    return arrangement.overlay(both.select(*key, F.col("__cell").alias("multi")), both.select(*key, "multi"), key, arrangement.intersection, "multi", grid, cell)

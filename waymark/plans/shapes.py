@@ -123,8 +123,14 @@ def concave_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     corners = ((0, 0), (1, 0), (1, 0.47), (0.33, 0.47), (0.33, 1), (0, 1), (0, 0))
     shapes = full.withColumn("multi", F.array(F.array(F.array(*(_point(F.lit(139.0 + x), F.lit(35.0 + y)) for x, y in corners)))))
     cells = cells_of.voronoi(c.join(full, "question", "left_semi"), "question", "poi", (139.0, 35.0, 140.0, 36.0))
-    edges = cells_of.clipped(cells, "question", "poi", shapes)
-    return arrangement.areas(edges, ["question", "poi"]).select("question", "poi", F.round("area", 8).alias("area"))
+    both = cells.join(shapes, "question")
+    key = ["question", "poi"]
+
+    def clipped(d: DataFrame) -> DataFrame:
+        edges = cells_of.clipped_pairs(d, key)
+        return arrangement.areas(edges, key)
+
+    return equals.once(both, key, ["cell", "multi"], clipped).select(*key, F.round("area", 8).alias("area"))
 
 
 @query("""
