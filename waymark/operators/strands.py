@@ -8,8 +8,11 @@ what taking the best pair again and again gives. Only the ways of one resulting
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from itertools import combinations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,20 +76,56 @@ def _without(ends: DataFrame, links: DataFrame) -> DataFrame:
     return ends.join(used, "end", "left_anti")
 
 
-def junction_links(ways: DataFrame, key: str, turn: float = -0.5, digits: int = 7) -> DataFrame:
+def _at_nodes(most: float):
+    """A function on Arrow batches of nodes with all their stubs (end, tx, ty): end and mate of the pairs joined there."""
+
+    def pairs(stubs: list[dict]) -> Iterator[tuple]:
+        left = {(s["end"]["way"], s["end"]["at"]): math.atan2(s["ty"], s["tx"]) for s in stubs}
+        if len(left) > 2:
+            apart = ((p, q) for p, q in combinations(sorted(left), 2) if p[0] != q[0])
+            off = lambda p, q: round(abs(abs(left[p] - left[q]) - math.pi), 9)
+            for _, p, q in sorted(t for p, q in apart if (t := (off(p, q), p, q))[0] <= most):
+                if p in left and q in left:
+                    del left[p], left[q]
+                    yield p, q
+        if len(left) == 2:
+            p, q = sorted(left)
+            if p[0] != q[0]:
+                yield p, q
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            stubs = batch.column("stubs")
+            kind = stubs.type.value_type.field("end").type
+            found = [pq for node in stubs.to_pylist() for pq in pairs(node)]
+            sides = [pa.array([{"way": e[k][0], "at": e[k][1]} for e in found], kind) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays(sides, ["end", "mate"])
+
+    return run
+
+
+def junction_links(ways: DataFrame, key: str, turn: float = -0.5, digits: int = 7, crowd: int = 64) -> DataFrame:
     """end, mate (structs of way and at): which ends are joined.
 
     At a node of two ends they are joined whatever their angle. Elsewhere the straightest pair is joined first, if the cosine
     between its directions is at most ``turn``, then the straightest of the rest, and so on; of the rest, exactly two are joined too. Two ends of one way
-    are never joined. Ties go to the smaller keys.
+    are never joined. Ties go to the smaller keys. Nodes of up to ``crowd`` ends are settled as one row each, in one pass; those
+    of more in rounds, which gather no node.
     """
     at = lambda v: F.round(F.col(v) * 10**digits).cast("long")
     ends = save(ends_of(ways, key).select(F.struct(F.col(key).alias("way"), F.col("at")).alias("end"), F.struct(at("x").alias("x"), at("y").alias("y")).alias("node"), "tx", "ty"))
+    crowded = save(ends.groupBy("node").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > crowd).select("node"))
+    many = not crowded.isEmpty()
+    few = ends.join(crowded, "node", "left_anti") if many else ends
+    nodes = few.groupBy("node").agg(F.collect_list(F.struct("end", "tx", "ty")).alias("stubs")).filter(F.size("stubs") > 1).select("stubs")
+    kind = ends.schema["end"].dataType.simpleString()
+    links = save(nodes.mapInArrow(_at_nodes(math.acos(-turn)), f"end {kind}, mate {kind}"))
+    if not many:
+        return links
     two = lambda e: (
         e.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min("end").alias("end"), F.max("end").alias("mate")).filter((F.col("n") == 2) & (F.col("end.way") != F.col("mate.way"))).select("end", "mate")
     )
-    links = save(two(ends))
-    rest = save(_without(ends, links))
+    rest = save(ends.join(crowded, "node", "left_semi"))
     while True:
         got = save(_mutual(_straightest(rest, math.acos(-turn)), "node", [F.col("off")]))
         if got.isEmpty():
@@ -95,6 +134,59 @@ def junction_links(ways: DataFrame, key: str, turn: float = -0.5, digits: int =
     return save(links.unionByName(two(rest)))
 
 
+def _walked(gap: bool):
+    """A function on Arrow batches of ways, sorted by line and key and with each line whole in one partition: (first, ways, line)."""
+
+    def lines(rows: pa.Table) -> pa.RecordBatch:
+        col = lambda c: rows.column(c).combine_chunks()
+        row = {w: n for n, w in enumerate(col("way").to_pylist())}
+        mate = [[-1 if w is None else row[w] for w in col(f"way{k}").to_pylist()] for k in (0, 1)]
+        enter = [col(f"at{k}").to_pylist() for k in (0, 1)]
+        shape = col("line")
+        begin, end = (o.to_numpy().tolist() for o in (shape.offsets[:-1], shape.offsets[1:]))
+        firsts = col("first")
+        names = firsts.to_pylist()
+        starts = [n for n in range(len(names)) if n == 0 or names[n] != names[n - 1]]
+        points, sizes, ways = [], [], []
+        for lo, hi in zip(starts, [*starts[1:], len(names)], strict=True):
+            n, k = next(((n, k) for n in range(lo, hi) for k in (0, 1) if mate[k][n] < 0), (lo, 0))
+            done, size = set(), 0
+            while n not in done:
+                skip = int(bool(done) and not gap)
+                done.add(n)
+                part = range(begin[n] + skip, end[n]) if k == 0 else range(end[n] - 1 - skip, begin[n] - 1, -1)
+                points.append(np.arange(part.start, part.stop, part.step))
+                size += len(part)
+                if mate[1 - k][n] < 0:
+                    break
+                n, k = mate[1 - k][n], enter[1 - k][n]
+            ways.append(len(done))
+            sizes.append(size)
+        taken = shape.values.take(pa.array(np.concatenate(points)))
+        joined = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), taken)
+        return pa.RecordBatch.from_arrays([firsts.take(pa.array(starts)), pa.array(ways, pa.int32()), joined], ["first", "ways", "line"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            first = batch.column("first")
+            last = first[len(batch) - 1]
+            cut = len(batch) - 1
+            while cut and first[cut - 1] == last:
+                cut -= 1
+            if cut or (held and held[-1].column("first")[0] != last):
+                held.append(batch.slice(0, cut))
+                yield lines(pa.Table.from_batches(held))
+                held = []
+            held.append(batch.slice(cut))
+        if held:
+            yield lines(pa.Table.from_batches(held))
+
+    return run
+
+
 def assembled(ways: DataFrame, key: str, links: DataFrame, gap: bool = False) -> DataFrame:
     """(first, ways, line): ways joined at linked ends into lines; first is the smallest key of a line's ways, which also begins a ring.
 
@@ -108,22 +200,8 @@ def assembled(ways: DataFrame, key: str, links: DataFrame, gap: bool = False) ->
     kind = ways.schema[key].dataType.simpleString()
     rows = w.join(comp, "way").join(mine, "way", "left").select("first", "way", "line", *(F.col(f"m{k}.{v}").alias(f"{v}{k}") for k in (0, 1) for v in ("way", "at")))
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        lines = dict(zip(pdf["way"], pdf["line"], strict=True))
-        mate = {(w, k): (m, int(a)) for k in (0, 1) for w, m, a in zip(pdf["way"], pdf[f"way{k}"], pdf[f"at{k}"], strict=True) if not pd.isna(m)}
-        loose = sorted((w, k) for w in lines for k in (0, 1) if (w, k) not in mate)
-        way, enters = loose[0] if loose else (min(lines), 0)
-        out, done = [], set()
-        while way not in done:
-            done.add(way)
-            part = list(lines[way]) if enters == 0 else list(lines[way])[::-1]
-            out += part if gap or not out else part[1:]
-            if (way, 1 - enters) not in mate:
-                break
-            way, enters = mate[way, 1 - enters]
-        return pd.DataFrame({"first": [pdf["first"].iloc[0]], "ways": [len(done)], "line": [out]})
-
-    return rows.groupBy("first").applyInPandas(one, f"first {kind}, ways int, line {kernels.LINE.simpleString()}")
+    dealt = rows.repartition("first").sortWithinPartitions("first", "way")
+    return dealt.mapInArrow(_walked(gap), f"first {kind}, ways int, line {kernels.LINE.simpleString()}")
 
 
 def stitch_segments(ways: DataFrame, key: str = "way", turn: float = -0.5) -> DataFrame:
