@@ -256,11 +256,14 @@ def drop_parallel(lines: DataFrame, key: str, near_m: float = 30.0, along: float
 
 
 def gap_offers(lines: DataFrame, key: str, least_m: float = 1.0, most_m: float = 1500.0, facing: float = 0.95, ahead: float = 0.9) -> DataFrame:
-    """end, mate, m: pairs of ends of different lines, each way round, that face each other across a gap which opens straight ahead of both."""
+    """end, mate, m: pairs of ends of different lines, each way round, that face each other across a gap which opens straight ahead of both.
+
+    East stays east at latitudes beyond a pole, where the cosine is negative.
+    """
     e = ends_of(lines, key).select(F.struct(F.col(key).alias("way"), F.col("at")).alias("end"), "x", "y", "tx", "ty")
     o = e.select(F.col("end").alias("mate"), F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("tx").alias("tx2"), F.col("ty").alias("ty2"))
     p = spatial_join.within_distance(e, o, most_m, ("x", "y"), ("x2", "y2")).filter((F.col("end.way") != F.col("mate.way")) & (F.col("m") >= least_m))
-    dx, dy = (F.col("x2") - F.col("x")) * F.cos(F.radians((F.col("y") + F.col("y2")) / 2)), F.col("y2") - F.col("y")
+    dx, dy = (F.col("x2") - F.col("x")) * F.abs(F.cos(F.radians((F.col("y") + F.col("y2")) / 2))), F.col("y2") - F.col("y")
     n = F.nullif(F.sqrt(dx * dx + dy * dy), F.lit(0.0))
     face = F.col("tx") * F.col("tx2") + F.col("ty") * F.col("ty2") <= -facing
     open_ = (-(dx / n * F.col("tx") + dy / n * F.col("ty")) >= ahead) & (dx / n * F.col("tx2") + dy / n * F.col("ty2") >= ahead)
